@@ -5,6 +5,7 @@ Word characters are written as explicit Unicode classes, so that Java and RE2 ag
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,8 +110,20 @@ EXECUTABLE_LANGUAGES = ["python", "javascript", "bash", "sh"]
 
 
 def has(c: Column, pattern: str, multiline: bool = False) -> Column:
-    """Search; line anchors only at newlines."""
-    return c.rlike(("(?md)" if multiline else "(?d)") + pattern)
+    """Search; line anchors only at newlines.
+
+    A pattern without metacharacters is a substring test, and one that opens with a literal is only
+    tried on texts that hold the literal, which is far cheaper than scanning them with the regex.
+    """
+    if not re.search(r"[\\.\[\](){}*+?^$|]", pattern):
+        return F.contains(c, F.lit(pattern))
+    found = c.rlike(("(?md)" if multiline else "(?d)") + pattern)
+    lead = re.match(r"[A-Za-z_` ]{3,}(?![*?{|A-Za-z_` ])", pattern)
+    if lead and "|" not in pattern:
+        return F.contains(c, F.lit(lead.group(0))) & found
+    if pattern == EQUATION_PATTERNS[0]:
+        return F.contains(c, F.lit("=")) & found
+    return found
 
 
 def any_match(c: Column, patterns: list[str], multiline: bool = False) -> Column:
@@ -264,6 +277,13 @@ def with_scores(df: DataFrame, text: str = "text", code_blocks: str | None = Non
     ).drop("_t", "_low")
 
 
+def settled(df: DataFrame, *cols: str) -> DataFrame:
+    """Compute `cols` once before anything filters on them; Catalyst would otherwise copy their whole
+    expression into the pushed-down filter and evaluate it twice."""
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*cols))))
+
+
 def fallback_fractions(low: Column) -> dict[str, Column]:
     """Shares of three five-word lists, doubled and capped."""
     n = F.lit(5.0)

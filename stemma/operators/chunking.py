@@ -43,8 +43,8 @@ def line_chunks(df: DataFrame, text: str = "text", size: int = 100) -> DataFrame
 def sections(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per markdown header with the lines from it up to the next header; lines before the first header belong to none."""
     d = df.withColumn("_l", lines_of(F.col(text)))
-    at = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.get(F.col("_l"), i).rlike(HEADER))
-    d = d.withColumn("_h", F.when(F.size("_l") > 0, at)).withColumn("_n", F.size("_l"))
+    at = F.array_compact(F.transform("_l", lambda x, i: F.when(x.rlike(HEADER), i)))
+    d = d.withColumn("_h", at).withColumn("_n", F.size("_l"))
     d = d.select("*", F.posexplode("_h").alias("section_index", "line_number"))
     stop = F.coalesce(F.get("_h", F.col("section_index") + 1), F.col("_n"))
     head = F.get("_l", F.col("line_number"))

@@ -90,6 +90,18 @@ def _broadcast_join(probes: DataFrame, members: DataFrame, kernel: Kernel, schem
     return probes.mapInPandas(run, schema)
 
 
+def _self_join(spark, rows: pd.DataFrame, kernel: Kernel, schema: T.StructType) -> DataFrame:
+    """Kernel of a small side against itself: the rows travel once and every task takes a share of them."""
+    side = spark.sparkContext.broadcast(rows)
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-len(rows) // 64)))
+
+    def run(batches):
+        for pdf in batches:
+            yield from _chunks(kernel, side.value.iloc[pdf["id"].to_numpy()], side.value)
+
+    return spark.range(0, len(rows), 1, tasks).mapInPandas(run, schema)
+
+
 class _Blocks:
     """Pivots, rings and salts of a member side."""
 
@@ -250,6 +262,7 @@ def geometric_pairs(df: DataFrame, id_col: str, parts: tuple[str, str, str], the
     """
     if not theta > 0:
         raise ValueError("theta must be positive")
+    small = measure(df.select(id_col, *parts))[1] <= limits.broadcast_bytes
     base = distinct_vectors(df, id_col, list(parts))
     scale = 1.0 / np.sqrt(3.0)
     ready = base.select("id", "copies", *[unit(F.col(p)).alias(p) for p in parts]).where(
@@ -272,17 +285,27 @@ def geometric_pairs(df: DataFrame, id_col: str, parts: tuple[str, str, str], the
         n0, n1 = int(b["n0"].iloc[0]), int(b["n1"].iloc[0])
         cuts = [slice(0, n0), slice(n0, n0 + n1), slice(n0 + n1, None)]
         s = [3.0 * (x[:, c] @ y[:, c].T) for c in cuts]
-        ok = (s[0] > 0) & (s[1] > 0) & (s[2] > 0)
-        g = np.where(ok, np.cbrt(np.where(ok, s[0] * s[1] * s[2], 0.0)), 0.0)
-        keep = ok & ((g > theta) if strict else (g >= theta)) & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :])
+        prod = s[0] * s[1] * s[2]
+        floor = theta**3 * (1.0 - 1e-9)
+        keep = (prod >= floor) & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :])
+        if "sg" in a:  # the pattern that makes all three positive is the one that owns the pair
+            keep &= (s[0] > 0) & (s[1] > 0) & (s[2] > 0)
         rows, cols = np.nonzero(keep)
-        sg = matrix(a["sg"])
-        sims = {f"sim_{p}": s[i] * sg[:, [i]] for i, p in enumerate(parts)}
-        return _emit(a, b, rows, cols, {**sims, "sim": g})
+        g = np.cbrt(prod[rows, cols])
+        fine = (g > theta) if strict else (g >= theta)
+        rows, cols, g = rows[fine], cols[fine], g[fine]
+        sg = matrix(a["sg"])[rows] if "sg" in a else np.ones((len(rows), 3))
+        out = _emit(a, b, rows, cols, {f"sim_{p}": s[i] for i, p in enumerate(parts)})
+        for i, p in enumerate(parts):
+            out[f"sim_{p}"] *= sg[:, i]
+        return out.assign(sim=g)
 
     names = [f"sim_{p}" for p in parts] + ["sim"]
     schema = _pairs_schema(df.schema[id_col].dataType, names)
-    cross = metric_join(probes, members, kernel, schema, "angle", limits)
+    if small:
+        cross = _self_join(df.sparkSession, members.toPandas(), kernel, schema)
+    else:
+        cross = metric_join(probes, members, kernel, schema, "angle", limits)
     passes = theta < 1.0 or (theta == 1.0 and not strict)
     if not passes:
         return cross
@@ -297,6 +320,13 @@ def either_pairs(df: DataFrame, id_col: str, first: str, second: str, t1: float,
     """Unordered pairs with cosine(first) > t1 or cosine(second) > t2; each pair once."""
     base = distinct_vectors(df, id_col, [first, second]).select("id", "copies", unit(F.col(first)).alias("p"), unit(F.col(second)).alias("q"))
     schema = _pairs_schema(df.schema[id_col].dataType, ["sim_1", "sim_2"])
+    small = measure(df.select(id_col, first, second))[1] <= limits.broadcast_bytes
+
+    def both(a, b):
+        s1, s2 = matrix(a["p"]) @ matrix(b["p"]).T, matrix(a["q"]) @ matrix(b["q"]).T
+        hit = (s1 > t1) | (s2 > t2)
+        rows, cols = np.nonzero(hit & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]))
+        return _emit(a, b, rows, cols, {"sim_1": s1, "sim_2": s2})
 
     def side(lead: str, t: float, skip_first: bool) -> DataFrame:
         ready = base.where(f"exists({lead}, x -> x <> 0)").withColumn("v", F.col(lead))
@@ -316,6 +346,8 @@ def either_pairs(df: DataFrame, id_col: str, first: str, second: str, t1: float,
         F.when(F.expr("exists(q, x -> x <> 0)"), 1.0).otherwise(0.0).alias("sim_2"),
         (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n_pairs"),
     ).where((F.col("sim_1") > t1) | (F.col("sim_2") > t2))
+    if small:
+        return _self_join(df.sparkSession, base.toPandas(), both, schema).unionByName(own)
     return side("p", t1, False).unionByName(side("q", t2, True)).unionByName(own)
 
 
@@ -352,8 +384,12 @@ def nearest(
         return pd.DataFrame({"src": src[fin], "dst": ids[take][fin], "dist": dist[fin]})
 
     n, size = measure(members)
+    if n == 0:
+        return probes.sparkSession.createDataFrame([], schema)
     if size <= limits.broadcast_bytes:
-        return _broadcast_join(probes.withColumn("tau", F.lit(0.0)), members, top, schema)
+        if probes is members:
+            return _self_join(probes.sparkSession, members.toPandas(), top, schema)
+        return _broadcast_join(probes, members, top, schema)
 
     def bound(a, b):
         d, _ = ranked(a, b)
@@ -389,6 +425,10 @@ def knn(df: DataFrame, id_col: str, v: str, k: int, limits=Limits()) -> DataFram
     all any row can need, and the answer is joined back to the copies.
     """
     rows = df.where(F.expr(f"exists({v}, x -> x <> 0)")).select(F.col(id_col).alias("id"), unit(F.col(v)).alias("v"))
+    w2 = Window.partitionBy("src").orderBy("dist", "dst")
+    if measure(rows)[1] <= limits.broadcast_bytes:
+        found = nearest(rows, rows, k, cosine_gap, np.arccos, limits)
+        return found.withColumn("rank", F.row_number().over(w2))
     groups = rows.groupBy("v").agg(F.min("id").alias("rep"))
     w = Window.partitionBy("v").orderBy("id")
     offered = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r")
@@ -399,5 +439,4 @@ def knn(df: DataFrame, id_col: str, v: str, k: int, limits=Limits()) -> DataFram
     both = found.unionByName(own)
     member = rows.join(groups, "v").select("id", "rep")
     out = member.join(both, member["rep"] == both["src"]).where("id <> dst").select(F.col("id").alias("src"), "dst", "dist")
-    w2 = Window.partitionBy("src").orderBy("dist", "dst")
     return out.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)

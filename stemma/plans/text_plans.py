@@ -86,9 +86,9 @@ def score_bands(spark, sf_dir):
     )
 
 
-@R.query("high_bridge_potential", with_ctes(["docs_ann"], SCORED + "SELECT doc_id, round(bridge_potential, 6) AS bridge_potential FROM scored WHERE round(bridge_potential, 9) > 0.7"))
-def high_bridge_potential(spark, sf_dir):
-    out = scored(spark, sf_dir).where(F.round("bridge_potential", 9) > 0.7)
+@R.query("high_bridge_potential", with_ctes(["docs_ann"], SCORED + "SELECT doc_id, round(bridge_potential, 6) AS bridge_potential FROM scored WHERE round(bridge_potential, 9) > 0.3"))
+def high_bridge_potential(spark, sf_dir, threshold: float = 0.3):
+    out = X.settled(scored(spark, sf_dir).select("doc_id", "bridge_potential"), "bridge_potential").where(F.round("bridge_potential", 9) > threshold)
     return out.select("doc_id", *_r(["bridge_potential"]))
 
 
@@ -213,7 +213,7 @@ def code_blocks(spark, sf_dir):
 )
 def readability(spark, sf_dir):
     c = X.readability(F.col("text"))
-    out = S.table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in c.items() if k != "low_readability"])
+    out = S.texts(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in c.items() if k != "low_readability"])
     return out.withColumn("readability", F.round("readability", 6)).withColumn("low_readability", F.col("readability") < 0.5)
 
 
@@ -280,7 +280,7 @@ def model_responses(spark, sf_dir):
  FROM documents, range(0, 100000) r(i) WHERE i = 0 OR (length(text) > 10000 AND i * 8000 < length(text)))""".replace("range(0, 100000)", "(SELECT unnest(range(0, (SELECT max(length(text)) // 8000 + 1 FROM documents))) AS i)").replace(" r(i)", ""),
 )
 def chunk_fixed(spark, sf_dir):
-    out = chunking.fixed_chunks(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = chunking.fixed_chunks(S.texts(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
@@ -290,7 +290,7 @@ def chunk_fixed(spark, sf_dir):
  (SELECT doc_id, s, ws[s+1:s+512] AS w FROM (SELECT doc_id, {d.words('text')} AS ws FROM documents), (SELECT unnest(range(0, (SELECT max(length(text)) FROM documents), 384)) AS s) WHERE s < len(ws))""",
 )
 def chunk_overlap(spark, sf_dir):
-    out = chunking.token_windows(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = chunking.token_windows(S.texts(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "chunk_index", "token_start", "n_tokens", F.md5("chunk").alias("digest"))
 
 
@@ -301,7 +301,7 @@ def chunk_overlap(spark, sf_dir):
  (SELECT unnest(range(0, (SELECT max(length(text)) FROM documents), 100)) AS s) WHERE s < len(ls))""",
 )
 def chunk_lines(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = S.texts(spark, sf_dir).select("doc_id", "text")
     pages = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     out = chunking.line_chunks(pages.unionByName(docs))
     return out.select("doc_id", "chunk_index", "line_start", "line_end", F.md5("chunk").alias("digest"))

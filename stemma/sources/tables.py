@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than cores; a scan of real size is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _pick(values, key):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
 
@@ -59,8 +69,8 @@ def v3(spark, sf_dir) -> DataFrame:
 
 
 def docs_ann(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n = docs.count()
+    docs = texts(spark, sf_dir)
+    n = table(spark, sf_dir, "documents").count()
     ref = F.concat(F.lit("["), ((F.col("doc_id") * 7 + 13) % n).cast("string"), F.lit("]"))
     tail = F.replace(_pick(TEMPLATES, F.col("doc_id") % 8), F.lit("[REF]"), ref)
     return docs.select("doc_id", "lang", "source", F.concat("text", F.lit("\n"), tail).alias("text"))
