@@ -29,10 +29,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; inside a lambda an outer expression is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """Row divided by its length; a zero row stays zero instead of turning into NaN."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    scaled = lambda a: let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return let(v, scaled)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -109,15 +114,22 @@ def where_vector(path: Column, dims: int = 102) -> Column:
     code = F.aggregate(F.split(sub, ""), F.lit(0), lambda acc, ch: acc + F.ascii(ch))
     hashed = F.when(sub.isNotNull(), F.lit(20) + code % 40)
     low = F.lower(path)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.when(i == 0, n.cast("double"))
-        .when(i == 1, F.contains(low, F.lit("anthropology")).cast("double"))
-        .when(i == 2, F.contains(low, F.lit("information")).cast("double"))
-        .when(F.coalesce(i == letter, F.lit(False)) | F.coalesce(i == hashed, F.lit(False)), F.lit(1.0))
-        .otherwise(F.lit(0.0)),
+    known = F.struct(
+        n.cast("double").alias("depth"),
+        F.contains(low, F.lit("anthropology")).cast("double").alias("one"),
+        F.contains(low, F.lit("information")).cast("double").alias("two"),
+        F.coalesce(letter, F.lit(-1)).alias("letter"),
+        F.coalesce(hashed, F.lit(-1)).alias("hashed"),
     )
-    return unit(raw)
+
+    def fill(k):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.when(i == 0, k["depth"]).when(i == 1, k["one"]).when(i == 2, k["two"])
+            .when((i == k["letter"]) | (i == k["hashed"]), F.lit(1.0)).otherwise(F.lit(0.0)),
+        )
+
+    return unit(let(known, fill))
 
 
 def conveyance_vector(fidelity, actionability, bridge, n_theory, n_practice, dims: int = 922) -> Column:
