@@ -19,7 +19,7 @@ def _setup(spark, name):
 @R.query("stream_ingest", "SELECT doc_id, lang, source, n_chars, length(text)::INT AS chars FROM documents")
 def stream_ingest(spark, sf_dir):
     t, ck = _setup(spark, "nodes")
-    s = I.file_stream(spark, sf_dir, "documents.parquet").select("doc_id", "lang", "source", "n_chars", F.length("text").alias("chars"))
+    s = I.file_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars", F.length("text").alias("chars"))
     I.drain(s, I.upsert_into(t, "doc_id"), ck)
     return t.read()
 
@@ -27,7 +27,7 @@ def stream_ingest(spark, sf_dir):
 @R.query("stream_dedupe", "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def stream_dedupe(spark, sf_dir):
     t, ck = _setup(spark, "seen")
-    s = I.file_stream(spark, sf_dir, "events.parquet").select("user_id", "event_id", "event_type")
+    s = I.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
     I.drain(s, I.insert_new(t, "user_id", "event_id"), ck)
     return t.read()
 
@@ -35,7 +35,7 @@ def stream_dedupe(spark, sf_dir):
 @R.query("stream_every_n", "SELECT 0::BIGINT AS batch_id, count(*) AS rows, count(*) AS total, count(*) // 100 AS updates FROM documents")
 def stream_every_n(spark, sf_dir):
     t, ck = _setup(spark, "counter")
-    s = I.file_stream(spark, sf_dir, "documents.parquet", 1).select("doc_id")
+    s = I.file_stream(spark, f"{sf_dir}/documents.parquet", 1).select("doc_id")
     I.drain(s, I.every_n(100, t), ck)
     return t.read()
 
@@ -47,7 +47,7 @@ def stream_every_n(spark, sf_dir):
 def stream_history(spark, sf_dir):
     """Run history per query kept up to date by a streaming aggregation."""
     t, ck = _setup(spark, "history")
-    s = I.file_stream(spark, sf_dir, "events.parquet").groupBy(F.col("user_id").alias("query_id")).agg(
+    s = I.file_stream(spark, f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("query_id")).agg(
         F.count("*").alias("execution_count"), F.max("value").alias("peak_conveyance"), F.min_by("value", "ts").alias("initial_conveyance"), F.max_by("value", "ts").alias("current_conveyance")
     )
     I.drain(s, I.upsert_into(t, "query_id"), ck, "update")

@@ -14,7 +14,7 @@ TEMPLATES = [
     "Algorithm 1: Link ranking\nInput: graph\nOutput: scores\n1. Build the matrix\n2. Iterate the step\n3. Normalise\n4. Return scores",
     "Theorem 2 holds. Let $x$ be given.\nE = mc2\nwhere m = mass\nThe proof uses entropy and information theory. ∑ terms",
     "For example, consider the case 12. Such as this application, imagine a library for practical results. We compute accuracy.",
-    "```python\nimport os\ndef main():\n    return os\n```\nfor x in items",
+    "```python\nimport os\ndef main():\n    return list(os.environ)\n```\nfor x in items",
     "First, do this.\nThen, do that.\nFinally, stop.\nNext, follow these steps step by step to implement code.",
     "# Overview\n## Parts\n- item one\n- item two\n[link](http://example.org/a)\n![fig](fig.png)\n| a | b |\n| - | - |\n> quoted\nabstract",
     "\n\nRelated work and Background of Graph Theory.\n\nWe extend the method of [REF]. However, it fails to scale.\n\nThe Graph Theory ends",

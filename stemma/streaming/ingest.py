@@ -18,13 +18,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stemma/{name}-{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, folder: str, glob: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of what is already there."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files under a folder, or one file, as a stream with the schema of what is already there."""
+    schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return r.parquet(folder)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a file source watches folders
+        return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return r.parquet(path)
 
 
 def drain(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
