@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.functions.vectors import let
+
 W = r"[\p{L}\p{N}_]"
 NOT_W = r"[^\p{L}\p{N}_]"
 D = r"\p{Nd}"
@@ -153,8 +155,8 @@ def words_of(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Lines without their breaks; a final break opens no further line."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    drop_last = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return let(F.split(c, LINE_BREAK), drop_last)
 
 
 def strip(c: Column) -> Column:
@@ -335,21 +337,19 @@ def guess_language(text: Column, found: str = "en") -> Column:
     return F.when(F.size(common) >= 3, F.lit(found)).otherwise(F.lit("unknown"))
 
 
-def text_stats(text: Column) -> dict[str, Column]:
-    lines = lines_of(text)
+def text_stats(text: Column, lines: Column | None = None) -> dict[str, Column]:
+    """Statistics of a text; pass its lines as a column to split it once for all of them."""
+    lines = lines_of(text) if lines is None else lines
     lengths = F.transform(lines, F.length)
-    head = F.transform(F.slice(lines, 1, 20), strip)
     n = F.size(lines)
-    sectioned = F.exists(head, lambda x: F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("=="))) | F.exists(
-        head, lambda x: x.rlike(rf"^(?:{D}|(?i:chapter|section))")
-    )
+    sectioned = F.exists(F.slice(lines, 1, 20), lambda x: x.rlike(rf"^\s*(?:#|==|{D}|(?i:chapter|section))"))
     return {
         "line_count": n,
         "word_count": F.size(words_of(text)),
         "character_count": F.length(text),
         "average_line_length": F.when(n > 0, F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / n).otherwise(F.lit(0.0)),
         "max_line_length": F.coalesce(F.array_max(lengths), F.lit(0)),
-        "empty_lines": F.size(F.filter(lines, lambda x: strip(x) == "")),
+        "empty_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*$"))),
         "has_headers": (n >= 3) & sectioned,
         "language": guess_language(text),
     }
@@ -367,9 +367,9 @@ def _per_line(lines: Column, pattern: str) -> Column:
     return F.aggregate(F.transform(lines, lambda x: F.regexp_count(x, F.lit(pattern))), F.lit(0), lambda a, x: a + x)
 
 
-def markdown_structure(text: Column) -> dict[str, Column]:
+def markdown_structure(text: Column, lines: Column | None = None) -> dict[str, Column]:
     """Counts per document; an image is also a link, as its bracket part matches both."""
-    lines = lines_of(text)
+    lines = lines_of(text) if lines is None else lines
     header = lambda x: x.rlike(HEADER)
     item = lambda x: x.rlike(rf"^[\s]*[-*+]\s+|^[\s]*{D}+\.\s+")
     return {
@@ -383,7 +383,7 @@ def markdown_structure(text: Column) -> dict[str, Column]:
                 lambda x, i: (i > 0) & x.rlike(TABLE_RULE) & F.coalesce(F.contains(F.get(lines, i - 1), F.lit("|")), F.lit(False)),
             )
         ),
-        "blockquotes": F.size(F.filter(lines, lambda x: F.startswith(strip(x), F.lit(">")))),
+        "blockquotes": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*>"))),
     }
 
 
@@ -426,8 +426,8 @@ def markdown_type(text: Column) -> Column:
     )
 
 
-def readability(text: Column) -> dict[str, Column]:
-    words = words_of(text)
+def readability(text: Column, words: Column | None = None) -> dict[str, Column]:
+    words = words_of(text) if words is None else words
     good = F.size(F.filter(words, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}+$")))
     n = F.size(words)
     ratio = F.when(n > 0, good / n).otherwise(F.lit(0.0))

@@ -42,11 +42,8 @@ def capped(edges: DataFrame, owner: str, other: str, cap: int) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
-BUCKET = 32768  # positions of one built-in bitmap
-
-
 def author_numbers(authors: DataFrame, author: str = "author_id") -> DataFrame:
-    """Dense numbers for the distinct authors, for any id type: position in its range partition plus an offset."""
+    """Dense numbers for the distinct authors, for any id type: position in its partition plus an offset."""
     ids = authors.select(author).distinct()
     numbered = cut_lineage(ids.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
@@ -57,21 +54,26 @@ def author_numbers(authors: DataFrame, author: str = "author_id") -> DataFrame:
     return j.select(author, (F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("num"))
 
 
-def coauthor_sets(authors: DataFrame, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
-    """(author, bucket, bits): each author's co-authors and the author itself as bitmaps.
+def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
+    """Number of distinct co-authors per author, without forming the pairs of a paper.
 
-    Papers are bitmaps of their authors, so nobody enumerates the pairs of a paper: the work is one
-    bitmap union per (author, paper, bucket), folded before the shuffle.
+    An author's largest paper counts as a whole: its size is known. Only what the other papers add is
+    looked at, as 64-author words that are OR-ed per author and cleared of the largest paper's members.
+    A paper holding a third of all rows is then nobody's pair list, only a size and a set of words.
     """
-    a = authors.select(paper, author).distinct().join(author_numbers(authors, author), author)
-    a = a.withColumns({"bucket": F.floor(F.col("num") / BUCKET), "pos": F.col("num") % BUCKET})
-    bits = a.groupBy(paper, "bucket").agg(F.bitmap_construct_agg("pos").alias("bits"))
-    return a.select(paper, author).join(bits, paper).groupBy(author, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-
-
-def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
-    s = coauthor_sets(authors, author, paper)
-    return s.groupBy(author).agg((F.sum(F.bitmap_count("bits")) - 1).alias("n_coauthors"))
+    a = authors.select(paper, author).distinct()
+    n = author_numbers(a, author)
+    a = cut_lineage(a.join(n, author).withColumns({"idx": F.floor(F.col("num") / 64), "bit": F.expr("shiftleft(1L, int(num % 64))")}))
+    size = a.groupBy(paper).agg(F.count("*").alias("n"))
+    words = a.groupBy(paper, "idx").agg(F.bit_or("bit").alias("word"))
+    sized = a.select(paper, author).join(size, paper)
+    best = sized.groupBy(author).agg(F.max(F.struct("n", F.col(paper).alias("p"))).alias("b")).select(author, F.col("b.p").alias("best"), F.col("b.n").alias("n"))
+    rest = a.select(paper, author).join(best.select(author, "best"), author).where(F.col(paper) != F.col("best"))
+    seen = rest.join(words, paper).groupBy(author, "best", "idx").agg(F.bit_or("word").alias("word"))
+    top = words.select(F.col(paper).alias("best"), "idx", F.col("word").alias("own"))
+    extra = seen.join(top, ["best", "idx"], "left").select(author, F.bit_count(F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0))))).cast("long").alias("x"))
+    extra = extra.groupBy(author).agg(F.sum("x").alias("x"))
+    return best.join(extra, author, "left").select(author, (F.col("n") - 1 + F.coalesce("x", F.lit(0))).alias("n_coauthors"))
 
 
 def coauthors_of(authors: DataFrame, who: list, author: str = "author_id", paper: str = "paper_id") -> DataFrame:

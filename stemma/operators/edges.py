@@ -177,36 +177,59 @@ def base_what(ext: Column) -> Column:
     return F.when(ext.isin(CONFIG_SUFFIXES), 0.7).when(ext.isin(TEXT_SUFFIXES), 0.6).otherwise(0.5)
 
 
+def _stem_finder(stems: list[str]):
+    """Function text -> {stem: imported} over all stems, overlapping ones included."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for s in stems:
+        machine.add_word(s, s)
+    machine.make_automaton()
+
+    def find(text: str) -> dict[str, bool]:
+        found: dict[str, bool] = {}
+        for end, s in machine.iter(text):
+            if not found.get(s):
+                found[s] = _imports(text, end + 1 - len(s))
+        return found
+
+    return find
+
+
+def _imports(text: str, at: int) -> bool:
+    return text[max(0, at - 7) : at].endswith("import ") or text[max(0, at - 5) : at].endswith("from ")
+
+
 def mentions(files: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(path, parent, stem, hit, imported): Python files and the Python stems that occur in their text.
 
-    Every stem is some substring of the text, so the substrings of the stem lengths are matched to the
-    stems: against a broadcast set while the stems are small, else by an equi-join.
+    While the stems are small (counted first) every task searches its texts for all of them at once.
+    Beyond that, every stem is some substring of its own length, so the distinct substrings of the
+    occurring lengths are joined to the stems.
     """
     py = files.where(F.col("ext") == ".py").select("path", "parent", "stem", F.coalesce("content", F.lit("")).alias("content"))
-    names = py.select("stem").distinct()
+    names = py.select("stem").where("stem <> ''").distinct()
     size = names.select(F.length("stem").alias("n")).groupBy("n").agg(F.count("*").alias("c")).collect()  # one row per name length
     lengths = sorted(r["n"] for r in size)
     total = sum((r["n"] * 2 + 64) * r["c"] for r in size)
     known = None
     if total <= broadcast_bytes:
-        known = py.sparkSession.sparkContext.broadcast({r["stem"] for r in names.collect()})
+        known = py.sparkSession.sparkContext.broadcast([r["stem"] for r in names.collect()])
+
+    def substrings(text: str) -> dict[str, bool]:
+        found: dict[str, bool] = {}
+        for n in lengths:
+            for i in range(len(text) - n + 1):
+                g = text[i : i + n]
+                if not found.get(g):
+                    found[g] = _imports(text, i)
+        return found
 
     def run(batches):
+        find = substrings if known is None else _stem_finder(known.value)
         for pdf in batches:
-            out = []
-            for path, parent, stem, text in pdf.itertuples(index=False):
-                found: dict[str, bool] = {}
-                for n in lengths:
-                    for i in range(len(text) - n + 1):
-                        g = text[i : i + n]
-                        if known is None or g in known.value:
-                            if text[max(0, i - 7) : i].endswith("import ") or text[max(0, i - 5) : i].endswith("from "):
-                                found[g] = True
-                            else:
-                                found.setdefault(g, False)
-                out += [(path, parent, stem, g, imp) for g, imp in found.items()]
-            yield pd.DataFrame(out, columns=["path", "parent", "stem", "hit", "imported"])
+            rows = [(path, parent, stem, g, imp) for path, parent, stem, text in pdf.itertuples(index=False) for g, imp in find(text).items()]
+            yield pd.DataFrame(rows, columns=["path", "parent", "stem", "hit", "imported"])
 
     grams = py.mapInPandas(run, "path string, parent string, stem string, hit string, imported boolean")
     if known is not None:

@@ -129,6 +129,11 @@ def fallback_b(spark, sf_dir):
 _L = d.lines("text", X.LINE_BREAK)
 
 
+def with_lines(df):
+    """Lines as a column of their own, so that the text is split once."""
+    return df.withColumn("lines", X.lines_of(F.col("text")))
+
+
 @R.query(
     "text_stats",
     with_ctes(["docs_ann"], f""", l AS (SELECT doc_id, text, {_L} AS ls FROM docs_ann),
@@ -141,9 +146,9 @@ _L = d.lines("text", X.LINE_BREAK)
  CASE WHEN len(list_intersect(list_distinct(regexp_split_to_array(lower(text[1:1000]), '\\s+')), {X.ENGLISH_WORDS})) >= 3 THEN 'en' ELSE 'unknown' END AS language FROM h"""),
 )
 def text_stats(spark, sf_dir):
-    c = X.text_stats(F.col("text"))
+    c = X.text_stats(F.col("text"), F.col("lines"))
     c["average_line_length"] = F.round(c["average_line_length"], 6)
-    return S.docs_ann(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in c.items()])
+    return with_lines(S.docs_ann(spark, sf_dir)).select("doc_id", *[v.alias(k) for k, v in c.items()])
 
 
 @R.query(
@@ -170,7 +175,8 @@ def _line_count(p: str) -> str:
  len(list_filter(ls, lambda x: starts_with({d.strip('x')}, '>')))::INT AS blockquotes FROM l"""),
 )
 def md_structure(spark, sf_dir):
-    return S.docs_ann(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in X.markdown_structure(F.col("text")).items()])
+    d = with_lines(S.docs_ann(spark, sf_dir))
+    return d.select("doc_id", *[v.alias(k) for k, v in X.markdown_structure(F.col("text"), F.col("lines")).items()])
 
 
 @R.query(
@@ -212,8 +218,8 @@ def code_blocks(spark, sf_dir):
  FROM (SELECT *, len(list_filter(ws, lambda w: length(w) > 2 AND regexp_matches(w, '^\\p{{L}}+$')))::DOUBLE AS g FROM (SELECT doc_id, text, {d.words('text')} AS ws FROM documents)))""",
 )
 def readability(spark, sf_dir):
-    c = X.readability(F.col("text"))
-    out = S.texts(spark, sf_dir).select("doc_id", *[v.alias(k) for k, v in c.items() if k != "low_readability"])
+    c = X.readability(F.col("text"), F.col("words"))
+    out = S.texts(spark, sf_dir).withColumn("words", X.words_of(F.col("text"))).select("doc_id", *[v.alias(k) for k, v in c.items() if k != "low_readability"])
     return out.withColumn("readability", F.round("readability", 6)).withColumn("low_readability", F.col("readability") < 0.5)
 
 

@@ -35,12 +35,23 @@ def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
     )
 
 
+MAX_RULES = 5000
+
+
 def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(pattern, directory) of every ignore file of a tree. Ignore files are configuration, a handful per project."""
+    """(pattern, directory) of the ignore files of a tree, each relative pattern once.
+
+    Rules become one condition of the scan. A tree with more than MAX_RULES different rules is scanned
+    subtree by subtree, each with its own rules.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(root)
     lines = f.select(P.parent(_clean(F.col("path"))).alias("dir"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
     kept = lines.select("dir", X.strip(F.col("line")).alias("line")).where("line <> '' AND NOT startswith(line, '#')")
-    return [(r["line"], r["dir"]) for r in kept.collect()]
+    rules = kept.select("line", F.when(F.startswith("line", F.lit("/")), F.col("dir")).otherwise(F.lit("/")).alias("dir")).distinct()
+    rows = rules.orderBy("dir", "line").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} ignore rules under {root}: scan its subtrees one by one")
+    return [(r["line"], r["dir"]) for r in rows]
 
 
 def read_contents(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
