@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions import paths as P
+from stemma.session import cut_lineage
 
 # Weights of the relations.
 SIBLING = 0.8
@@ -67,7 +68,15 @@ def profile(df: DataFrame) -> Column:
 _COMBOS = """inline(flatten(transform(cells, a -> transform(filter(cells, b -> b.code >= a.code),
     b -> struct(a.code AS ca, b.code AS cb, if(a.code = b.code, a.n * (a.n - 1) div 2, a.n * b.n) AS pairs)))))"""
 
-_EXTRAS = {"n_all": [], "n_p": ["perms"], "n_o": ["owner"], "n_po": ["perms", "owner"]}
+# Pairs are counted among all files of a group, among those of equal permissions, of equal owner, of both.
+_KINDS = {"all": (False, False), "p": (True, False), "o": (False, True), "po": (True, True)}
+
+
+def _by_kind(cells: DataFrame) -> DataFrame:
+    """Each cell once per kind of equality, with the keys that kind compares; other keys are blank."""
+    held = lambda on, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if on else F.lit("")
+    kinds = [F.struct(F.lit(k).alias("kind"), held(p, "perms").alias("_p"), held(o, "owner").alias("_o")) for k, (p, o) in _KINDS.items()]
+    return cells.select("*", F.inline(F.array(*kinds))).drop("perms", "owner")
 
 
 def _digits(value: Column) -> Column:
@@ -80,44 +89,46 @@ def _digits(value: Column) -> Column:
     )
 
 
-def _large_mixed(cells: DataFrame, by: list[str], extra: list[str], label: str) -> DataFrame:
+def _large_mixed(sized: DataFrame, by: list[str]) -> DataFrame:
     """Pairs of a small and a mid-size file whose average exceeds LARGE.
 
     size_s > 2*LARGE - size_m is split at the first digit where the two differ, which turns the
     comparison into an equi-join on the shared prefix.
     """
-    key = by + extra + ["lvl", "prefix"]
-    base = cells.groupBy(*by, *extra, "code", "size").agg(F.sum("n").alias("n"))
-    small = base.where("code < 16").select(*by, *extra, F.col("code").alias("ca"), "n", F.inline(_digits(F.col("size"))))
-    mid = base.where("code BETWEEN 16 AND 31").select(*by, *extra, F.col("code").alias("cb"), "n", F.inline(_digits(F.lit(2 * LARGE) - F.col("size"))))
-    s = small.groupBy(*key, "ca", "digit").agg(F.sum("n").alias("ns"))
-    m = mid.groupBy(*key, "cb", F.col("digit").alias("mdigit")).agg(F.sum("n").alias("nm"))
-    return s.join(m, key).where("digit > mdigit").groupBy(*by, "ca", "cb").agg(F.sum(F.col("ns") * F.col("nm")).alias("pairs")).withColumn("kind", F.lit(label))
+    key = by + ["kind", "_p", "_o", "lvl", "prefix"]
+    rows = _by_kind(sized)
+    keep = [*by, "kind", "_p", "_o", "code", "n"]
+    small = rows.where("code < 16").select(*keep, F.inline(_digits(F.col("size"))))
+    mid = rows.where("code >= 16").select(*keep, F.inline(_digits(F.lit(2 * LARGE) - F.col("size"))))
+    s = small.groupBy(*key, F.col("code").alias("ca"), "digit").agg(F.sum("n").alias("ns"))
+    m = mid.groupBy(*key, F.col("code").alias("cb"), F.col("digit").alias("mdigit")).agg(F.sum("n").alias("nm"))
+    hit = s.join(m, key).where("digit > mdigit")
+    return hit.groupBy(*by, "ca", "cb", F.concat(F.lit("l_"), "kind").alias("kind")).agg(F.sum(F.col("ns") * F.col("nm")).alias("pairs"))
 
 
 def pair_counts(files: DataFrame, by: list[str]) -> DataFrame:
-    """Unordered file pairs within each `by` group, counted by the properties that set their weight."""
+    """Unordered file pairs within each `by` group, counted by the properties that set their weight.
+
+    The files are folded into cells once and the cells written out; all further work is on cells.
+    """
     coded = files.select(*by, "perms", "owner", profile(files).alias("code"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    cells = coded.groupBy(*by, "perms", "owner", "code").agg(F.count("*").alias("n"))
-    out = []
-    for label, extra in _EXTRAS.items():
-        g = cells if len(extra) == 2 else cells.groupBy(*by, *extra, "code").agg(F.sum("n").alias("n"))
-        packed = g.groupBy(*by, *extra).agg(F.collect_list(F.struct("code", "n")).alias("cells"))  # at most 48 cells
-        pairs = packed.select(*by, F.expr(_COMBOS)).groupBy(*by, "ca", "cb").agg(F.sum("pairs").alias("pairs"))
-        out.append(pairs.withColumn("kind", F.lit(label)))
-    if coded.where("code BETWEEN 16 AND 31").take(1):
+    cells = cut_lineage(coded.groupBy(*by, "perms", "owner", "code").agg(F.count("*").alias("n")))
+    group = [*by, "kind", "_p", "_o"]
+    per = _by_kind(cells).groupBy(*group, "code").agg(F.sum("n").alias("n"))
+    packed = per.groupBy(*group).agg(F.collect_list(F.struct("code", "n")).alias("cells"))  # at most 48 cells
+    every = packed.select(*by, F.concat(F.lit("n_"), "kind").alias("kind"), F.expr(_COMBOS))
+    if cells.where("code BETWEEN 16 AND 31").take(1):
         sized = coded.where("code < 32").groupBy(*by, "perms", "owner", "code", "size").agg(F.count("*").alias("n"))
-        out += [_large_mixed(sized, by, extra, "l" + label[1:]) for label, extra in _EXTRAS.items()]
-    every = reduce(DataFrame.unionByName, out)
-    kinds = list(_EXTRAS) + ["l" + k[1:] for k in _EXTRAS]
+        every = every.unionByName(_large_mixed(sized, by))
+    kinds = [f"{x}_{k}" for x in ("n", "l") for k in _KINDS]
     wide = every.groupBy(*by, "ca", "cb").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("pairs"))), F.lit(0)).alias(k) for k in kinds])
     sa, sb = F.floor(F.col("ca") / 16), F.floor(F.col("cb") / 16)
     mixed = (sa == 0) & (sb == 1)
 
     def four(prefix: str, large, minus: bool):
-        v = {k: (F.col("n" + k) - F.col("l" + k)) if minus else F.col(prefix + k) for k in ("_all", "_p", "_o", "_po")}
+        v = {k: (F.col("n_" + k) - F.col("l_" + k)) if minus else F.col(prefix + "_" + k) for k in _KINDS}
         mk = lambda p, o, n: F.struct(F.lit(p).alias("same_perms"), F.lit(o).alias("same_owner"), large.alias("large"), n.cast("long").alias("n_pairs"))
-        return [mk(True, True, v["_po"]), mk(True, False, v["_p"] - v["_po"]), mk(False, True, v["_o"] - v["_po"]), mk(False, False, v["_all"] - v["_p"] - v["_o"] + v["_po"])]
+        return [mk(True, True, v["po"]), mk(True, False, v["p"] - v["po"]), mk(False, True, v["o"] - v["po"]), mk(False, False, v["all"] - v["p"] - v["o"] + v["po"])]
 
     split = F.array(*(four("l", F.lit(True), False) + four("n", F.lit(False), True)))
     plain = F.array(*four("n", (sa + sb) >= 2, False))
@@ -128,8 +139,7 @@ def pair_counts(files: DataFrame, by: list[str]) -> DataFrame:
         (F.col("ca").bitwiseAND(F.col("cb")).bitwiseAND(F.lit(1)) > 0).alias("both_readable"),
         either(2).alias("encrypted"), either(4).alias("compressed"), either(8).alias("special_tool"),
     )
-    names = PAIR_FLAGS
-    return flags.groupBy(*by, *names).agg(F.sum("n_pairs").alias("n_pairs"))
+    return flags.groupBy(*by, *PAIR_FLAGS).agg(F.sum("n_pairs").alias("n_pairs"))
 
 
 PAIR_FLAGS = ["same_perms", "same_owner", "both_readable", "encrypted", "compressed", "special_tool", "large"]
@@ -237,15 +247,14 @@ def mentions(files: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     return grams.join(names.withColumnRenamed("stem", "hit"), "hit").select("path", "parent", "stem", "hit", "imported")
 
 
-def _either_count(hits: DataFrame, per_stem: DataFrame) -> DataFrame:
-    """Unordered file pairs in which one file names the other, from counts per stem pair."""
-    m = hits.groupBy(F.col("stem").alias("p"), F.col("hit").alias("q")).agg(F.count("*").alias("m"))
-    n = per_stem
-    into = m.where("p <> q").groupBy("q").agg(F.sum("m").alias("m")).join(n, F.col("q") == n["stem"])
+def _either_count(named: DataFrame, per_stem: DataFrame, m: str) -> DataFrame:
+    """Unordered file pairs in which one file names the other, from the counts `m` per stem pair (p names q)."""
+    t = named.select("p", "q", F.col(m).alias("m")).where("m > 0")
+    into = t.where("p <> q").groupBy("q").agg(F.sum("m").alias("m")).join(per_stem, F.col("q") == per_stem["stem"])
     one = into.agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("v"))
-    a, b = m.where("p < q"), m.where("p > q").select(F.col("p").alias("q"), F.col("q").alias("p"), F.col("m").alias("back"))
+    a, b = t.where("p < q"), t.where("p > q").select(F.col("p").alias("q"), F.col("q").alias("p"), F.col("m").alias("back"))
     both = a.join(b, ["p", "q"]).agg(F.coalesce(-F.sum(F.col("m") * F.col("back")), F.lit(0)).alias("v"))
-    own = m.where("p = q").join(n, F.col("p") == n["stem"])
+    own = t.where("p = q").join(per_stem, F.col("p") == per_stem["stem"])
     same = own.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2 - (n - m) * (n - m - 1) div 2")), F.lit(0)).alias("v"))
     return one.unionByName(both).unionByName(same).agg(F.sum("v").alias("v"))
 
@@ -253,10 +262,11 @@ def _either_count(hits: DataFrame, per_stem: DataFrame) -> DataFrame:
 def what_counts(files: DataFrame) -> DataFrame:
     """WHAT edges per suffix and weight: suffix base, raised for Python files that import or name each other."""
     ext = files.groupBy("ext").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("total")).withColumn("base", base_what(F.col("ext")))
-    hits = mentions(files)
+    hits = mentions(files).groupBy(F.col("stem").alias("p"), F.col("hit").alias("q"))
+    hits = cut_lineage(hits.agg(F.count("*").alias("n_named"), F.count_if("imported").alias("n_imported")))
     per = files.where("ext = '.py'").groupBy("stem").agg(F.count("*").alias("n"))
-    named = _either_count(hits, per).withColumn("kind", F.lit("named"))
-    imported = _either_count(hits.where("imported"), per).withColumn("kind", F.lit("imported"))
+    named = _either_count(hits, per, "n_named").withColumn("kind", F.lit("named"))
+    imported = _either_count(hits, per, "n_imported").withColumn("kind", F.lit("imported"))
     extra = named.unionByName(imported).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("v"))), F.lit(0)).alias(k) for k in ("named", "imported")])
     extra = extra.withColumn("ext", F.lit(".py"))
     e = ext.join(F.broadcast(extra), "ext", "left").fillna(0, ["named", "imported"])  # extra is one row
@@ -297,11 +307,15 @@ def named_siblings(files: DataFrame) -> DataFrame:
 
 def composite_counts(files: DataFrame) -> DataFrame:
     """Composite edges: sibling file pairs of one suffix with a CONVEYANCE edge, weight = product of the three."""
-    total = pair_counts(files, ["parent", "ext"]).withColumn("what", base_what(F.col("ext"))).withColumn("drop", F.lit(0))
-    named = named_siblings(files).groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n_pairs")).withColumn("ext", F.lit(".py"))
-    less = named.withColumn("n_pairs", -F.col("n_pairs")).withColumn("what", base_what(F.col("ext")))
+    total = pair_counts(files, ["parent", "ext"]).withColumn("what", base_what(F.col("ext")))
+    named = named_siblings(files).groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n")).withColumn("ext", F.lit(".py"))
+    # a pair that is named leaves the base weight for its own
+    moved = F.array(
+        F.struct(F.col("what").alias("w"), F.col("n").alias("n_pairs")), F.struct(base_what(F.col("ext")).alias("w"), (-F.col("n")).alias("n_pairs"))
+    )
     cols = ["parent", "ext", "what", *PAIR_FLAGS, "n_pairs"]
-    every = total.select(*cols).unionByName(named.select(*cols)).unionByName(less.select(*cols))
+    shift = named.select("parent", "ext", *PAIR_FLAGS, F.inline(moved)).withColumnRenamed("w", "what")
+    every = total.select(*cols).unionByName(shift.select(*cols))
     g = every.groupBy("parent", "ext", "what", *PAIR_FLAGS).agg(F.sum("n_pairs").alias("n_pairs")).where("n_pairs > 0")
     g = g.withColumn("conveyance", conveyance_weight()).where("conveyance > 0.1")
     out = g.groupBy("parent", "ext", "what", "conveyance").agg(F.sum("n_pairs").alias("n_pairs"))
