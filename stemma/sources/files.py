@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import os
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,19 +15,89 @@ from pyspark.sql import types as T
 from stemma.functions import jsonops as J
 from stemma.functions import paths as P
 from stemma.functions import text as X
+from stemma.session import cut_lineage
 
 
-def _clean(path: Column) -> Column:
-    return F.regexp_replace(path, r"^file:/+", "/")
+_ENTRY = "path string, name string, is_dir boolean, size long, modified double"
+LIST_BATCH = 10_000
+
+
+def _fs(path: str):
+    """pyarrow file system and path below it, for local paths and for URIs."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+def _entries(folder: str):
+    """Children of a folder; local ones are streamed, so a folder of any size needs no list of it."""
+    fs, base = _fs(folder)
+    prefix = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(base) as it:
+            for e in it:
+                st = e.stat(follow_symlinks=False)
+                yield f"{prefix}{e.path}", e.name, e.is_dir(follow_symlinks=False), st.st_size, st.st_mtime
+    else:
+        for i in fs.get_file_info(pafs.FileSelector(base)):
+            yield f"{prefix}{i.path}", i.base_name, i.type == pafs.FileType.Directory, i.size or 0, i.mtime.timestamp() if i.mtime else None
+
+
+def walk(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(path, name, size, modified_at) of every file below `root`, hidden ones included.
+
+    The tree is listed breadth first: the folders of one level are spread over the tasks, and an ignored
+    folder is never entered. Spark's own file source would leave out names that start with `_` or `.`,
+    such as a package's __init__.py.
+    """
+    p = F.col("path")
+    drop = P.ignored(p)
+
+    def listed(batches):
+        for pdf in batches:
+            rows = []
+            for folder in pdf["path"]:
+                try:
+                    for e in _entries(folder):
+                        rows.append(e)
+                        if len(rows) >= LIST_BATCH:
+                            yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size", "modified"])
+                            rows = []
+                except (PermissionError, FileNotFoundError):  # a folder that cannot be read has no entries
+                    continue
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size", "modified"])
+
+    level, files = spark.createDataFrame([(root.rstrip("/"),)], "path string"), None
+    while True:
+        found = cut_lineage(level.mapInPandas(listed, _ENTRY).where(~drop))
+        plain = found.where("NOT is_dir").select("path", "name", "size", F.timestamp_seconds("modified").alias("modified_at"))
+        files = plain if files is None else files.unionByName(plain)
+        below = found.where("is_dir")
+        if rules:
+            below = below.where(~P.gitignored(F.concat(p, F.lit("/")), rules))
+        if below.isEmpty():
+            break
+        level = below.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+    return files.where(~P.gitignored(p, rules)) if rules else files
+
+
+def read_bytes(files: DataFrame) -> DataFrame:
+    """(path, content) of listed files, each read by the task that holds its row."""
+    def run(batches):
+        for pdf in batches:
+            for path in pdf["path"]:
+                fs, base = _fs(path)
+                with fs.open_input_stream(base) as f:
+                    yield pd.DataFrame({"path": [path], "content": [f.read()]})
+
+    spread = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(run, "path string, content binary")
 
 
 def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """File nodes below `root` without the ignored ones. Contents are not read: the column is pruned."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = _clean(F.col("path"))
-    f = f.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")).where(~P.ignored(F.col("path")))
-    if rules:
-        f = f.where(~P.gitignored(F.col("path"), rules))
+    """File nodes below `root` without the ignored ones; contents are not read."""
+    f = walk(spark, root, rules)
     ext = P.suffix(F.col("path"))
     p = F.col("path")
     return f.select(
@@ -44,8 +116,8 @@ def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     Rules become one condition of the scan. A tree with more than MAX_RULES different rules is scanned
     subtree by subtree, each with its own rules.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(root)
-    lines = f.select(P.parent(_clean(F.col("path"))).alias("dir"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
+    f = read_bytes(walk(spark, root).where("name = '.gitignore'"))
+    lines = f.select(P.parent(F.col("path")).alias("dir"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
     kept = lines.select("dir", X.strip(F.col("line")).alias("line")).where("line <> '' AND NOT startswith(line, '#')")
     rules = kept.select("line", F.when(F.startswith("line", F.lit("/")), F.col("dir")).otherwise(F.lit("/")).alias("dir")).distinct()
     rows = rules.orderBy("dir", "line").limit(MAX_RULES + 1).collect()
@@ -56,8 +128,7 @@ def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
 
 def read_contents(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """path, text, encoding: UTF-8 when the bytes are valid, else Latin-1."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    f = f.select(_clean(F.col("path")).alias("path"), "content").where(F.lower(P.suffix(F.col("path"))).isin(suffixes)).where(~P.ignored(F.col("path")))
+    f = read_bytes(walk(spark, root).where(F.lower(P.suffix(F.col("path"))).isin(suffixes)))
     raw = F.col("content").cast("string")
     ok = F.is_valid_utf8(raw)
     return f.select("path", F.when(ok, raw).otherwise(F.decode("content", "ISO-8859-1")).alias("text"), F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"))
@@ -249,8 +320,7 @@ def load_binary(spark: SparkSession, root: str, suffixes: list[str], extract: Ex
 
     A file that fails keeps its row with the error.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    f = f.select(_clean(F.col("path")).alias("path"), "content").where(F.lower(P.suffix(F.col("path"))).isin(suffixes))
+    f = read_bytes(walk(spark, root).where(F.lower(P.suffix(F.col("path"))).isin(suffixes)))
 
     def run(batches):
         for pdf in batches:
