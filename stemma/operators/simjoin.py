@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.functions.vectors import matrix, unit
+from stemma.session import cut_lineage
 
 EPS = 1e-6
 RINGS = 32
@@ -121,7 +122,8 @@ class _Blocks:
                 cell = dist.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), pd=dist[np.arange(len(pdf)), cell])
 
-        self.placed = members.mapInPandas(place, placed)
+        # written once: its statistics and the join itself read the same placement
+        self.placed = cut_lineage(members.mapInPandas(place, placed))
         top = float(self.placed.agg(F.max("pd")).first()[0] or 0.0) or 1.0
         self.placed = self.placed.withColumn("ring", F.least(F.lit(RINGS - 1), F.floor(F.col("pd") / top * RINGS)).cast("int"))
         # at most max_pivots * RINGS rows reach the driver
@@ -377,11 +379,19 @@ def nearest(
         d, ids = ranked(a, b)
         order = np.argsort(ids, kind="stable")
         d, ids = d[:, order], ids[order]
+        if d.shape[1] > 4 * k:  # sort only what can be among the k
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+            width = int((d <= kth[:, None]).sum(1).max())
+            near = np.sort(np.argpartition(np.where(d <= kth[:, None], d, np.inf), width - 1, axis=1)[:, :width], axis=1)
+            d = np.take_along_axis(d, near, 1)
+            ids = ids[near]
+        else:
+            ids = np.broadcast_to(ids, d.shape)
         take = np.argsort(d, axis=1, kind="stable")[:, :k]
         dist = np.take_along_axis(d, take, 1)
         fin = np.isfinite(dist)
         src = np.repeat(a["id"].to_numpy(), take.shape[1]).reshape(take.shape)
-        return pd.DataFrame({"src": src[fin], "dst": ids[take][fin], "dist": dist[fin]})
+        return pd.DataFrame({"src": src[fin], "dst": np.take_along_axis(ids, take, 1)[fin], "dist": dist[fin]})
 
     n, size = measure(members)
     if n == 0:

@@ -1,7 +1,8 @@
 """Versioned node and edge tables on Parquet: upserts, queries as documents, run histories.
 
-A table is a folder of numbered versions and a marker naming the current one. Writers add a version and
-then move the marker, so a reader never sees a half-written table and nothing overwrites what it reads.
+A table is a folder of numbered versions, each followed by numbered deltas. A write counts once its
+success file is there, so a reader never sees half of one and nothing overwrites what it reads. An
+upsert writes only its own rows; readers fold the deltas in, and a new version is written now and then.
 """
 
 from __future__ import annotations
@@ -120,41 +121,75 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, bucket: Column, v
     return out.select(key, at, *[F.col(f"_l.{c}").alias(c) for c in cols], *[F.coalesce(F.col(f"_m.{v}"), F.lit(d[v])).alias(v) if v in d else F.col(f"_m.{v}").alias(v) for v in value])
 
 
+def fold_deltas(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of a version and its deltas, oldest first: per key the newest value of every column that is not null."""
+    every = parts[0].withColumn("_v", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.withColumn("_v", F.lit(i)), allowMissingColumns=True)
+    rest = [c for c in every.columns if c not in (*key, "_v")]
+    newest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_v"))).alias(c) for c in rest]
+    return every.groupBy(*key).agg(*newest) if rest else every.select(*key).distinct()
+
+
 class Table:
-    """A named table under a root folder, with whole-version replacement."""
+    """A named table under a root folder."""
+
+    compact_every = 20
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.base = spark, f"{root.rstrip('/')}/{name}"
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _finished(self) -> list[str]:
+        """Names of complete versions (v00000001) and deltas (v00000001.d00000001.key) in order."""
         p = self._path(self.base)
         if not self._fs.exists(p):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.base}/{n}/_SUCCESS"))]
-        return sorted(done)
+        return sorted(n for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.base}/{n}/_SUCCESS")))
+
+    def _current(self) -> tuple[str | None, list[str]]:
+        names = self._finished()
+        versions = [n for n in names if "." not in n]
+        if not versions:
+            return None, []
+        return versions[-1], [n for n in names if n.startswith(versions[-1] + ".")]
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        return self._current()[0] is not None
 
     def read(self) -> DataFrame:
-        v = self._versions()
-        if not v:
+        version, deltas = self._current()
+        if version is None:
             raise FileNotFoundError(self.base)
-        return self.spark.read.parquet(f"{self.base}/v{v[-1]:08d}")
+        parts = [self.spark.read.parquet(f"{self.base}/{n}") for n in [version, *deltas]]
+        if not deltas:
+            return parts[0]
+        return fold_deltas(parts, deltas[0].split(".", 2)[2].split(","))
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        v = self._versions()
+        """New version with these rows."""
+        version, _ = self._current()
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(f"{self.base}/v{(v[-1] + 1 if v else 1):08d}")
-
-    def upsert(self, new: DataFrame, key) -> None:
-        self.write(merge(self.read(), new, key) if self.exists() else new)
+        w.parquet(f"{self.base}/v{(int(version[1:]) + 1 if version else 1):08d}")
+
+    def upsert(self, new: DataFrame, key: str | list[str]) -> None:
+        """Merge rows by key; the cost is that of the new rows, until the deltas are folded into a version.
+
+        `new` holds each key once. All upserts between two versions share one key.
+        """
+        keys = [key] if isinstance(key, str) else key
+        version, deltas = self._current()
+        if version is None:
+            return self.write(new)
+        if len(deltas) >= self.compact_every or (deltas and deltas[0].split(".", 2)[2] != ",".join(keys)):
+            self.write(self.read())
+            version, deltas = self._current()
+        number = int(deltas[-1].split(".")[1][1:]) + 1 if deltas else 1
+        new.write.mode("overwrite").parquet(f"{self.base}/{version}.d{number:08d}.{','.join(keys)}")
 
     def overwrite_rows(self, new: DataFrame, key) -> None:
         self.write(replace(self.read(), new, key) if self.exists() else new)

@@ -54,9 +54,8 @@ def insert_new(table: ST.Table, key: str, order: str) -> Callable[[DataFrame, in
     def go(df: DataFrame, _: int) -> None:
         rows = ST.first_seen(df.withColumn("_o", F.col(order)), key, "_o").drop("_o")
         if table.exists():
-            old = table.read()
-            rows = old.unionByName(ST.skip_existing(rows, old, key), allowMissingColumns=True)
-        table.write(rows)
+            rows = ST.skip_existing(rows, table.read(), key)
+        table.upsert(rows, key)
 
     return go
 

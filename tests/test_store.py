@@ -134,3 +134,25 @@ def test_registry_is_consistent():
     assert set(all_oracles()) <= set(all_queries())
     with pytest.raises(KeyError):
         all_queries()["missing"]
+
+
+def test_deltas_fold_and_compact(spark, tmp_path):
+    t = ST.Table(spark, str(tmp_path), "n")
+    t.compact_every = 2
+    t.write(spark.createDataFrame([(1, "a", None)], "id int, v string, w int"))
+    for i in range(5):
+        t.upsert(spark.createDataFrame([(1, None, i), (10 + i, "new", None)], "id int, v string, w int"), "id")
+    rows = {r.id: (r.v, r.w) for r in t.read().collect()}
+    assert rows == {1: ("a", 4)} | {10 + i: ("new", None) for i in range(5)}
+    assert sorted(p.name for p in (tmp_path / "n").iterdir()) == [
+        "v00000001", "v00000001.d00000001.id", "v00000001.d00000002.id", "v00000002", "v00000002.d00000001.id", "v00000002.d00000002.id", "v00000003", "v00000003.d00000001.id",
+    ]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from stemma.session import ensure_checkpoint_dir
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    got = ensure_checkpoint_dir(spark)
+    assert got == named if named else "stemma-ckpt-" in got
+    assert spark.sparkContext.getCheckpointDir()
