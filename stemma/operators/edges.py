@@ -261,15 +261,17 @@ def _either_count(named: DataFrame, per_stem: DataFrame, m: str) -> DataFrame:
 
 def what_counts(files: DataFrame) -> DataFrame:
     """WHAT edges per suffix and weight: suffix base, raised for Python files that import or name each other."""
-    ext = files.groupBy("ext").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("total")).withColumn("base", base_what(F.col("ext")))
+    ext = files.groupBy("ext").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("total"))
     hits = mentions(files).groupBy(F.col("stem").alias("p"), F.col("hit").alias("q"))
     hits = cut_lineage(hits.agg(F.count("*").alias("n_named"), F.count_if("imported").alias("n_imported")))
     per = files.where("ext = '.py'").groupBy("stem").agg(F.count("*").alias("n"))
     named = _either_count(hits, per, "n_named").withColumn("kind", F.lit("named"))
     imported = _either_count(hits, per, "n_imported").withColumn("kind", F.lit("imported"))
-    extra = named.unionByName(imported).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("v"))), F.lit(0)).alias(k) for k in ("named", "imported")])
-    extra = extra.withColumn("ext", F.lit(".py"))
-    e = ext.join(F.broadcast(extra), "ext", "left").fillna(0, ["named", "imported"])  # extra is one row
+    kinds = ["total", "named", "imported"]
+    rows = ext.select("ext", F.col("total").alias("v"), F.lit("total").alias("kind"))
+    rows = rows.unionByName(named.unionByName(imported).withColumn("ext", F.lit(".py")))
+    e = rows.groupBy("ext").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("v"))), F.lit(0)).alias(k) for k in kinds])
+    e = e.withColumn("base", base_what(F.col("ext")))
     mk = lambda w, n: F.struct(w.alias("weight"), n.cast("long").alias("n_pairs"))
     rows = F.array(mk(F.lit(0.9), F.col("imported")), mk(F.lit(0.7), F.col("named") - F.col("imported")), mk(F.col("base"), F.col("total") - F.col("named")))
     return e.select("ext", F.inline(rows)).groupBy("ext", "weight").agg(F.sum("n_pairs").alias("n_pairs")).where("n_pairs > 0")

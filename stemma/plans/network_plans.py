@@ -121,13 +121,38 @@ def clustering(spark, sf_dir):
     return G.clustering(docs, S.cites(spark, sf_dir)).select("id", F.round("clustering", 9).alias("clustering"))
 
 
-@R.query("betweenness")
+def _betweenness_sql(levels: int = 24) -> str:
+    """Breadth-first levels forward, dependencies backward, written out level by level."""
+    out = ", l0 AS MATERIALIZED (SELECT doc_id AS s, doc_id AS x, 1.0::DOUBLE AS sigma FROM documents)"
+    for i in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT s, x FROM l{k}" for k in range(i))
+        out += f"""
+, l{i} AS MATERIALIZED (SELECT r.* FROM (SELECT s, dst AS x, sum(sigma) AS sigma FROM l{i-1} JOIN cites ON src = x GROUP BY 1, 2) r ANTI JOIN ({seen}) q ON q.s = r.s AND q.x = r.x)"""
+    out += f"\n, d{levels} AS MATERIALIZED (SELECT s, x, 0.0::DOUBLE AS delta FROM l{levels})"
+    for i in range(levels - 1, 0, -1):
+        out += f"""
+, d{i} AS MATERIALIZED (SELECT a.s, a.x, coalesce(sum(a.sigma / b.sigma * (1 + b.delta)), 0) AS delta FROM l{i} a LEFT JOIN (SELECT c.src, l.s, l.sigma, d.delta FROM l{i+1} l JOIN d{i+1} d ON d.s = l.s AND d.x = l.x
+ JOIN cites c ON c.dst = l.x) b ON b.src = a.x AND b.s = a.s GROUP BY 1, 2)"""
+    total = " UNION ALL ".join(f"SELECT x, delta FROM d{i}" for i in range(1, levels + 1))
+    return with_ctes(["cites"], out + f"""
+, n AS (SELECT count(*)::DOUBLE AS n FROM documents) SELECT doc_id AS id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM documents CROSS JOIN n LEFT JOIN (SELECT x, sum(delta) AS b FROM ({total}) GROUP BY 1) t ON t.x = doc_id""")
+
+
+@R.query("betweenness", _betweenness_sql())
 def betweenness(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select("doc_id")
     return G.betweenness(docs, S.cites(spark, sf_dir)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@R.query("communities")
+def _communities_sql(rounds: int = 10) -> str:
+    out = ", b0 AS MATERIALIZED (SELECT DISTINCT author_id, author_id AS label FROM authors)"
+    for i in range(rounds):
+        vote = "SELECT {k}, arg_min(label, (-n, label)) AS label FROM (SELECT {k}, label, count(*) AS n FROM authors JOIN {t} USING ({j}) GROUP BY 1, 2) GROUP BY 1"
+        out += f"\n, p{i} AS MATERIALIZED ({vote.format(k='paper_id', t=f'b{i}', j='author_id')}), b{i+1} AS MATERIALIZED ({vote.format(k='author_id', t=f'p{i}', j='paper_id')})"
+    return sql(out + f" SELECT label AS community, count(*) AS n_authors, round(avg(score), 6) AS score FROM b{rounds} JOIN sc USING (author_id) GROUP BY 1")
+
+
+@R.query("communities", _communities_sql())
 def communities(spark, sf_dir):
     """Communities with their mean author score, best first."""
     a, p = S.authors(spark, sf_dir), S.papers(spark, sf_dir)
