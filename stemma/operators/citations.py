@@ -61,13 +61,12 @@ def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str =
     looked at, as 64-author words that are OR-ed per author and cleared of the largest paper's members.
     A paper holding a third of all rows is then nobody's pair list, only a size and a set of words.
     """
-    a = authors.select(paper, author).distinct()
-    n = author_numbers(a, author)
-    a = cut_lineage(a.join(n, author).withColumns({"idx": F.floor(F.col("num") / 64), "bit": F.expr("shiftleft(1L, int(num % 64))")}))
-    size = a.groupBy(paper).agg(F.count("*").alias("n"))
+    d = authors.select(paper, author).distinct()
+    size = d.groupBy(paper).agg(F.count("*").alias("n"))
+    a = d.join(size, paper).join(author_numbers(d, author), author)
+    a = cut_lineage(a.select(paper, author, "n", F.floor(F.col("num") / 64).alias("idx"), F.expr("shiftleft(1L, int(num % 64))").alias("bit")))
     words = a.groupBy(paper, "idx").agg(F.bit_or("bit").alias("word"))
-    sized = a.select(paper, author).join(size, paper)
-    best = sized.groupBy(author).agg(F.max(F.struct("n", F.col(paper).alias("p"))).alias("b")).select(author, F.col("b.p").alias("best"), F.col("b.n").alias("n"))
+    best = a.groupBy(author).agg(F.max(F.struct("n", F.col(paper).alias("p"))).alias("b")).select(author, F.col("b.p").alias("best"), F.col("b.n").alias("n"))
     rest = a.select(paper, author).join(best.select(author, "best"), author).where(F.col(paper) != F.col("best"))
     seen = rest.join(words, paper).groupBy(author, "best", "idx").agg(F.bit_or("word").alias("word"))
     top = words.select(F.col(paper).alias("best"), "idx", F.col("word").alias("own"))
