@@ -134,17 +134,10 @@ def where_vector(path: Column, dims: int = 102) -> Column:
 
 def conveyance_vector(fidelity, actionability, bridge, n_theory, n_practice, dims: int = 922) -> Column:
     """Three scores, then one flag per theory component from 10 and per practice component from 60."""
-    t = F.least(n_theory, F.lit(50))
-    p = F.least(n_practice, F.lit(50))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.when(i == 0, fidelity)
-        .when(i == 1, actionability)
-        .when(i == 2, bridge)
-        .when((i >= 10) & (i < t + 10), F.lit(1.0))
-        .when((i >= 60) & (i < p + 60), F.lit(1.0))
-        .otherwise(F.lit(0.0)),
-    )
+    t = F.least(n_theory, F.lit(50)).cast("int")
+    p = F.least(n_practice, F.lit(50)).cast("int")
+    run = lambda x, n: F.array_repeat(F.lit(x), n)
+    raw = F.concat(F.array(fidelity, actionability, bridge), run(0.0, 7), run(1.0, t), run(0.0, 50 - t), run(1.0, p), run(0.0, F.lit(dims - 60) - p))
     return unit(raw)
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.functions.text import any_word
+from stemma.functions.text import any_word, strip
+from stemma.functions.vectors import let
 
 # Section titles of the bibliography and the category each stands for.
 SECTIONS = [
@@ -68,19 +69,30 @@ def profile(df: DataFrame, year: str, categories: str, top: int = 10) -> DataFra
 def category_of(arxiv_id: Column, text_low: Column) -> Column:
     """Category of the section title that stands closest before the paper's id; `general` without one."""
     at = F.instr(text_low, arxiv_id)
-    heads = F.array(*[F.struct(F.instr(text_low, F.lit(t)).alias("at"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, t) in enumerate(SECTIONS)])
+    # a substring test on bytes comes first: counting characters up to a title is slow, and most are absent
+    where = lambda t: F.when(F.contains(text_low, F.lit(t)), F.instr(text_low, F.lit(t))).otherwise(F.lit(0))
+    heads = F.array(*[F.struct(where(t).alias("at"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, t) in enumerate(SECTIONS)])
     before = F.array_max(F.filter(heads, lambda h: (h["at"] > 0) & (h["at"] < at)))
     return F.coalesce(before["category"], F.lit("general"))
 
 
 def bibliography(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines that carry an arXiv id, with author and title where the line marks them."""
+    """Lines that carry an arXiv id, with author and title where the line marks them.
+
+    Lines are matched inside the row, so that only entries leave it and the text is not copied per line.
+    """
     pattern = r"arXiv:(\d{4}\.\d{4,5})"
-    lines = df.select(key, F.lower(F.col(text)).alias("_low"), F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(pattern))
-    marked = r'\*\*([^*]+)\*\*.*?"([^"]+)"'
-    ids = F.regexp_extract("line", pattern, 1)
-    found = F.col("line").rlike(marked)
-    return lines.select(
-        key, ids.alias("arxiv_id"), F.when(found, F.regexp_extract("line", marked, 1)).otherwise(F.lit("Unknown")).alias("author"),
-        F.when(found, F.regexp_extract("line", marked, 2)).otherwise(F.trim("line")).alias("title"), "line", category_of(F.lower(ids), F.col("_low")).alias("category"),
-    )
+    marked = r'\*\*(.*?)\*\*.*?"(.*?)"'
+
+    def entry(line, arxiv_id, low):
+        found = line.rlike(marked)
+        return F.struct(
+            arxiv_id.alias("arxiv_id"), F.when(found, strip(F.regexp_extract(line, marked, 1))).otherwise(F.lit("Unknown")).alias("author"),
+            F.when(found, strip(F.regexp_extract(line, marked, 2))).otherwise(strip(line)).alias("title"), strip(line).alias("line"),
+            category_of(F.lower(arxiv_id), low).alias("category"),
+        )
+
+    hits = F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
+    # lambda variables hold the lowered text and the id, so that neither is computed once per use
+    entries = let(F.lower(F.col(text)), lambda low: F.transform(hits, lambda line: let(F.regexp_extract(line, pattern, 1), lambda i: entry(line, i, low))))
+    return df.where(F.contains(text, F.lit("arXiv:"))).select(key, F.inline(entries))

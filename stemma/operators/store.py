@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
@@ -39,12 +40,25 @@ def latest_edges(edges: DataFrame, order: str, with_relationship: bool = True) -
 
     The key holds the relationship, so a second relationship of a pair does not replace the first.
     """
-    e = edges
-    for c, d in (("relationship", "related"), ("edge_type", "semantic"), ("weight", 1.0)):
-        e = e.withColumn(c, F.coalesce(F.col(c), F.lit(d)) if c in edges.columns else F.lit(d))
+    defaults = {"relationship": "related", "edge_type": "semantic", "weight": 1.0}
     keys = ["src", "dst"] + (["relationship"] if with_relationship else [])
-    rest = [c for c in e.columns if c not in keys]
-    last = e.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_e"))
+    if with_relationship:
+        own = F.col("relationship") if "relationship" in edges.columns else F.lit(None).cast("string")
+        edges = edges.withColumn("relationship", F.coalesce(own, F.lit(defaults["relationship"])))
+    last = _newest(edges, keys, order)
+    for c, d in defaults.items():
+        if c not in keys:
+            last = last.withColumn(c, F.coalesce(F.col(c), F.lit(d)) if c in last.columns else F.lit(d))
+    return last
+
+
+def _newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Row with the greatest `order` (unique per key). Fixed-width columns are kept one by one, which Spark
+    can hash; a row with texts is kept as a whole."""
+    rest = [c for c in df.columns if c not in keys]
+    if all(isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for c in rest):
+        return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest])
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_e"))
     return last.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 

@@ -9,6 +9,7 @@ from stemma.operators import graph as G
 from stemma.plans import dialect as d
 from stemma.plans.registry import Registry
 from stemma.plans.vector_plans import cos_sql
+from stemma.session import cut_lineage
 from stemma.sources import tables as S
 from stemma.sources.tables import with_ctes
 
@@ -119,7 +120,7 @@ def bridge_graph_nodes(spark, sf_dir):
 @R.query("bridge_chains", sql("SELECT theory::VARCHAR AS path, 0::INT AS n_edges FROM b WHERE FALSE"))
 def bridge_chains(spark, sf_dir):
     """Chains over bridges only: always empty, since no practice document is a theory document."""
-    b = bridges(spark, sf_dir)
+    b = cut_lineage(bridges(spark, sf_dir).select("theory", "practice"))
     e = b.select(F.col("theory").alias("src"), F.col("practice").alias("dst"))
     out = G.simple_paths(b.select("theory").distinct(), b.select("practice").distinct(), e, 4)
     return out.select(F.array_join("path", ">").alias("path"), "n_edges")

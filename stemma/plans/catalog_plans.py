@@ -241,7 +241,7 @@ def bibliography(spark, sf_dir):
         "text", F.lit("\n## Entropy Generation in Communication\n**Author "), F.col("lang"), F.lit('** et al. "Title '), F.col("doc_id").cast("string"),
         F.lit('", arXiv:2301.'), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("\n## Asymmetric Information Flows\n"),
     )
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+    docs = S.texts(spark, sf_dir).select("doc_id", body.alias("text"))
     return GA.bibliography(docs, "doc_id", "text").select("doc_id", "arxiv_id", "author", "title", "category")
 
 
