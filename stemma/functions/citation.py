@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import any_word, has, strip, words_of
+from stemma.functions.vectors import let
 
 # Citation types in their order with the patterns of each, verbs by tier, keywords and weights.
 TYPE_PATTERNS = {
@@ -125,7 +126,12 @@ def shared_concepts(a: Column, b: Column, top: int = 10) -> Column:
 def usage_window(text: Column, concept: Column) -> Column:
     """Three words either side of the first word holding the concept, in the first sentence whose words hold it."""
     low = F.lower(concept)
-    sentence = F.get(F.filter(F.split(text, "[.!?]+"), lambda s: F.exists(words_of(s), lambda w: F.contains(F.lower(w), low))), F.lit(0))
-    words = words_of(sentence)
-    at = F.get(F.filter(F.transform(words, lambda w, i: F.when(F.contains(F.lower(w), low), i)), lambda i: i.isNotNull()), F.lit(0))
-    return F.coalesce(F.array_join(F.slice(words, F.greatest(at - 3, F.lit(0)) + 1, at + 4 - F.greatest(at - 3, F.lit(0))), " "), F.lit(""))
+    held = lambda w: F.contains(F.lower(w), low)
+    sentences = F.filter(F.split(text, "[.!?]+"), lambda s: F.contains(F.lower(s), low))
+    words = F.get(F.filter(F.transform(sentences, words_of), lambda ws: F.exists(ws, held)), F.lit(0))
+
+    def around(ws):
+        first = F.get(F.filter(F.transform(ws, lambda w, i: F.when(held(w), i)), lambda i: i.isNotNull()), F.lit(0))
+        return let(first, lambda at: F.array_join(F.slice(ws, F.greatest(at - 3, F.lit(0)) + 1, at + 4 - F.greatest(at - 3, F.lit(0))), " "))
+
+    return F.coalesce(let(words, around), F.lit(""))

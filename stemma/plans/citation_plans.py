@@ -188,5 +188,6 @@ def concept_evolution(spark, sf_dir, concept: str = "Is"):
     """How a shared concept is worded in the cited and in the citing text, where the wording differs."""
     s = shared(spark, sf_dir).where(F.array_contains("shared", concept))
     s = s.select("citing", "cited", C.usage_window(F.col("tb"), F.lit(concept)).alias("original_usage"), C.usage_window(F.col("ta"), F.lit(concept)).alias("evolved_usage"))
+    s = X.settled(s, "original_usage", "evolved_usage")
     inf = semantic(spark, sf_dir).select("citing", "cited", F.round("total_influence", 6).alias("influence"))
     return s.join(inf, ["citing", "cited"]).where("original_usage <> evolved_usage").orderBy(F.desc("influence"), "citing", "cited")
