@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import chat
+from stemma.llm import chat, mixing, urls
 from stemma.plans.registry import Registry
 from stemma.sources.tables import table
 
@@ -44,6 +44,69 @@ def op10_prefix_targets(spark, sf_dir):
     return chat.digest(chat.expand(rows.unionByName(probe)))
 
 
+# Parameters of the url filter: (verdict, rule).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@reg.query("op4_host_words")
+def op4_host_words(spark, sf_dir):
+    """Judges every page's url by rules and by the words of its host and path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).drop("url")
+
+
+# Parameters of the mixture: the domain of a source is told by its last digit; weights of each level.
+MIX_WEIGHTS = {"domain": {"web": 2, "books": 3, "reference": 4}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 3}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 11
+
+
+def mixture(docs):
+    """Half as many tokens as the documents have, at the target weights."""
+    source = F.col("source")
+    domain = F.when(source.rlike("[0-3]$"), "web").when(source.rlike("[4-6]$"), "books").when(source.rlike("[7-9]$"), "reference").otherwise("misc")
+    levels = {"domain": domain, "lang": F.col("lang"), "source": source}
+    budget = F.floor(F.col("tokens") * F.lit(MIX_SHARE))
+    return mixing.mix(docs, levels, MIX_WEIGHTS, budget, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def _share_sql(k: int) -> str:
+    levels = list(MIX_WEIGHTS)
+    parent, path, name = levels[:k], levels[: k + 1], levels[k]
+    pp, p = ", ".join(parent) or "1", ", ".join(path)
+    w = "CASE " + " ".join(f"WHEN {name} = '{v}' THEN {n}" for v, n in MIX_WEIGHTS[name].items()) + " ELSE 1 END"
+    src = f"JOIN s{k - 1} USING ({', '.join(parent)})" if k else f"CROSS JOIN (SELECT least(floor(sum(tokens) * {MIX_SHARE}), sum(tokens) * {MIX_EPOCHS})::BIGINT AS budget FROM leaves)"
+    return f"""n{k} AS (SELECT {p}, (sum(tokens) * {MIX_EPOCHS})::BIGINT AS cap, {w} AS w FROM leaves GROUP BY {p}),
+o{k} AS (SELECT n.*, budget, row_number() OVER (PARTITION BY {pp} ORDER BY cap::DOUBLE / w, {name}) AS i FROM n{k} n {src}),
+f{k} AS (SELECT *, (cap::HUGEINT * (sum(w) OVER g - sum(w) OVER u + w)::HUGEINT <= (budget - (sum(cap) OVER u - cap))::HUGEINT * w)::INT AS fits FROM o{k}
+  WINDOW g AS (PARTITION BY {pp}), u AS (PARTITION BY {pp} ORDER BY i)),
+r{k} AS (SELECT *, min(fits) OVER (PARTITION BY {pp} ORDER BY i) = 1 AS isfull FROM f{k}),
+q{k} AS (SELECT *, (budget - coalesce(sum(cap) FILTER (isfull) OVER (PARTITION BY {pp}), 0))::HUGEINT AS rest,
+  (sum(w) FILTER (NOT isfull) OVER (PARTITION BY {pp}))::HUGEINT AS open_w, count(*) FILTER (NOT isfull) OVER (PARTITION BY {pp} ORDER BY i) AS nth FROM r{k}),
+t{k} AS (SELECT *, CASE WHEN NOT isfull THEN rest * w // open_w END AS part FROM q{k}),
+s{k} AS (SELECT {p}, (CASE WHEN isfull THEN cap ELSE least(cap, part + (nth <= rest - sum(part) OVER (PARTITION BY {pp}))::INT) END)::BIGINT AS budget FROM t{k})"""
+
+
+@reg.query(
+    "op6_hierarchical_mix",
+    r"""WITH d AS (SELECT doc_id, coalesce(CASE WHEN regexp_matches(source, '[0-3]$') THEN 'web' WHEN regexp_matches(source, '[4-6]$') THEN 'books'
+ WHEN regexp_matches(source, '[7-9]$') THEN 'reference' ELSE 'misc' END, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ len(regexp_extract_all(text, '[^ 	-
+]+')) AS tokens FROM documents),
+k AS (SELECT * FROM d WHERE tokens > 0), leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM k GROUP BY ALL),
+"""
+    + ",\n".join(_share_sql(k) for k in range(3))
+    + f""",
+p AS (SELECT domain, lang, source, budget // tokens AS whole, budget % tokens AS rest FROM leaves JOIN s2 USING (domain, lang, source) WHERE budget > 0),
+m AS (SELECT k.*, whole, rest, ('0x' || substr(md5('{MIX_SEED}|' || whole || '|' || doc_id), 1, 13))::BIGINT AS key FROM k JOIN p USING (domain, lang, source)),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id) AS run FROM m),
+e AS (SELECT *, whole + (run <= rest)::INT AS copies FROM c)
+SELECT doc_id, domain, lang, source, j::INT AS epoch FROM e, range({MIX_EPOCHS + 1}) r(j) WHERE j < copies""",
+)
+def op6_hierarchical_mix(spark, sf_dir):
+    """Which documents the mixture takes, and in which epochs."""
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch")
+
+
 def all_queries():
     return dict(reg.queries)
 
