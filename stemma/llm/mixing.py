@@ -29,10 +29,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.tables import attach
 from stemma.session import cut_lineage
 
-SMALL_ROWS = 100_000
-RANGE_ROWS = 20_000
+RANGE_ROWS = 500
 _BITS = 52
 
 
@@ -41,11 +41,6 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
-def _attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with an aggregate, which is sent to the tasks only if its counted rows allow it."""
-    return rows.join(F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small, on, how)
-
-
 def _weight(level: Column, weights: dict[str, int]) -> Column:
     return reduce(lambda c, kv: F.when(level == kv[0], F.lit(kv[1])).otherwise(c), weights.items(), F.lit(1)).cast("long")
 
@@ -133,13 +128,13 @@ def mix(
         )
     )
     key = _key(seed, F.col("whole"), F.col("_id"))
-    keyed = _attach(narrow, share.where("rest > 0"), names).withColumn("key", key).withColumn("range", F.expr(f"shiftright(key, {_BITS} - bits)"))
+    keyed = attach(narrow, share.where("rest > 0"), names).withColumn("key", key).withColumn("range", F.expr(f"shiftright(key, {_BITS} - bits)"))
     sums = keyed.groupBy(*names, "range", "rest").agg(F.sum("tokens").alias("s"))
     before = F.sum("s").over(Window.partitionBy(*names).orderBy("range")) - F.col("s")
     last = sums.withColumn("before", before).where("before <= rest AND rest < before + s").select(*names, "range", "before")
     run = F.sum("tokens").over(Window.partitionBy(*names).orderBy("key", "_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ends = (
-        _attach(keyed, cut_lineage(last), [*names, "range"])
+        attach(keyed, cut_lineage(last), [*names, "range"])
         .withColumn("run", run + F.col("before"))
         .groupBy(*names)
         .agg(F.max(F.when(F.col("run") <= F.col("rest"), F.struct("key", "_id"))).alias("end"), F.min("range").alias("range"))
@@ -152,7 +147,7 @@ def mix(
     extra = F.when((F.col("rest") > 0) & F.coalesce(within, F.lit(False)), 1).otherwise(0)
     keep = [c for c in placed.columns if c != "epoch"]
     return (
-        _attach(placed.where(F.col(text).rlike("[^ \\t-\\r]")), plan, names)
+        attach(placed.where(F.col(text).rlike("[^ \\t-\\r]")), plan, names)
         .withColumn("_mine", mine)
         .withColumn("_copies", F.col("whole") + extra)
         .where("_copies > 0")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import chat, mixing, urls
+from stemma.llm import chat, jaccard, language, mixing, permutation_index, quality, toxicity, urls
+from stemma.llm.tables import fold
 from stemma.plans.registry import Registry
 from stemma.sources.tables import table
 
@@ -107,6 +108,62 @@ def op6_hierarchical_mix(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch")
 
 
+@reg.query("op1_families")
+def op1_families(spark, sf_dir):
+    """Language of every document; a fifth of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def quality_of(docs, labels):
+    """Documents judged with their source as host and their language as the path below it."""
+    return quality.judge(docs, quality.fit(docs, labels), F.col("source"), F.col("lang"))
+
+
+@reg.query("op3_site_bayes")
+def op3_site_bayes(spark, sf_dir):
+    """Quality of every document from its text and its site."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_of(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@reg.query(
+    "op7_adaptive_prefixes",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 OR w IS NULL THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS u, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.u = e.u WHERE r.c < e.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+  JOIN (SELECT u, min(c) AS c FROM r GROUP BY 1) z ON z.u = d.doc_id""",
+)
+def op7_adaptive_prefixes(spark, sf_dir):
+    """Groups of near copies among all documents."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@reg.query("op8_nnpu")
+def op8_nnpu(spark, sf_dir):
+    """Toxicity of every document; a quarter of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    learn = ~held_out
+    model = toxicity.fit(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    return toxicity.judge(docs.withColumn("held_out", held_out), model).drop("text")
+
+
+@reg.query("op9_permutations")
+def op9_permutations(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def all_queries():
     return dict(reg.queries)
 
