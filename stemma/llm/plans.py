@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import chat, jaccard, language, mixing, permutation_index, quality, toxicity, urls
+from stemma.llm import chat, decontaminate, html_blocks, jaccard, language, mixing, permutation_index, quality, toxicity, urls
 from stemma.llm.tables import fold
 from stemma.plans.registry import Registry
 from stemma.sources.tables import table
@@ -117,6 +117,13 @@ def op1_families(spark, sf_dir):
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+@reg.query("op2_string_tiling")
+def op2_string_tiling(spark, sf_dir):
+    """Benchmark items that documents leak."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def quality_of(docs, labels):
     """Documents judged with their source as host and their language as the path below it."""
     return quality.judge(docs, quality.fit(docs, labels), F.col("source"), F.col("lang"))
@@ -129,6 +136,13 @@ def op3_site_bayes(spark, sf_dir):
     return quality_of(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+@reg.query("op5_block_labeller")
+def op5_block_labeller(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 @reg.query(
     "op7_adaptive_prefixes",
     r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),

@@ -6,11 +6,11 @@ never used as examples. A linear model over the presence of words minimises the
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
 
 with the logistic loss, where the class prior corrects for the toxic texts among the unlabelled ones. In
-batches where the second term is negative its gradient is reversed, so the estimate cannot be driven
+steps where the second term is negative its gradient is reversed, so the estimate cannot be driven
 below zero by memorising the positives (non-negative risk estimator).
 
 Words are counted in the sample by a grouped aggregation; a word becomes a feature if it is in at least
-`LEAST_DOCS` toxic texts and its log-likelihood ratio between toxic and unlabelled texts reaches
+`LEAST_DOCS` toxic texts, more often there than in unlabelled ones, and its log-likelihood ratio between toxic and unlabelled texts reaches
 `LEAST_G2`; the `FEATURES` strongest are kept. Sample sizes are about `POSITIVES` and `UNLABELLED`
 documents. Every text is scored as a whole, where it is read.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from stemma.llm.tables import sampled
 
 POSITIVES, UNLABELLED = 3000, 9000
-FEATURES, LEAST_DOCS, LEAST_G2 = 4096, 5, 15.0
+FEATURES, LEAST_DOCS, LEAST_G2 = 4096, 3, 8.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,39 +42,29 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, *, epochs: int = 60, rate: float = 0.05, decay: float = 1e-3, seed: int = 0):
-    """Weights and bias of a linear model over present features, by Adam on batches of both sets."""
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4):
+    """Weights and bias of a linear model over present features, by Adam on the risk of the whole sample."""
     w, bias = np.zeros(dim), float(np.log(prior / (1 - prior)))
-    first, second, step = np.zeros(dim + 1), np.zeros(dim + 1), 0
-    rng = np.random.default_rng(seed)
-    rounds = max(1, len(unl) // 512)
+    first, second = np.zeros(dim + 1), np.zeros(dim + 1)
+    flat = [(np.concatenate([*rows, np.empty(0, int)]).astype(int), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)) for rows in (pos, unl)]
 
-    def slopes(rows: list[np.ndarray], sign: int) -> tuple[float, np.ndarray]:
+    def slopes(at: np.ndarray, own: np.ndarray, n: int, sign: int) -> tuple[float, np.ndarray]:
         """Mean logistic loss for the class `sign`, and its gradient."""
-        size = np.array([len(r) for r in rows])
-        at = np.concatenate(rows) if rows else np.empty(0, int)
-        own = np.repeat(np.arange(len(rows)), size)
-        f = np.bincount(own, w[at], len(rows)) + bias
-        g = -sign / (1 + np.exp(sign * np.clip(f, -50, 50))) / len(rows)
+        f = np.bincount(own, w[at], n) + bias
+        g = -sign / (1 + np.exp(sign * np.clip(f, -50, 50))) / n
         return float(np.logaddexp(0, -sign * f).mean()), np.append(np.bincount(at, g[own], dim), g.sum())
 
-    for _ in range(epochs):
-        p_order, u_order = rng.permutation(len(pos)), rng.permutation(len(unl))
-        for p_at, u_at in zip(np.array_split(p_order, rounds), np.array_split(u_order, rounds)):
-            if not len(p_at) or not len(u_at):
-                continue
-            p_rows, u_rows = [pos[i] for i in p_at], [unl[i] for i in u_at]
-            _, up = slopes(p_rows, 1)
-            loss_p, down_p = slopes(p_rows, -1)
-            loss_u, down_u = slopes(u_rows, -1)
-            rest = down_u - prior * down_p
-            grad = prior * up + rest if loss_u >= prior * loss_p else -rest
-            grad[:dim] += decay * w
-            step += 1
-            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-            move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            w -= move[:dim]
-            bias -= move[dim]
+    for step in range(1, steps + 1):
+        _, up = slopes(*flat[0], 1)
+        loss_p, down_p = slopes(*flat[0], -1)
+        loss_u, down_u = slopes(*flat[1], -1)
+        rest = down_u - prior * down_p
+        grad = prior * up + rest if loss_u >= prior * loss_p else -rest
+        grad[:dim] += decay * w
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= move[:dim]
+        bias -= move[dim]
     return w, bias
 
 
@@ -118,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         g2 = 2 * sum(
             term(c, share * t) + term(t - c, (1 - share) * t) for c, t in ((p.cast("double"), float(size["p"])), (u.cast("double"), float(size["u"])))
         )
-        strongest = count.where(p >= LEAST_DOCS).select("x", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "x").limit(FEATURES)
+        strongest = count.where((p >= LEAST_DOCS) & (p * size["u"] > u * size["p"])).select("x", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "x").limit(FEATURES)
         vocabulary = {r["x"]: i for i, r in enumerate(strongest.collect())}
 
         def places(batches):
