@@ -49,7 +49,7 @@ HEADS, SHARED_HEADS = 8, 3
 LONGEST = 4
 LISTED, LEAST_LISTED = 1 << 18, 16
 COUNTED_TOGETHER = 2_000_000
-SMALL_IDS = 1_000_000
+SMALL_IDS, SMALL_NODES = 1_000_000, 500_000
 _VERIFY = 20.0
 
 
@@ -150,34 +150,50 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return cut_lineage(docs.mapInPandas(rows, _ROW))
 
 
+def _attach(rows: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """Rows of the nodes, a table of numbers that is sent to the tasks if its counted rows allow it."""
+    return rows.join(F.broadcast(nodes) if nodes.limit(SMALL_NODES + 1).count() <= SMALL_NODES else nodes, ["id", "f1", "f2"], how)
+
+
 def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in a table of numbers, which is sent to the tasks if its counted rows allow it."""
     return rows.join(F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids, on, "left_semi")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _compare(docs: DataFrame, pairs: DataFrame, width: int, bits: int) -> DataFrame:
+    """The pairs that can be similar enough, judged on the shingles whose hash begins with `bits` zeros.
+
+    Of shingles outside that part, as many are taken as shared as the sizes allow, so no similar pair is
+    lost. With 0 bits the whole sets are compared and the answer is exact.
+    """
     pairs = cut_lineage(pairs.select("a", "b").distinct())
     ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    below = np.uint64((1 << (64 - bits)) - 1)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [s.tobytes() for s in _sets(b["t"], width)]})
+            sets = _sets(b["t"], width)
+            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s": [s[s <= below].tobytes() for s in sets]})
 
-    sets = cut_lineage(_only(docs, ids, "id").mapInPandas(build, "id long, s binary"))
+    sets = cut_lineage(_only(docs, ids, "id").mapInPandas(build, "id long, n int, s binary"))
 
     @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+    def similar(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
         out = []
-        for p, q in zip(x, y):
+        for p, q, n, m in zip(x, y, nx, ny):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+            most = len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))
+            out.append(100 * most >= PERCENT * (n + m - most))
         return pd.Series(out, dtype=bool)
 
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.where(similar("sa", "sb")).select("a", "b").distinct()
+    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    both = right.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
+    return both.where(similar("sa", "sb", "na", "nb")).select("a", "b").distinct()
+
+
+def verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough: a quarter of the sets first, then all of those left."""
+    return _compare(docs, _compare(docs, pairs, width, 2), width, 0)
 
 
 def _stars(reps: DataFrame) -> DataFrame:
@@ -196,12 +212,10 @@ def _stars(reps: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(reps: DataFrame, roots: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs in different components that share enough of their prefixes."""
-    placed = reps.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    posts = placed.select(
-        "id", "n", "l", F.coalesce("root", "id").alias("root"), F.posexplode("prefix").alias("pos", "token")
-    )
+    placed = cut_lineage(nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "f1", "f2", F.coalesce("root", "id").alias("root")))
+    posts = _attach(rows, placed, "inner").select("id", "n", "l", "root", F.posexplode("prefix").alias("pos", "token"))
     mixed = posts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     posts = cut_lineage(_only(posts, cut_lineage(mixed), "token"))
     x, y = posts.alias("x"), posts.alias("y")
@@ -224,10 +238,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = describe(docs, width)
     folded = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     folded = cut_lineage(folded)
-    reps = rows.where("n > 0").join(folded.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi")
-    stars = verify(docs, _stars(reps), width)
+    nodes = folded.select(F.col("rep").alias("id"), "f1", "f2")
+    stars = verify(docs, _stars(_attach(rows, nodes, "left_semi")), width)
     roots = connected(stars)
-    links = verify(docs, _candidates(reps, roots), width)
+    links = verify(docs, _candidates(rows, nodes, roots), width)
     roots = connected(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     named = rows.select("id", "n", "f1", "f2").join(folded, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
