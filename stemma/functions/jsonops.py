@@ -65,10 +65,14 @@ def _words(v, at, out):
 
 
 def _describe(text: str):
+    """Shape of one text; None if it is no JSON or nested deeper than Python can follow."""
     try:
-        v = json.loads(text)
-    except (TypeError, ValueError):
+        return _shape(json.loads(text))
+    except (TypeError, ValueError, RecursionError):
         return None
+
+
+def _shape(v):
     is_map, is_list = isinstance(v, dict), isinstance(v, list)
     looked = list(v.values()) if is_map else v[:10] if is_list else []
     types: dict[str, int] = {}

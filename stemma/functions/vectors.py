@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,7 +150,8 @@ def matrix(column) -> np.ndarray:
 def score(df: DataFrame, v: str, query: list[float], slices: list[tuple[int, int]] | None = None) -> DataFrame:
     """Add cosine to `query` for the whole vector (`score`) or for each (start, stop) slice (`score_0`, ...).
 
-    Arrow batches are viewed as one matrix, so a batch costs one product and no per-row Python.
+    Arrow batches are viewed as one matrix, so a batch costs one product and no per-row Python. A vector
+    that is null or of another length than the query gets a null score.
     """
     q = np.asarray(query, dtype=np.float64)
     parts = slices or [(0, len(q))]
@@ -159,13 +161,17 @@ def score(df: DataFrame, v: str, query: list[float], slices: list[tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = b.column(v).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q)).astype(np.float64)
+            fits = pc.fill_null(pc.equal(pc.list_value_length(b.column(v)), len(q)), False)
+            at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+            m = b.column(v).filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q)).astype(np.float64)
             cols = []
             for lo, hi in parts:
                 a, y = m[:, lo:hi], q[lo:hi]
                 len_a, len_y = np.sqrt((a * a).sum(1)), np.sqrt((y * y).sum())
                 den = len_a * len_y
-                cols.append(pa.array(np.divide(a @ y, den, out=np.zeros(len(a)), where=den > 0)))
+                score = np.zeros(b.num_rows)
+                score[at] = np.divide(a @ y, den, out=np.zeros(len(a)), where=den > 0)
+                cols.append(pa.array(score, mask=~fits.to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, names=keep + names)
 
-    return df.where(F.size(v) == len(q)).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -61,7 +61,7 @@ def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str =
     looked at, as 64-author words that are OR-ed per author and cleared of the largest paper's members.
     A paper holding a third of all rows is then nobody's pair list, only a size and a set of words.
     """
-    d = authors.select(paper, author).distinct()
+    d = cut_lineage(authors.select(paper, author).distinct())
     size = d.groupBy(paper).agg(F.count("*").alias("n"))
     a = d.join(size, paper).join(author_numbers(d, author), author)
     a = cut_lineage(a.select(paper, author, "n", F.floor(F.col("num") / 64).alias("idx"), F.expr("shiftleft(1L, int(num % 64))").alias("bit")))
@@ -111,25 +111,28 @@ def author_profiles_scores(authors: DataFrame, papers: DataFrame, now: int = 202
     return authors.join(v, "paper_id", "left").groupBy("author_id").agg(F.coalesce(F.avg("velocity"), F.lit(0.0)).alias("conveyance_score"))
 
 
-def communities(authors: DataFrame, rounds: int = 10, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
-    """(author, community) by label propagation between authors and their papers.
+def communities(authors: DataFrame, free_rounds: int = 10, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
+    """(author, community) by label propagation between authors and their papers, until no label moves.
 
     Stands in for greedy modularity. Each round a paper takes the most frequent label of its authors and
     an author the most frequent label of its papers, ties to the smaller label; the co-author pairs are
-    never formed and votes are counted before they are compared.
+    never formed and votes are counted before they are compared. After `free_rounds` a label may only
+    become smaller, so labels that would swing back and forth come to rest and the loop always ends.
     """
     a = cut_lineage(authors.select(author, paper).distinct())
-    label = a.select(author).distinct().withColumn("label", F.col(author))
+    label = cut_lineage(a.select(author).distinct().withColumn("label", F.col(author)))
 
     def vote(rows: DataFrame, key: str) -> DataFrame:
         n = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
         return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(key, "b.label")
 
-    for _ in range(rounds):
+    done = 0
+    while True:
         at_paper = vote(a.join(label, author), paper)
-        nxt = cut_lineage(vote(a.join(at_paper, paper), author))
-        moved = nxt.join(label.withColumnRenamed("label", "old"), author).where("label <> old").limit(1).count()
-        label = nxt
-        if not moved:
-            break
-    return label.withColumnRenamed("label", "community")
+        new = vote(a.join(at_paper, paper), author).withColumnRenamed("label", "new").join(label, author)
+        done += 1
+        free = F.col("new") if done <= free_rounds else F.least("new", "label")
+        both = cut_lineage(new.select(author, free.alias("new"), "label"))
+        label = both.select(author, F.col("new").alias("label"))
+        if not both.where("new <> label").take(1):
+            return label.withColumnRenamed("label", "community")

@@ -38,11 +38,9 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def contains_edges(files: DataFrame) -> DataFrame:
-    """Parent to child; the parent must itself be a node."""
-    n = nodes(files)
-    up = directories(files).select(F.col("path").alias("src"))
-    return n.join(up, n["parent"] == up["src"]).select(
-        "src", F.col("path").alias("dst"), F.lit(1.0).alias("weight"), F.lit("contains").alias("relationship")
+    """Parent to child. Every parent of a node is a directory by construction, but for the empty one above the root."""
+    return nodes(files).where("parent <> ''").select(
+        F.col("parent").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("weight"), F.lit("contains").alias("relationship")
     )
 
 
@@ -73,10 +71,11 @@ _KINDS = {"all": (False, False), "p": (True, False), "o": (False, True), "po": (
 
 
 def _by_kind(cells: DataFrame) -> DataFrame:
-    """Each cell once per kind of equality, with the keys that kind compares; other keys are blank."""
-    held = lambda on, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if on else F.lit("")
+    """Each cell once per kind of equality, with the keys that kind compares; other keys are blank. An
+    unknown owner or permission equals no other, so such cells are left out where it is compared."""
+    held = lambda on, c: F.col(c).cast("string") if on else F.lit("")
     kinds = [F.struct(F.lit(k).alias("kind"), held(p, "perms").alias("_p"), held(o, "owner").alias("_o")) for k, (p, o) in _KINDS.items()]
-    return cells.select("*", F.inline(F.array(*kinds))).drop("perms", "owner")
+    return cells.select("*", F.inline(F.array(*kinds))).where("_p IS NOT NULL AND _o IS NOT NULL").drop("perms", "owner")
 
 
 def _digits(value: Column) -> Column:

@@ -195,6 +195,7 @@ class _Blocks:
     def match(self, routed: DataFrame, kernel: Kernel, schema: T.StructType) -> DataFrame:
         """Run the kernel on every (block, share of its probes)."""
         key = ["code", "sub"]
+        routed = cut_lineage(routed)  # the largest intermediate: counted and joined from one copy
         shares = routed.groupBy(*key).agg(F.ceil(F.count("*") / self.limits.probe_rows).cast("long").alias("shares"))
         left = routed.join(shares, key).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares")
         right = (

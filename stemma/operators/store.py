@@ -193,7 +193,8 @@ class Table:
     def upsert(self, new: DataFrame, key: str | list[str]) -> None:
         """Merge rows by key; the cost is that of the new rows, until the deltas are folded into a version.
 
-        `new` holds each key once. All upserts between two versions share one key.
+        `new` holds each key once. All upserts between two versions share one key. Of two writers that pick
+    the same number only the first goes through, the other gets an error.
         """
         keys = [key] if isinstance(key, str) else key
         version, deltas = self._current()
@@ -203,7 +204,7 @@ class Table:
             self.write(self.read())
             version, deltas = self._current()
         number = int(deltas[-1].split(".")[1][1:]) + 1 if deltas else 1
-        new.write.mode("overwrite").parquet(f"{self.base}/{version}.d{number:08d}.{','.join(keys)}")
+        new.write.mode("errorifexists").parquet(f"{self.base}/{version}.d{number:08d}.{','.join(keys)}")
 
     def overwrite_rows(self, new: DataFrame, key) -> None:
         self.write(replace(self.read(), new, key) if self.exists() else new)

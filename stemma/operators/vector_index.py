@@ -25,7 +25,7 @@ class VectorIndex:
     def build(self, df: DataFrame, id_col: str, v: str, cells: int = 100) -> "VectorIndex":
         rows = df.select(F.col(id_col).alias("id"), V.unit(F.col(v)).alias("v")).where("exists(v, x -> x <> 0)")
         rows = rows.withColumn("h", F.xxhash64("id"))
-        sample = rows.orderBy("h").limit(min(cells, 4096)).select("v").collect()
+        sample = rows.orderBy("h").limit(cells).select("v").collect()
         self._place(rows.drop("h"), np.array([r["v"] for r in sample]))
         return self
 
@@ -39,7 +39,7 @@ class VectorIndex:
                 yield pdf.assign(angle=a[np.arange(len(pdf)), cell], cell=cell.astype("int32"))
 
         placed = rows.select("id", "v").mapInPandas(run, schema)
-        self.vectors.write(placed, ["cell"])
+        self.vectors.write(placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))), ["cell"])
         spans = self.vectors.read().groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
         known = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
         self.centres.write(known.join(spans, "cell"))
@@ -69,12 +69,12 @@ class VectorIndex:
         if probes is None:
             filled = n[order].cumsum()
             first = order[: int(np.searchsorted(filled, k)) + 1]
-            near = self._score(cell[first], q).orderBy(F.desc("score"), "id").limit(k).agg(F.min("score").alias("s"), F.count("*").alias("c")).first()
+            near = self._score(cell[first], q).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k).agg(F.min("score").alias("s"), F.count("*").alias("c")).first()
             limit = np.arccos(np.clip(near["s"], -1, 1)) + 1e-6 if near["c"] >= k else np.pi
             chosen = cell[angle - radius <= limit]
         else:
             chosen = cell[order[:probes]]
-        return self._score(chosen, q).orderBy(F.desc("score"), "id").limit(k)
+        return self._score(chosen, q).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
 
     def _score(self, cells, q) -> DataFrame:
         part = self.vectors.read().where(F.col("cell").isin([int(c) for c in cells]))

@@ -222,6 +222,13 @@ def lcc_filename(spark, sf_dir):
     return named(spark, sf_dir).select("doc_id", "filename", P.class_folder(F.col("code")).alias("folder"))
 
 
+@R.query("lcc_index_files", with_ctes(["docs_ann"], _LCC + _FNAME + """SELECT doc_id, code, string_split(filename, '_')[2] AS year, string_split(filename, '_')[3] AS author, filename FROM nm"""))
+def lcc_index_files(spark, sf_dir):
+    """The file rows behind the index: class, year and author of every file."""
+    p = F.split("filename", "_")
+    return named(spark, sf_dir).select("doc_id", "code", p[1].alias("year"), p[2].alias("author"), "filename")
+
+
 @R.query("lcc_index", with_ctes(["docs_ann"], _LCC + _FNAME + """SELECT code, year, author, count(*) AS n FROM (SELECT code, string_split(filename, '_')[2] AS year, string_split(filename, '_')[3] AS author FROM nm) GROUP BY GROUPING SETS ((code), (year), (author), ())"""))
 def lcc_index(spark, sf_dir):
     """Counts by class, by year, by author and in total, in one pass."""
@@ -255,6 +262,13 @@ def download_summary(spark, sf_dir):
     return j.groupBy(F.col("source").alias("category")).agg(F.count_if(~bad).alias("downloaded"), F.count_if(bad).alias("failed"), F.min(F.when(bad, F.col("doc_id"))).alias("first_failed"))
 
 
+@R.query("failed_downloads", "SELECT source AS category, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def failed_downloads(spark, sf_dir):
+    """Every failed id with its category."""
+    docs = S.table(spark, sf_dir, "documents").select(F.col("source").alias("category"), "doc_id")
+    return docs.join(S.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti").select("category", "doc_id")
+
+
 @R.query("pipeline_counters", """SELECT count(*) AS processed, count(*) FILTER (l.doc_id IS NULL) AS failed, count(*) FILTER (e.vec_id IS NOT NULL) AS embeddings, count(*) FILTER (l.quality = 1) AS relationships
  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def pipeline_counters(spark, sf_dir):

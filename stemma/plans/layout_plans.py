@@ -8,17 +8,18 @@ from stemma.functions import vectors as V
 from stemma.operators import layout as L
 from stemma.plans.registry import Registry
 from stemma.plans.vector_plans import symmetric, weighted_knn, wknn_sql
+from stemma.session import cut_lineage
 from stemma.sources import tables as S
 
 R = Registry()
-DIMS = 4
+DIMS = 64
 
 
 def start(spark, sf_dir):
-    """Known start: four embedding dimensions stretched by three, so that some nodes are beyond reach."""
+    """Known start: the whole embedding at a scale where some nodes are within reach and others beyond, moving backwards through it."""
     v = S.v3(spark, sf_dir)
     return v.select(
-        "id", F.transform(F.slice("e", 1, DIMS), lambda x: x * 3.0).alias("pos"), F.transform(F.slice("e", 5, DIMS), lambda x: x * 0.1).alias("vel"),
+        "id", F.transform("e", lambda x: x * 0.75).alias("pos"), F.transform(F.reverse("e"), lambda x: x * 0.1).alias("vel"),
         F.when(F.col("clarity") > 0.3, 0.2).otherwise(0.0).alias("stress"), F.when(F.col("act") < 0.5, -20).otherwise(0).alias("last_move"), (F.col("fid") > L.ANCHOR_FIDELITY).alias("is_anchor"),
     )
 
@@ -28,15 +29,15 @@ def one_step(spark, sf_dir):
     return L.step(start(spark, sf_dir), edges, DIMS, 1)
 
 
-_STEP = """, st AS (SELECT id, list_transform(e[1:4], lambda x: x * 3.0::DOUBLE) AS pos, list_transform(e[5:8], lambda x: x * 0.1::DOUBLE) AS vel, CASE WHEN clarity > 0.3 THEN 0.2 ELSE 0 END::DOUBLE AS stress,
+_STEP = """, st AS (SELECT id, list_transform(e, lambda x: x * 0.75::DOUBLE) AS pos, list_transform(list_reverse(e), lambda x: x * 0.1::DOUBLE) AS vel, CASE WHEN clarity > 0.3 THEN 0.2 ELSE 0 END::DOUBLE AS stress,
   CASE WHEN act < 0.5 THEN -20 ELSE 0 END AS last_move, fid > 0.8 AS is_anchor FROM v3),
  ed AS (SELECT src, dst, dist FROM wk UNION SELECT dst, src, dist FROM wk),
  pair AS (SELECT a.id, list_distance(a.pos, b.pos) AS d, a.pos AS p, b.pos AS q FROM st a JOIN st b ON a.id <> b.id WHERE NOT a.is_anchor),
- f AS (SELECT id, i, (p[i]-q[i])/d * (1/(d+0.1::DOUBLE)) * 0.05::DOUBLE AS x FROM pair, range(1, 5) r(i) WHERE d > 0 AND d < 1
-  UNION ALL SELECT a.id, i, (b.pos[i]-a.pos[i]) / list_distance(a.pos, b.pos) * dist * 0.1::DOUBLE FROM ed JOIN st a ON a.id = src JOIN st b ON b.id = dst, range(1, 5) r(i) WHERE NOT a.is_anchor AND list_distance(a.pos, b.pos) > 0),
+ f AS (SELECT id, i, (p[i]-q[i])/d * (1/(d+0.1::DOUBLE)) * 0.05::DOUBLE AS x FROM pair, range(1, 65) r(i) WHERE d > 0 AND d < 1
+  UNION ALL SELECT a.id, i, (b.pos[i]-a.pos[i]) / list_distance(a.pos, b.pos) * dist * 0.1::DOUBLE FROM ed JOIN st a ON a.id = src JOIN st b ON b.id = dst, range(1, 65) r(i) WHERE NOT a.is_anchor AND list_distance(a.pos, b.pos) > 0),
  fs AS (SELECT id, i, sum(x) AS x FROM f GROUP BY 1, 2),
  sc AS (SELECT *, CASE WHEN is_anchor THEN 0 WHEN stress > 0.1 THEN 0.5 WHEN 1 - last_move > 10 THEN 0.1 ELSE 0 END::DOUBLE AS s FROM st),
- nx AS (SELECT sc.id, i, s, stress, sc.last_move, sc.is_anchor, coalesce(x, 0) AS x, CASE WHEN s > 0 THEN vel[i]*0.9::DOUBLE + coalesce(x, 0)*s*0.1::DOUBLE ELSE vel[i] END AS v, pos[i] AS p FROM sc CROSS JOIN range(1, 5) r(i) LEFT JOIN fs USING (id, i)),
+ nx AS (SELECT sc.id, i, s, stress, sc.last_move, sc.is_anchor, coalesce(x, 0) AS x, CASE WHEN s > 0 THEN vel[i]*0.9::DOUBLE + coalesce(x, 0)*s*0.1::DOUBLE ELSE vel[i] END AS v, pos[i] AS p FROM sc CROSS JOIN range(1, 65) r(i) LEFT JOIN fs USING (id, i)),
  res AS (SELECT id, string_agg(round((CASE WHEN s > 0 THEN p + v ELSE p END)*1e6, 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS pos, round(CASE WHEN any_value(s) > 0 THEN sqrt(sum(x*x)) ELSE any_value(stress) END, 6) AS stress,
   CASE WHEN any_value(s) > 0 THEN 1 ELSE any_value(last_move) END::INT AS last_move, any_value(is_anchor) AS is_anchor FROM nx GROUP BY id)"""
 
@@ -53,7 +54,7 @@ def global_stability(spark, sf_dir):
 
 @R.query("layout_edges", wknn_sql("SELECT src, dst, round(1 - stress, 6) AS weight, round(abs(a.fid - b.fid), 6) AS conveyance_diff FROM ed JOIN res ON res.id = src JOIN v3 a ON a.id = src JOIN v3 b ON b.id = dst", _STEP))
 def layout_edges(spark, sf_dir):
-    edges = symmetric(weighted_knn(spark, sf_dir))
+    edges = cut_lineage(symmetric(weighted_knn(spark, sf_dir)))
     state = L.step(start(spark, sf_dir), edges, DIMS, 1)
     out = L.semantic_edges(state, edges, S.v3(spark, sf_dir))
     return out.select("src", "dst", F.round("weight", 6).alias("weight"), F.round("conveyance_diff", 6).alias("conveyance_diff"))

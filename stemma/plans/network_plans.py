@@ -68,7 +68,8 @@ def velocity(spark, sf_dir):
 
 @R.query("top_velocity", sql("SELECT paper_id, round(velocity, 6) AS velocity FROM vel ORDER BY round(velocity, 9) DESC, paper_id LIMIT 10"))
 def top_velocity(spark, sf_dir):
-    return velocity(spark, sf_dir).select("paper_id", "velocity").orderBy(F.desc("velocity"), "paper_id").limit(10)
+    v = S.papers(spark, sf_dir).select("paper_id", O.citation_velocity(F.col("citation_count"), F.col("year")).alias("v"))
+    return v.orderBy(F.desc(F.round("v", 9)), "paper_id").limit(10).select("paper_id", F.round("v", 6).alias("velocity"))
 
 
 @R.query(
@@ -83,6 +84,15 @@ def citation_network(spark, sf_dir):
     return O.citation_network(S.table(spark, sf_dir, "labels").select("doc_id"), c, back)
 
 
+@R.query(
+    "cited_by_caps",
+    with_ctes(["cites"], """SELECT dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM cites) WHERE r <= 100"""),
+)
+def cited_by_caps(spark, sf_dir):
+    """First hundred citing papers of each paper, the cap of the cited-by list."""
+    return O.capped(S.cites(spark, sf_dir), "dst", "src", 100).select("dst", "src")
+
+
 @R.query(
     "reference_caps",
     with_ctes(["authors"], """SELECT author_id, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY paper_id) AS r FROM authors) WHERE r <= 50"""),
@@ -92,14 +102,17 @@ def reference_caps(spark, sf_dir):
     return O.capped(S.authors(spark, sf_dir), "author_id", "paper_id", 50).select("author_id", "paper_id")
 
 
-def _pagerank_sql(iterations: int = 20) -> str:
+def _pagerank_sql(rounds: int = 100) -> str:
+    """All rounds written out; the answer is the first whose change is small enough."""
     out = """, n AS (SELECT count(*)::DOUBLE AS n FROM documents), v AS (SELECT doc_id AS id, count(dst) AS deg FROM documents LEFT JOIN cites ON src = doc_id GROUP BY 1),
- r0 AS MATERIALIZED (SELECT id, deg, 1.0 / n AS rank FROM v, n)"""
-    for i in range(iterations):
+ r0 AS MATERIALIZED (SELECT id, deg, 1.0 / n AS rank, NULL::DOUBLE AS old FROM v, n)"""
+    for i in range(rounds):
         out += f""",
- r{i+1} AS MATERIALIZED (SELECT v.id, v.deg, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(s.got, 0) + l.lost / n.n) AS rank FROM v CROSS JOIN n
+ r{i+1} AS MATERIALIZED (SELECT v.id, v.deg, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(s.got, 0) + l.lost / n.n) AS rank, o.rank AS old FROM v JOIN r{i} o USING (id) CROSS JOIN n
  CROSS JOIN (SELECT coalesce(sum(rank) FILTER (deg = 0), 0) AS lost FROM r{i}) l LEFT JOIN (SELECT dst, sum(rank / deg) AS got FROM r{i} JOIN cites ON src = id GROUP BY dst) s ON s.dst = v.id)"""
-    return with_ctes(["cites"], out + f"\nSELECT id, round(rank, 9) AS rank FROM r{iterations}")
+    every = " UNION ALL ".join(f"SELECT {i} AS k, id, rank, old FROM r{i}" for i in range(1, rounds + 1))
+    out += f", a AS MATERIALIZED ({every}), done AS (SELECT min(k) AS k FROM (SELECT k, sum(abs(rank - old)) AS change, count(*) * 1e-6 AS least FROM a GROUP BY k) WHERE change < least)"
+    return with_ctes(["cites"], out + "\nSELECT id, round(rank, 9) AS rank FROM a WHERE k = (SELECT k FROM done)")
 
 
 @R.query("pagerank", _pagerank_sql())
@@ -144,23 +157,36 @@ def betweenness(spark, sf_dir):
     return G.betweenness(docs, S.cites(spark, sf_dir)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-def _communities_sql(rounds: int = 10) -> str:
-    out = ", b0 AS MATERIALIZED (SELECT DISTINCT author_id, author_id AS label FROM authors)"
+def _communities_sql(source: str, author: str, paper: str, rounds: int = 40) -> str:
+    """Rounds written out, more than the tables need: once no label moves, further rounds change nothing."""
+    out = f"\n, ap AS (SELECT DISTINCT {author} AS author_id, {paper} AS paper_id FROM {source}), b0 AS MATERIALIZED (SELECT DISTINCT author_id, author_id AS label FROM ap)"
     for i in range(rounds):
-        vote = "SELECT {k}, arg_min(label, (-n, label)) AS label FROM (SELECT {k}, label, count(*) AS n FROM authors JOIN {t} USING ({j}) GROUP BY 1, 2) GROUP BY 1"
-        out += f"\n, p{i} AS MATERIALIZED ({vote.format(k='paper_id', t=f'b{i}', j='author_id')}), b{i+1} AS MATERIALIZED ({vote.format(k='author_id', t=f'p{i}', j='paper_id')})"
+        vote = "SELECT {k}, arg_min(label, (-n, label)) AS label FROM (SELECT {k}, label, count(*) AS n FROM ap JOIN {t} USING ({j}) GROUP BY 1, 2) GROUP BY 1"
+        free = "x.label" if i < 10 else "least(x.label, b.label)"
+        out += f"\n, p{i} AS MATERIALIZED ({vote.format(k='paper_id', t=f'b{i}', j='author_id')})"
+        out += f", b{i+1} AS MATERIALIZED (SELECT author_id, {free} AS label FROM ({vote.format(k='author_id', t=f'p{i}', j='paper_id')}) x JOIN b{i} b USING (author_id))"
     return sql(out + f" SELECT label AS community, count(*) AS n_authors, round(avg(score), 6) AS score FROM b{rounds} JOIN sc USING (author_id) GROUP BY 1")
 
 
-@R.query("communities", _communities_sql())
-def communities(spark, sf_dir):
-    """Communities with their mean author score, best first."""
+def _scored_communities(spark, sf_dir, members):
     a, p = S.authors(spark, sf_dir), S.papers(spark, sf_dir)
-    c = O.communities(a).join(O.author_profiles_scores(a, p), "author_id")
+    c = members.join(O.author_profiles_scores(a, p), "author_id")
     out = c.groupBy("community").agg(F.count("*").alias("n_authors"), F.round(F.avg("conveyance_score"), 6).alias("score"))
     return out.orderBy(F.desc("score"), "community")
 
 
+@R.query("communities", _communities_sql("authors", "author_id", "paper_id"))
+def communities(spark, sf_dir):
+    """Communities of co-authors with their mean author score, best first."""
+    return _scored_communities(spark, sf_dir, O.communities(S.authors(spark, sf_dir)))
+
+
+@R.query("affiliation_communities", _communities_sql("affil", "author_id", "institution_id"))
+def affiliation_communities(spark, sf_dir):
+    """Communities of authors by shared institutions."""
+    return _scored_communities(spark, sf_dir, O.communities(S.affil(spark, sf_dir), paper="institution_id"))
+
+
 @R.query(
     "path_chains",
     with_ctes(["cites"], """, k AS (SELECT doc_id, quality, toxic FROM labels),
@@ -173,3 +199,12 @@ def path_chains(spark, sf_dir):
     starts, goals = k.where("quality = 0 AND toxic = 1").select("doc_id"), k.where("quality = 1").select("doc_id")
     out = G.simple_paths(starts, goals, S.cites(spark, sf_dir), 4)
     return out.select(F.array_join("path", ">").alias("path"), "n_edges")
+
+
+@R.query(
+    "top_betweenness",
+    _betweenness_sql().replace("SELECT doc_id AS id, round(coalesce(b, 0)", "SELECT * FROM (SELECT doc_id AS id, round(coalesce(b, 0)") + ") ORDER BY betweenness DESC, id LIMIT 10",
+)
+def top_betweenness(spark, sf_dir):
+    """The ten papers that most shortest citation paths run through."""
+    return betweenness(spark, sf_dir).orderBy(F.desc("betweenness"), "id").limit(10)

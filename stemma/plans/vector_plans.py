@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions import vectors as V
 from stemma.operators import simjoin
 from stemma.plans.registry import Registry
+from stemma.session import cut_lineage
 from stemma.sources import tables as S
 from stemma.sources.tables import with_ctes
 
@@ -34,7 +35,7 @@ _Q0 = "(SELECT e FROM vecs WHERE vec_id = 0)"
 )
 def knn_topk(spark, sf_dir, k: int = 10):
     df = S.vectors(spark, sf_dir)
-    hits = V.score(df, "e", query_vector(df)).orderBy(F.desc("score"), "vec_id").limit(k)
+    hits = V.score(df, "e", query_vector(df)).where("score IS NOT NULL").orderBy(F.desc("score"), "vec_id").limit(k)
     return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -45,7 +46,7 @@ def knn_topk(spark, sf_dir, k: int = 10):
 def knn_filtered(spark, sf_dir, k: int = 10):
     """The predicate runs before the top-k, so k rows come back whenever k rows match."""
     df = S.vectors(spark, sf_dir)
-    hits = V.score(df.where(F.col("label").isin(1, 3, 5)), "e", query_vector(df)).orderBy(F.desc("score"), "vec_id").limit(k)
+    hits = V.score(df.where(F.col("label").isin(1, 3, 5)), "e", query_vector(df)).where("score IS NOT NULL").orderBy(F.desc("score"), "vec_id").limit(k)
     return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -112,12 +113,12 @@ _MICRO = "array_to_string(list_transform({}, lambda x: round(x * 1e6, 0)::BIGINT
 
 @R.query(
     "vec_normalize",
-    with_ctes(["vecs"], f"""SELECT vec_id, round(n, 6) AS length, {_MICRO.format('list_transform(p, lambda x: x / n)')} AS unit
- FROM (SELECT vec_id, e[1:16] AS p, sqrt(list_dot_product(e[1:16], e[1:16])) AS n FROM vecs)"""),
+    with_ctes(["vecs"], f"""SELECT vec_id, round(n, 6) AS length, {_MICRO.format('list_transform(e, lambda x: x / n)')} AS unit
+ FROM (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM vecs)"""),
 )
 def vec_normalize(spark, sf_dir):
-    p = V.truncate(F.col("e"), 16)
-    return S.vectors(spark, sf_dir).select("vec_id", F.round(V.norm(p), 6).alias("length"), V.micro(V.unit(p)).alias("unit"))
+    e = F.col("e")
+    return S.vectors(spark, sf_dir).select("vec_id", F.round(V.norm(e), 6).alias("length"), V.micro(V.unit(e)).alias("unit"))
 
 
 @R.query("vec_truncate", with_ctes(["vecs"], f"SELECT vec_id, len(e[1:16])::INT AS dims, {_MICRO.format('e[1:16]')} AS head FROM vecs"))
@@ -232,9 +233,9 @@ def weighted_distance(spark, sf_dir):
 
 
 def symmetric(edges):
-    """Both directions of every neighbour edge, each once."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    return edges.unionByName(back).distinct()
+    """Both directions of every neighbour edge, each once; the search behind the edges runs once."""
+    ways = F.array(F.struct("src", "dst", "dist"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
+    return edges.select(F.inline(ways)).distinct()
 
 
 @R.query("knn_graph_sym", wknn_sql("SELECT src, dst, round(dist, 6) AS dist FROM (SELECT src, dst, dist FROM wk UNION SELECT dst, src, dist FROM wk)"))
@@ -266,7 +267,7 @@ def neighbor_context(spark, sf_dir):
 )
 def local_density(spark, sf_dir):
     """Neighbours closer than the median neighbour distance."""
-    edges = symmetric(weighted_knn(spark, sf_dir))
+    edges = cut_lineage(symmetric(weighted_knn(spark, sf_dir)))
     med = edges.groupBy("src").agg(F.median("dist").alias("m"))
     return edges.join(med, "src").groupBy("src").agg(
         F.count("*").alias("n"), F.round(F.first("m"), 6).alias("median_dist"), F.count_if(F.col("dist") < F.col("m")).alias("density")

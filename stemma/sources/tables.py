@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_FILES = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a scan has fewer splits than cores; a scan of real size is left as it is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Deal a table of a few files over all cores; one of many files is read as it is split."""
+    few = len(df.limit(1).inputFiles()) <= SPREAD_FILES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

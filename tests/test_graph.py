@@ -36,7 +36,7 @@ def test_pagerank_with_dangling_nodes(spark):
         for a, b in edges:
             nxt[b] += 0.85 * r[a] / out[a]
         r = nxt
-    got = {x.id: x.rank for x in G.pagerank(nodes, df, iterations=60, tolerance=1e-12, cut_every=5).collect()}
+    got = {x.id: x.rank for x in G.pagerank(nodes, df, rounds=300, tolerance=1e-12).collect()}
     assert [got[i] for i in range(n)] == pytest.approx(r.tolist(), abs=1e-9)
 
 
