@@ -6,21 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import citation as C
+from stemma.functions.vectors import let
 from stemma.session import cut_lineage
 
 
-def contexts(docs: DataFrame, doc: str, text: str, marks: DataFrame) -> DataFrame:
+MARK = r"\[[^\[\]\s]+\]"
+
+
+def contexts(docs: DataFrame, doc: str, text: str, marks: DataFrame, pattern: str = MARK) -> DataFrame:
     """One row per paragraph and citation mark found in it, with the sentence and the paragraphs around it.
 
-    marks: citing, cited, mark. Paragraph neighbours come from the document's own array: no window.
+    marks: citing, cited, mark; every mark has the shape of `pattern`. Marks are found inside the row of
+    their text, so only the paragraphs around a hit leave it; whole texts are not joined or shuffled.
     """
-    p = docs.select(F.col(doc).alias("citing"), F.split(text, "\n\n").alias("_p"))
-    j = p.join(marks, "citing").select("*", F.posexplode("_p").alias("paragraph", "_t")).where(F.contains("_t", F.col("mark")))
-    near = lambda k: F.coalesce(F.get("_p", F.col("paragraph") + k), F.lit(""))
-    before = F.when(F.col("paragraph") > 0, near(-1)).otherwise(F.lit(""))
-    return C.with_features(
-        j.select("citing", "cited", "paragraph", C.sentence_with(F.col("_t"), F.col("mark")).alias("citation_text"), before.alias("context_before"), near(1).alias("context_after"))
-    )
+    parts = F.split(text, "\n\n")
+
+    def hits(ps):
+        near = lambda i: F.coalesce(F.get(ps, i), F.lit(""))
+
+        def found(t, i):
+            before = F.when(i > 0, near(i - 1)).otherwise(F.lit(""))
+            row = lambda m: F.struct(i.alias("paragraph"), m.alias("mark"), C.sentence_with(t, m).alias("citation_text"), before.alias("context_before"), near(i + 1).alias("context_after"))
+            return F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), row)
+
+        return F.flatten(F.transform(ps, found))
+
+    rows = docs.where(F.col(text).rlike(pattern)).select(F.col(doc).alias("citing"), F.inline(let(parts, hits)))
+    known = marks.select("citing", "cited", "mark")
+    return C.with_features(rows.join(known, ["citing", "mark"]).select("citing", "cited", "paragraph", "citation_text", "context_before", "context_after"))
 
 
 def citation_velocity(count: Column, year: Column, now: int = 2024) -> Column:

@@ -8,6 +8,7 @@ from stemma.functions import citation as C
 from stemma.functions import text as X
 from stemma.functions import vectors as V
 from stemma.operators import citations as O
+from stemma.operators import embedding as EM
 from stemma.plans import dialect as d
 from stemma.plans.registry import Registry
 from stemma.plans.vector_plans import cos_sql
@@ -92,6 +93,33 @@ def influence(spark, sf_dir):
     return scored_contexts(spark, sf_dir).select("citing", "cited", "paragraph", F.round("similarity", 6).alias("similarity"), F.round("influence", 6).alias("influence"))
 
 
+def _bag_sql(name: str, source: str, key: str, text: str, dims: int = 64) -> str:
+    """The stand-in embedding of texts, one row per key with its list of counts."""
+    return f"""{name}_t AS (SELECT {key}, md5(w) AS h FROM (SELECT {key}, unnest({d.words(text)}) AS w FROM {source})),
+ {name}_d AS (SELECT {key}, ('0x' || h[1:8])::BIGINT % {dims} AS i, sum(CASE WHEN ('0x' || h[9])::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {name}_t GROUP BY 1, 2),
+ {name} AS (SELECT {key}, list(coalesce(x, 0) ORDER BY k.i) AS e FROM (SELECT DISTINCT {key} FROM {source}) s CROSS JOIN range(0, {dims}) k(i) LEFT JOIN {name}_d USING ({key}, i) GROUP BY 1)"""
+
+
+_WHOLE = "context_before || ' ' || citation_text || ' ' || context_after"
+
+
+@R.query(
+    "context_influence",
+    sql(f""", cw AS (SELECT *, citing || '/' || cited || '/' || paragraph AS k, {_WHOLE} AS whole FROM ctx), {_bag_sql('ce', 'cw', 'k', 'whole')}, {_bag_sql('de', 'docs_ann', 'doc_id', 'text')},
+ cs AS (SELECT cw.*, {cos_sql('ce.e', 'de.e')} AS similarity FROM cw JOIN ce USING (k) JOIN de ON de.doc_id = cw.cited)
+ SELECT citing, cited, paragraph, round(similarity, 6) AS similarity, round({_influence_sql('similarity')}, 6) AS influence FROM cs"""),
+)
+def context_influence(spark, sf_dir):
+    """Influence of a citation from what is said around it: its words against those of the cited text."""
+    c = contexts(spark, sf_dir).withColumn("k", F.concat_ws("/", "citing", "cited", "paragraph"))
+    model = lambda: EM.HashingModel(64)
+    whole = c.select("k", F.concat_ws(" ", "context_before", "citation_text", "context_after").alias("whole"))
+    said = EM.embed(whole, "k", "whole", model).select("k", F.col("embedding").alias("x"))
+    cited = EM.embed(S.docs_ann(spark, sf_dir).select(F.col("doc_id").alias("cited"), "text"), "cited", "text", model).select("cited", F.col("embedding").alias("y"))
+    j = c.join(said, "k").join(cited, "cited").withColumn("similarity", 1.0 - V.distance(F.col("x"), F.col("y"), "cosine"))
+    return j.withColumn("influence", C.influence(F.col("similarity"))).select("citing", "cited", "paragraph", F.round("similarity", 6).alias("similarity"), F.round("influence", 6).alias("influence"))
+
+
 _MOCK = f""", mock0 AS (SELECT src AS citing, dst AS cited, 'We build on doc_' || dst AS citation_text, t.text[1:200] AS context_before FROM cites JOIN docs_ann t ON t.doc_id = src JOIN docs_ann u ON u.doc_id = dst),
  mock AS (SELECT *, {_features_sql('citation_text', 'context_before')} FROM mock0),
  msim AS (SELECT m.*, {cos_sql('a.e', 'b.e')} AS similarity FROM mock m JOIN vecs a ON a.vec_id = m.citing % (SELECT count(*) FROM embeddings) JOIN vecs b ON b.vec_id = m.cited % (SELECT count(*) FROM embeddings)),
@@ -159,12 +187,18 @@ _SHARED = f""", k AS (SELECT doc_id, text, {_CONCEPTS} AS ks FROM docs_ann),
 """
 
 
-def shared(spark, sf_dir):
-    k = S.docs_ann(spark, sf_dir).select("doc_id", "text", C.concepts(F.col("text")).alias("ks"))
-    a = k.select(F.col("doc_id").alias("citing"), F.col("text").alias("ta"), F.col("ks").alias("ka"))
-    b = k.select(F.col("doc_id").alias("cited"), F.col("text").alias("tb"), F.col("ks").alias("kb"))
+def shared(spark, sf_dir, concept: str | None = None):
+    """Shared concepts of both ends of each citation; with a concept, also how each end words it.
+
+    Concepts and wordings are short and taken once per document; texts stay where they are read.
+    """
+    more = [C.usage_window(F.col("text"), F.lit(concept)).alias("u")] if concept else []
+    k = S.docs_ann(spark, sf_dir).select("doc_id", C.concepts(F.col("text")).alias("ks"), *more)
+    if concept:
+        k = X.settled(k.where(F.array_contains("ks", concept)), "u")
+    side = lambda end, x: k.select(F.col("doc_id").alias(end), F.col("ks").alias("k" + x), *[F.col("u").alias("u" + x) for _ in more])
     c = S.cites(spark, sf_dir).select(F.col("src").alias("citing"), F.col("dst").alias("cited"))
-    return c.join(a, "citing").join(b, "cited").withColumn("shared", C.shared_concepts(F.col("ka"), F.col("kb"))).drop("ka", "kb")
+    return c.join(side("citing", "a"), "citing").join(side("cited", "b"), "cited").withColumn("shared", C.shared_concepts(F.col("ka"), F.col("kb"))).drop("ka", "kb")
 
 
 @R.query("shared_concepts", with_ctes(["docs_ann", "cites"], _SHARED + "SELECT citing, cited, array_to_string(shared, '|') AS shared FROM sh"))
@@ -186,8 +220,7 @@ def _usage_sql(text: str) -> str:
 )
 def concept_evolution(spark, sf_dir, concept: str = "Is"):
     """How a shared concept is worded in the cited and in the citing text, where the wording differs."""
-    s = shared(spark, sf_dir).where(F.array_contains("shared", concept))
-    s = s.select("citing", "cited", C.usage_window(F.col("tb"), F.lit(concept)).alias("original_usage"), C.usage_window(F.col("ta"), F.lit(concept)).alias("evolved_usage"))
-    s = X.settled(s, "original_usage", "evolved_usage")
+    s = shared(spark, sf_dir, concept).where(F.array_contains("shared", concept))
+    s = s.select("citing", "cited", F.col("ub").alias("original_usage"), F.col("ua").alias("evolved_usage"))
     inf = semantic(spark, sf_dir).select("citing", "cited", F.round("total_influence", 6).alias("influence"))
     return s.join(inf, ["citing", "cited"]).where("original_usage <> evolved_usage").orderBy(F.desc("influence"), "citing", "cited")
