@@ -529,3 +529,34 @@ def markdown_table(rows: Column) -> Column:
     rule = F.array_join(F.transform(head, lambda _: F.lit("---")), " | ")
     body = F.transform(F.slice(rows, 2, 1 << 30), line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(head), rule), body), "\n")).otherwise(F.lit(""))
+
+
+# ---- items of Markdown texts ------------------------------------------------------------------------
+
+
+def markdown_items(lines: Column) -> Column:
+    """Headers, images and links of a text's lines as array<struct<kind, level, text, url, line>>, by line.
+
+    An image is also a link, as in the counts of the structure.
+    """
+
+    def of(x, i):
+        row = lambda kind, level, text, url: F.struct(F.lit(kind).alias("kind"), level.alias("level"), text.alias("text"), url.alias("url"), (i + 1).alias("line"))
+        none = F.lit(None).cast("string")
+        head = F.when(x.rlike(HEADER), F.array(row("header", F.length(F.regexp_extract(x, r"^(#+)", 1)), strip(F.regexp_replace(x, r"^#+", "")), none)))
+        named = r"\[([^\]]*)\]\(([^)]*)\)"
+        marked = lambda kind, p: F.transform(
+            F.regexp_extract_all(x, F.lit(p), F.lit(0)), lambda m: row(kind, F.lit(0), F.regexp_extract(m, named, 1), F.regexp_extract(m, named, 2))
+        )
+        return F.concat(F.coalesce(head, F.filter(marked("header", "!" + named), lambda _: F.lit(False))), marked("image", "!" + named), marked("link", named))
+
+    return F.flatten(F.transform(lines, of))
+
+
+def frontmatter(text: Column) -> Column:
+    """map<key, value> of the `key: value` lines between two --- lines at the start; empty without them."""
+    body = F.regexp_extract(text, r"\A---\n([\s\S]*?)\n---", 1)
+    pairs = F.filter(F.split(body, "\n"), lambda x: F.contains(x, F.lit(":")))
+    entries = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda o: o["key"]), e["key"]) == i + 1)
+    return F.map_from_entries(first)

@@ -37,9 +37,17 @@ def html_structure(spark, sf_dir):
 
 
 def modules(spark, sf_dir):
-    """Python code blocks of the documents as modules."""
-    b = S.docs_ann(spark, sf_dir).select("doc_id", F.explode(X.code_blocks(F.col("text"))).alias("b")).where("b.language = 'python'")
-    return b.select("doc_id", F.col("b.code").alias("code"))
+    """One Python module per document: imports, functions, for some a class, and in every 13th a syntax error."""
+    i = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    join = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: f(s(k))), "")
+    function = lambda k: F.concat(F.lit("def f"), k, F.lit("(x):\n    if x > 0 and x < "), s(i % 9), F.lit(":\n        return g"), k, F.lit("(x)\n    return len(x)\n"))
+    method = lambda k: F.concat(F.lit("    @prop\n    def m"), k, F.lit("(self):\n        for y in self:\n            h"), k, F.lit("(y)\n"))
+    code = F.concat(
+        F.lit("import os\nfrom pkg"), s(i % 5), F.lit(" import name"), s(i % 4), F.lit("\n"), join(1 + i % 3, function),
+        F.when(i % 2 == 1, F.concat(F.lit("class C0:\n"), join(1 + i % 4, method))).otherwise(""), F.when(i % 13 == 0, "def (:\n").otherwise(""),
+    )
+    return S.table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
 
 
 def parsed(spark, sf_dir):
@@ -47,32 +55,48 @@ def parsed(spark, sf_dir):
     return m.join(FS.parse_python(m, "doc_id", "code"), "doc_id")
 
 
-_PY = with_ctes(["docs_ann"], ", m AS (SELECT doc_id FROM docs_ann WHERE regexp_matches(text, '(?s)```python\\n(.*?)\\n```'))\n").replace("FROM documents)\n,", "FROM documents),")
+_PY = """WITH d AS (SELECT doc_id AS i, 1 + doc_id % 3 AS nf, CASE WHEN doc_id % 2 = 1 THEN 1 + doc_id % 4 ELSE 0 END AS nm FROM documents WHERE doc_id % 13 <> 0),
+sy AS (SELECT i, nf, nm, 'f' || k AS name, 'f' || k AS key, 'function' AS type, (3 + 4*k)::INT AS line_start, (6 + 4*k)::INT AS line_end, 3 AS complexity, k AS n, NULL AS parent FROM d, range(0, 3) r(k) WHERE k < nf
+ UNION ALL SELECT i, nf, nm, 'C0', 'C0', 'class', (3 + 4*nf)::INT, (3 + 4*nf + 4*nm)::INT, 0, nf, NULL FROM d WHERE nm > 0
+ UNION ALL SELECT i, nf, nm, 'm' || k, 'C0.m' || k, 'method', (5 + 4*nf + 4*k)::INT, (7 + 4*nf + 4*k)::INT, 2, k, 'C0' FROM d, range(0, 4) r(k) WHERE k < nm)
+"""
 
 
-@R.query("ast_symbols", _PY + "SELECT doc_id, 'main' AS name, 'function' AS type, 2::INT AS line_start, 3::INT AS line_end, 1::INT AS complexity, 1::INT AS num_functions, 1.0::DOUBLE AS avg_complexity FROM m")
+@R.query("ast_symbols", _PY + "SELECT i AS doc_id, name, key, type, parent, line_start, line_end, complexity::INT AS complexity, nf::INT AS num_functions, (3*nf + 2*nm) / (nf + nm)::DOUBLE AS avg_complexity, CASE WHEN type = 'method' THEN 'prop' ELSE '' END AS decorators FROM sy")
 def ast_symbols(spark, sf_dir):
     p = parsed(spark, sf_dir)
     c = FS.symbol_metrics(F.col("symbols"))
     p = p.select("doc_id", "symbols", c["num_functions"].alias("num_functions"), c["avg_complexity"].alias("avg_complexity"))
     s = p.select("doc_id", F.explode("symbols").alias("s"), "num_functions", "avg_complexity")
-    return s.select("doc_id", "s.name", "s.type", "s.line_start", "s.line_end", "s.complexity", "num_functions", "avg_complexity")
+    return s.select(
+        "doc_id", "s.name", "s.key", "s.type", "s.parent", "s.line_start", "s.line_end", "s.complexity", "num_functions", "avg_complexity", F.array_join("s.decorators", "|").alias("decorators")
+    )
 
 
-@R.query("symbol_chunks", _PY + "SELECT doc_id, 0::BIGINT AS chunk, 'function' AS chunk_type, 1::INT AS line_start, 3::INT AS line_end, 1::INT AS complexity, 'main' AS symbols FROM m")
+@R.query(
+    "symbol_chunks",
+    _PY + """SELECT i AS doc_id, n::BIGINT AS chunk, type AS chunk_type, CASE WHEN n = 0 THEN 1 ELSE line_start END::INT AS line_start, line_end, complexity::INT AS complexity,
+ CASE WHEN type = 'class' THEN 'C0' || (SELECT string_agg('|m' || k, '' ORDER BY k) FROM range(0, 4) r(k) WHERE k < nm) ELSE name END AS symbols FROM sy WHERE parent IS NULL""",
+)
 def symbol_chunks(spark, sf_dir):
     c = FS.symbol_chunks(parsed(spark, sf_dir), "doc_id", "code", "symbols")
     return c.select("doc_id", "chunk", "chunk_type", "line_start", "line_end", "complexity", F.array_join("symbols", "|").alias("symbols"))
 
 
-@R.query("call_graph", _PY + "SELECT doc_id, 'main' AS caller, 'list' AS callee FROM m")
+@R.query("call_graph", _PY + "SELECT i AS doc_id, key AS caller, unnest(CASE type WHEN 'function' THEN ['g' || n, 'len'] ELSE ['h' || n] END) AS callee FROM sy WHERE type <> 'class'")
 def call_graph(spark, sf_dir):
     return FS.call_edges(parsed(spark, sf_dir), "doc_id", "symbols")
 
 
-@R.query("module_imports", _PY + "SELECT doc_id, 'os' AS module, 'import' AS type, 1::INT AS line FROM m")
+@R.query("module_imports", _PY + "SELECT i AS doc_id, unnest(['os', 'pkg' || (i % 5)]) AS module, unnest([NULL, 'name' || (i % 4)]) AS name, unnest(['import', 'from_import']) AS type, unnest([1, 2])::INT AS line FROM d")
 def module_imports(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", F.explode("imports").alias("i")).select("doc_id", "i.module", "i.type", "i.line")
+    return parsed(spark, sf_dir).select("doc_id", F.explode("imports").alias("i")).select("doc_id", "i.module", "i.name", "i.type", "i.line")
+
+
+@R.query("module_errors", "SELECT doc_id, doc_id % 13 = 0 AS broken FROM documents")
+def module_errors(spark, sf_dir):
+    """Modules that cannot be parsed keep their row."""
+    return parsed(spark, sf_dir).select("doc_id", F.col("syntax_error").isNotNull().alias("broken"))
 
 
 def _embed_sql(source: str, key: str, text: str, dims: int) -> str:

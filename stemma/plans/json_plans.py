@@ -73,3 +73,20 @@ def props_values(spark, sf_dir):
     """Stored properties through the engine's own JSON type."""
     e = S.table(spark, sf_dir, "events").select("event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@R.query(
+    "json_depths",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'dict' ELSE 'list' END AS kind, CASE WHEN event_id % 2 = 0 THEN 1 + event_id % 9 WHEN event_id % 5 = 0 THEN 0 ELSE 2 END::INT AS depth,
+ CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 5 END::INT AS n_items, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END::INT AS key_count,
+ CASE WHEN event_id % 2 = 0 THEN repeat('n: ', (event_id % 9)::INT) || CASE WHEN event_id % 9 <= 9 THEN 'k: ' || k END ELSE array_to_string(list_transform(range(0, event_id % 5), lambda x: 'k: ' || k), ' ') END AS content
+ FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
+)
+def json_depths(spark, sf_dir):
+    """Stored properties at a depth, or in a list of a length, that differs from event to event."""
+    i = F.col("event_id")
+    d, n = (i % 9).cast("int"), (i % 5).cast("int")
+    deep = F.concat(F.repeat(F.lit('{"n":'), d), F.col("props"), F.repeat(F.lit("}"), d))
+    listed = F.concat(F.lit("["), F.array_join(F.array_repeat(F.col("props"), n), ","), F.lit("]"))
+    e = S.table(spark, sf_dir, "events").select("event_id", J.describe(F.when(i % 2 == 0, deep).otherwise(listed)).alias("s"))
+    return e.select("event_id", "s.kind", "s.depth", "s.n_items", "s.key_count", "s.content")

@@ -348,3 +348,35 @@ def section_segments(spark, sf_dir):
 def markdown_tables(spark, sf_dir):
     rows = S.docs_ann(spark, sf_dir).select("doc_id", chunking.table_rows(F.col("text")).alias("rows")).where("size(rows) > 0")
     return rows.select("doc_id", X.markdown_table(F.col("rows")).alias("table_text"))
+
+
+@R.query(
+    "md_items",
+    """SELECT doc_id, 'header' AS kind, (1 + doc_id % 6)::INT AS level, 'Part ' || doc_id AS text, NULL AS url, 2::INT AS line FROM documents
+ UNION ALL SELECT doc_id, 'image', 0, 'fig', 'f' || (doc_id % 3) || '.png', 3 FROM documents
+ UNION ALL SELECT doc_id, 'link', 0, 'here ' || (doc_id % 7), 'http://e.org/' || doc_id, 3 FROM documents
+ UNION ALL SELECT doc_id, 'link', 0, 'fig', 'f' || (doc_id % 3) || '.png', 3 FROM documents""",
+)
+def md_items(spark, sf_dir):
+    """Headers, images and links of a note about every document, as rows."""
+    i = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    note = F.concat(
+        F.lit("Plain\n"), F.repeat(F.lit("#"), (1 + i % 6).cast("int")), F.lit(" Part "), s(i), F.lit("\nsee [here "), s(i % 7), F.lit("](http://e.org/"), s(i), F.lit(") and ![fig](f"), s(i % 3), F.lit(".png)")
+    )
+    n = S.table(spark, sf_dir, "documents").select("doc_id", note.alias("note"))
+    return n.select("doc_id", F.inline(X.markdown_items(F.split("note", "\n"))))
+
+
+@R.query(
+    "md_frontmatter",
+    """SELECT doc_id, 'T: ' || doc_id AS title, lang AS language, CASE WHEN doc_id % 3 = 0 THEN 'true' END AS draft, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END::INT AS n_keys FROM documents WHERE doc_id % 5 <> 0
+ UNION ALL SELECT doc_id, NULL, NULL, NULL, 0 FROM documents WHERE doc_id % 5 = 0""",
+)
+def md_frontmatter(spark, sf_dir):
+    """Keys of the frontmatter that four of five documents carry."""
+    i = F.col("doc_id")
+    head = F.concat(F.lit("---\ntitle: T: "), i.cast("string"), F.lit("\nlang:"), F.col("lang"), F.when(i % 3 == 0, "\ndraft : true").otherwise(""), F.lit("\n---\n"))
+    text = F.concat(F.when(i % 5 != 0, head).otherwise(""), F.col("text"))
+    f = S.table(spark, sf_dir, "documents").select("doc_id", X.frontmatter(text).alias("f"))
+    return f.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["lang"].alias("language"), F.col("f")["draft"].alias("draft"), F.size("f").alias("n_keys"))
