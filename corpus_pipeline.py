@@ -17,16 +17,22 @@ from stemma.session import ensure_checkpoint_dir
 from stemma.sources.tables import table
 
 
+def _apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of documents under names that no operation uses, beside those that a stage needs."""
+    return docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], *needed)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; `lang` becomes the predicted one."""
     model = language.fit(docs)
-    judged = language.identify(docs.withColumnRenamed("lang", "_declared"), model).where(language.accepted(F.col("lang_pred"), F.col("score")))
-    return judged.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    judged = language.identify(_apart(docs, "text"), model).where(language.accepted(F.col("lang_pred"), F.col("score")))
+    return judged.select(*[F.col("lang_pred" if c == "lang" else f"_in_{c}").alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, judged from their text and site."""
-    return plans.quality_of(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    judged = plans.quality_of(_apart(docs, "doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")).where("keep")
+    return judged.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
