@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from functools import reduce
 
@@ -96,6 +97,13 @@ def document_type(ext: Column) -> Column:
     return lookup(F.lower(ext), DOCUMENT_TYPES, "unknown")
 
 
+def mime(ext: Column) -> Column:
+    """Media type of a suffix by the standard table; null for unknown suffixes."""
+    known = {k: v for k, v in mimetypes.types_map.items()} | {".md": "text/markdown", ".py": "text/x-python", ".yaml": "application/yaml", ".yml": "application/yaml"}
+    pairs = [F.lit(x) for kv in sorted(known.items()) for x in kv]
+    return F.try_element_at(F.create_map(*pairs), F.lower(ext))
+
+
 def loader(ext: Column) -> Column:
     return lookup(F.lower(ext), {s: k for k, ss in LOADERS.items() for s in ss}, "none")
 
@@ -147,9 +155,31 @@ def glob_regex(glob: str) -> str:
 
 
 def gitignored(path: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Whether a file or one of its directories matches any (pattern, directory of its .gitignore)."""
+    """Whether a file or one of its directories matches any (pattern, directory of its .gitignore).
+
+    Plain names and `*.suffix` patterns of the whole tree, the bulk of all rules, are looked up in sets;
+    only the rest are regular expressions.
+    """
     tests = []
+    names: dict[bool, list[str]] = {False: [], True: []}
+    ends: dict[bool, list[str]] = {False: [], True: []}
+    rest = []
     for pattern, base in patterns:
+        bare = pattern.rstrip("/")
+        if re.fullmatch(r"[^*?\[\]\\/!]+", bare) and pattern in (bare, bare + "/"):
+            names[pattern != bare].append(bare)
+        elif re.fullmatch(r"\*\.[^*?\[\]\\/.]+", bare) and pattern in (bare, bare + "/"):
+            ends[pattern != bare].append(bare[1:])
+        else:
+            rest.append((pattern, base))
+    every = F.split(path, "/")
+    for only_dirs, found in ((False, every), (True, F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))))):
+        if names[only_dirs]:
+            tests.append(F.arrays_overlap(found, F.array(*map(F.lit, sorted(set(names[only_dirs]))))))
+        if ends[only_dirs]:
+            known = F.array(*map(F.lit, sorted(set(ends[only_dirs]))))
+            tests.append(F.exists(found, lambda x: F.array_contains(known, F.regexp_extract(x, r"(\.[^.]*)$", 1))))
+    for pattern, base in rest:
         only_dirs = pattern.endswith("/")
         p = pattern[:-1] if only_dirs else pattern
         end = "/" if only_dirs else "(/|$)"

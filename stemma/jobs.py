@@ -33,13 +33,28 @@ def process(spark: SparkSession, root: str, out: str, conf: dict | None = None,
 
 
 def build(spark: SparkSession, root: str, out: str, conf: dict | None = None) -> dict[str, DataFrame]:
-    """Edges of a processed corpus: directories, similarity, each written to its own table."""
+    """Edges of a processed corpus, each kind written to its own table: directories, content, owner,
+    usability, composite, named files, and similarity of the stored vectors.
+
+    The tree is read once; the edge counts work on its stored file table.
+    """
     conf = conf or C.load()
     nodes = ST.Table(spark, out, "nodes").read()
     theta = float(conf["graph"]["similarity"])
     sim = simjoin.geometric_pairs(nodes, "doc_id", ("where_vector", "what_vector", "conveyance_vector"), theta)
-    files = FS.scan(spark, root)
-    tables = {"contains": E.contains_edges(files), "similar": sim}
+    stored = ST.Table(spark, out, "files")
+    stored.write(FS.with_contents(FS.scan(spark, root)))
+    files = stored.read()
+    tables = {
+        "contains": E.contains_edges(files),
+        "sibling": E.sibling_counts(files),
+        "what": E.what_counts(files),
+        "who": E.who_counts(files.where("owner IS NOT NULL")),
+        "conveyance": E.conveyance_counts(files),
+        "composite": E.composite_counts(files),
+        "named": E.named_siblings(files),
+        "similar": sim,
+    }
     for name, df in tables.items():
         ST.Table(spark, out, f"edges_{name}").write(df)
     return {name: ST.Table(spark, out, f"edges_{name}").read() for name in tables}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ast
+import functools
+import hashlib
 import os
+import pwd
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,7 +21,15 @@ from stemma.functions import text as X
 from stemma.session import cut_lineage
 
 
-_ENTRY = "path string, name string, is_dir boolean, size long, modified double"
+_STR, _INT = T.StringType(), T.IntegerType()
+
+
+def _fields(**kinds):
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+_ENTRY = "path string, name string, is_dir boolean, size long, modified double, mode int, owner string, readable boolean, writable boolean, executable boolean, error string"
+_ENTRY_NAMES = [c.split()[0] for c in _ENTRY.split(", ")]
 LIST_BATCH = 10_000
 
 
@@ -37,14 +48,25 @@ def _entries(folder: str):
         with os.scandir(base) as it:
             for e in it:
                 st = e.stat(follow_symlinks=False)
-                yield f"{prefix}{e.path}", e.name, e.is_dir(follow_symlinks=False), st.st_size, st.st_mtime
-    else:
+                may = [os.access(e.path, k) for k in (os.R_OK, os.W_OK, os.X_OK)]
+                yield f"{prefix}{e.path}", e.name, e.is_dir(follow_symlinks=False), st.st_size, st.st_mtime, st.st_mode & 0o777, _owner(st.st_uid), *may, None
+    else:  # object stores know no modes or owners
         for i in fs.get_file_info(pafs.FileSelector(base)):
-            yield f"{prefix}{i.path}", i.base_name, i.type == pafs.FileType.Directory, i.size or 0, i.mtime.timestamp() if i.mtime else None
+            yield f"{prefix}{i.path}", i.base_name, i.type == pafs.FileType.Directory, i.size or 0, i.mtime.timestamp() if i.mtime else None, None, None, True, None, None, None
 
 
-def walk(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(path, name, size, modified_at) of every file below `root`, hidden ones included.
+@functools.lru_cache(maxsize=10_000)
+def _owner(uid: int) -> str:
+    try:
+        return pwd.getpwuid(uid).pw_name
+    except KeyError:
+        return str(uid)
+
+
+def walk(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None, errors: bool = False) -> DataFrame:
+    """(path, name, size, modified_at, perms, owner, readable, writable, executable, error) of every file below
+    `root`, hidden ones included. With `errors`, folders that could not be read are returned too, each as
+    one row with the error.
 
     The tree is listed breadth first: the folders of one level are spread over the tasks, and an ignored
     folder is never entered. Spark's own file source would leave out names that start with `_` or `.`,
@@ -61,17 +83,19 @@ def walk(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
                     for e in _entries(folder):
                         rows.append(e)
                         if len(rows) >= LIST_BATCH:
-                            yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size", "modified"])
+                            yield pd.DataFrame(rows, columns=_ENTRY_NAMES)
                             rows = []
-                except (PermissionError, FileNotFoundError):  # a folder that cannot be read has no entries
-                    continue
+                except OSError as e:
+                    rows.append((folder, folder.rsplit("/", 1)[-1], False, None, None, None, None, False, None, None, f"{type(e).__name__}: {e.strerror}"))
             if rows:
-                yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size", "modified"])
+                yield pd.DataFrame(rows, columns=_ENTRY_NAMES)
 
     level, files = spark.createDataFrame([(root.rstrip("/"),)], "path string"), None
     while True:
         found = cut_lineage(level.mapInPandas(listed, _ENTRY).where(~drop))
-        plain = found.where("NOT is_dir").select("path", "name", "size", F.timestamp_seconds("modified").alias("modified_at"))
+        plain = found.where("NOT is_dir" if errors else "NOT is_dir AND error IS NULL").select(
+            "path", "name", "size", F.timestamp_seconds("modified").alias("modified_at"), F.lpad(F.conv("mode", 10, 8), 3, "0").alias("perms"), "owner", "readable", "writable", "executable", "error"
+        )
         files = plain if files is None else files.unionByName(plain)
         below = found.where("is_dir")
         if rules:
@@ -103,27 +127,52 @@ def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
     return f.select(
         F.md5("path").alias("key"), "path", P.name(p).alias("name"), P.stem(p).alias("stem"), P.parent(p).alias("parent"), ext.alias("ext"), P.document_type(ext).alias("doc_type"),
         P.loader(ext).alias("loader"), "size", "modified_at", ext.isin(P.COMPRESSED).alias("compressed"), ext.isin(P.ENCRYPTED).alias("encrypted"),
-        ext.isin(P.SPECIAL_TOOL).alias("special_tool"), F.size(P.parts(p)).alias("depth"),
+        ext.isin(P.SPECIAL_TOOL).alias("special_tool"), F.size(P.parts(p)).alias("depth"), P.mime(ext).alias("mime"), "perms", "owner", "readable", "writable", "executable", "error",
     )
 
 
-MAX_RULES = 5000
+def with_contents(files: DataFrame) -> DataFrame:
+    """Files with content_hash, encoding, n_lines, loc (lines that are not blank) and, for Python files, content.
+
+    Each file is read once, by the task that holds its row. A file that cannot be read keeps its row with the error.
+    """
+    out = T.StructType([*files.schema.fields, *_fields(content_hash=_STR, encoding=_STR, n_lines=_INT, loc=_INT, content=_STR).fields])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, ext, error in zip(pdf["path"], pdf["ext"], pdf["error"]):
+                try:
+                    fs, base = _fs(path)
+                    with fs.open_input_stream(base) as f:
+                        raw = f.read()
+                except OSError as e:
+                    rows.append((None, None, None, None, None, error or f"{type(e).__name__}: {e.strerror or e}"))
+                    continue
+                try:
+                    text, encoding = raw.decode("utf-8"), "utf-8"
+                except UnicodeDecodeError:
+                    text, encoding = raw.decode("latin-1"), "latin-1"
+                lines = text.splitlines()
+                rows.append((hashlib.sha256(raw).hexdigest(), encoding, len(lines), sum(map(bool, map(str.strip, lines))), text if ext == ".py" else None, error))
+            got = pd.DataFrame(rows, columns=["content_hash", "encoding", "n_lines", "loc", "content", "error"], index=pdf.index)
+            yield pdf.assign(**{c: got[c] for c in got.columns})[[f.name for f in out.fields]]
+
+    spread = files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(run, out)
+
 
 
 def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """(pattern, directory) of the ignore files of a tree, each relative pattern once.
 
-    Rules become one condition of the scan. A tree with more than MAX_RULES different rules is scanned
-    subtree by subtree, each with its own rules.
+    Rules become one condition of the scan: names and suffixes are looked up in sets, the rest are patterns.
     """
     f = read_bytes(walk(spark, root).where("name = '.gitignore'"))
     lines = f.select(P.parent(F.col("path")).alias("dir"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
     kept = lines.select("dir", X.strip(F.col("line")).alias("line")).where("line <> '' AND NOT startswith(line, '#')")
     rules = kept.select("line", F.when(F.startswith("line", F.lit("/")), F.col("dir")).otherwise(F.lit("/")).alias("dir")).distinct()
-    rows = rules.orderBy("dir", "line").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} ignore rules under {root}: scan its subtrees one by one")
-    return [(r["line"], r["dir"]) for r in rows]
+    return [(r["line"], r["dir"]) for r in rules.orderBy("dir", "line").collect()]
 
 
 def read_contents(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
@@ -158,13 +207,6 @@ def load_json(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- Python modules --------------------------------------------------------------------------------
 
-_STR, _INT = T.StringType(), T.IntegerType()
-
-
-def _fields(**kinds):
-    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
-
-
 SYMBOL = _fields(key=_STR, name=_STR, type=_STR, line_start=_INT, line_end=_INT, docstring=_STR, decorators=T.ArrayType(_STR), parent=_STR, complexity=_INT, calls=T.ArrayType(_STR), imports=T.ArrayType(_STR))
 IMPORT = _fields(module=_STR, name=_STR, alias=_STR, line=_INT, type=_STR)
 _BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler)

@@ -226,3 +226,54 @@ def test_initial_positions_are_small_and_repeatable(spark):
     assert all(a[i].pos == b[i] for i in a)
     xs = np.array([r.pos for r in a.values()])
     assert abs(xs.std() - 1e-4) < 1e-5 and sum(r.is_anchor for r in a.values()) == 50
+
+
+def test_tree_metadata_and_all_edge_sets(spark, tree, tmp_path):
+    """Every edge set of a scanned tree against all pairs of its files."""
+    import itertools
+    import os
+
+    os.chmod(f"{tree}/pkg/loose/x.py", 0o755)
+    with open(f"{tree}/pkg/loose/y.py", "w") as f:
+        f.write("import x\n\nz = 2\n")
+    out = str(tmp_path / "built")
+    jobs.process(spark, tree, out)
+    tables = jobs.build(spark, tree, out, {"graph": {"similarity": 0.9}})
+    files = {r.path: r for r in jobs.ST.Table(spark, out, "files").read().collect()}
+    y = files[f"{tree}/pkg/loose/y.py"]
+    assert (y.n_lines, y.loc, y.mime, y.encoding, len(y.content_hash), y.readable, y.error) == (3, 2, "text/x-python", "utf-8", 64, True, None)
+    assert files[f"{tree}/pkg/loose/x.py"].perms == "755" and files[f"{tree}/pkg/loose/x.py"].executable and y.owner
+    pairs = list(itertools.combinations(files.values(), 2))
+    same = [(a, b) for a, b in pairs if a.ext == b.ext]
+    assert sum(r.n_pairs for r in tables["what"].collect()) == len(same)
+    assert sum(r.n_pairs for r in tables["who"].collect()) == sum(a.owner == b.owner for a, b in pairs)
+    weight = lambda a, b: min(1.0, (0.9 if a.perms == b.perms else 0.8 if a.readable and b.readable else 0) * (1.1 if a.owner == b.owner else 1))
+    want = {}
+    for a, b in pairs:
+        want[round(weight(a, b), 6)] = want.get(round(weight(a, b), 6), 0) + 1
+    got = {}
+    for r in tables["conveyance"].collect():
+        got[round(r.weight, 6)] = got.get(round(r.weight, 6), 0) + r.n_pairs
+    assert got == {k: v for k, v in want.items() if k > 0.1}
+    assert sum(r.n_pairs for r in tables["composite"].collect()) == sum(a.parent == b.parent for a, b in same)
+    assert [(r.src, r.dst, r.what) for r in tables["named"].collect()] == [(f"{tree}/pkg/loose/x.py", f"{tree}/pkg/loose/y.py", 0.9)]
+    assert tables["contains"].where(F.col("dst") == y.path).first().src == y.parent
+
+
+def test_unreadable_folders_keep_a_row(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f.txt").write_text("x")
+    gone = str(tmp_path / "missing")
+    rows = FS.walk(spark, gone, errors=True).collect()
+    assert [(r.path, r.readable) for r in rows] == [(gone, False)] and "FileNotFoundError" in rows[0].error
+    assert FS.walk(spark, gone).count() == 0 and FS.walk(spark, str(tmp_path)).count() == 1
+
+
+def test_many_ignore_rules(spark):
+    rules = [(f"name{i}", "/") for i in range(3000)] + [(f"*.e{i}", "/") for i in range(3000)] + [("dir7/", "/"), ("/top*", "/base")]
+    paths = {"/base/name5/x": True, "/base/x/name2999": True, "/base/name": False, "/q/f.e12": True, "/q/f.e12/g": True, "/q/f.e12x": False, "/q/dir7": False, "/q/dir7/z": True, "/base/topper": True, "/x/topper": False, "/q/.e3": True}
+    from stemma.functions import paths as P
+
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: r.g for r in df.select("p", P.gitignored(F.col("p"), rules).alias("g")).collect()}
+    assert got == paths
