@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.llm.tables import collected
 from stemma.llm.wordhash import windows, word_hashes
 
 SEED, FROM = 4, 0.5
@@ -144,7 +145,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text")
     n = -(-size // BLOCK_WORDS)
     out = []
     for b in range(n):
-        got = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").toPandas()
+        got = collected(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t"))
         out.append(Items(got["i"].tolist(), got["t"].tolist()))
     return out
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.tables import sampled
+from stemma.llm.tables import collected, sampled
 
 SAMPLE, DRESSED, EPOCHS = 200, 2, 8
 PATH_DIMS, WORD_DIMS, MEASURES = 96, 24, 8
@@ -362,7 +362,7 @@ def fit_labeller(pages: list[str], seed: int = 0) -> Labeller:
 def fit(pages: DataFrame, *, key: str = "page_id", html: str = "html", seed: int = 0) -> Labeller:
     """Fits the labeller on a sample of about `SAMPLE` pages."""
     have = pages.where(F.col(html).isNotNull()).count()
-    rows = pages.where(F.col(html).isNotNull()).where(sampled(F.col(key), have, SAMPLE, seed)).select(F.col(html).alias("h")).limit(2 * SAMPLE).toPandas()
+    rows = collected(pages.where(F.col(html).isNotNull()).where(sampled(F.col(key), have, SAMPLE, seed)).select(F.col(html).alias("h")).limit(2 * SAMPLE))
     return fit_labeller(sorted(rows["h"]), seed)
 
 

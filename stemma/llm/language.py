@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.svm import fit_svm
-from stemma.llm.tables import sampled
+from stemma.llm.tables import collected, sampled
 
 PER_LANGUAGE = 500
 LANGUAGES = 256
@@ -133,9 +133,11 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
             rows = [(x, *profile(t)) for x, t in zip(b["l"], b["t"]) if has_letter(t)]
             yield pd.DataFrame({"l": [r[0] for r in rows], "at": [r[1].astype(np.int32) for r in rows], "n": [r[2].astype(np.int32) for r in rows]})
 
-    picked = known.where(chosen).select(F.col(lang).alias("l"), F.col(text).alias("t")).limit(2 * PER_LANGUAGE * max(1, len(sizes)))
-    got = picked.mapInPandas(profiles, "l string, at array<int>, n array<int>").toPandas().sort_values("l", kind="stable")
-    return Model(list(zip(got["l"], got["at"], got["n"])))
+    picked = known.where(chosen).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    most = 2 * PER_LANGUAGE * max(1, len(sizes))  # holds even if one id is repeated very often
+    got = collected(picked.mapInPandas(profiles, "l string, at array<int>, n array<int>").limit(most))
+    order = sorted(range(len(got)), key=lambda i: (got["l"][i], len(got["at"][i]), bytes(got["at"][i]), bytes(got["n"][i])))
+    return Model([(got["l"][i], got["at"][i], got["n"][i]) for i in order])
 
 
 def predictor(model: Model, spark):

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.llm.tables import collected
+
 BLOCK = 16_384
 SHARD = 8_192
 
@@ -125,12 +127,12 @@ def search(
     found = spark.createDataFrame([], out)
     if dims:
         base, asked = (df.where(F.size("v") == dims["dim"]) for df in (base, asked))
-        sample = base.orderBy(F.xxhash64(F.lit(seed), "i", "v"), "i").limit(pivots).select("v").toPandas()
+        sample = collected(base.orderBy(F.xxhash64(F.lit(seed), "i", "v"), "i").limit(pivots).select("v"))
         index = Pivots(_matrix(sample["v"]), float(dims["top"]) ** 0.5, positions)
         asked = asked.groupBy("i").agg(F.max("v").alias("v"))
         blocks = -(-asked.count() // BLOCK)
         part = F.pmod(F.xxhash64("i"), F.lit(max(1, blocks)))
-        found = reduce(DataFrame.unionByName, [_pass(base, asked.where(part == b).toPandas(), index, k, share, out) for b in range(blocks)], found)
+        found = reduce(DataFrame.unionByName, [_pass(base, collected(asked.where(part == b)), index, k, share, out) for b in range(blocks)], found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

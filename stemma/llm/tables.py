@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,11 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
     return rows.join(F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small, on, how)
 
 
+def collected(rows: DataFrame) -> pd.DataFrame:
+    """A bounded table as pandas, through Arrow whatever the session's setting is."""
+    return rows.toArrow().to_pandas()
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

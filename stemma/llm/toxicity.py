@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.tables import sampled
+from stemma.llm.tables import collected, sampled
 
 POSITIVES, UNLABELLED = 3000, 9000
 FEATURES, LEAST_DOCS, LEAST_G2 = 4096, 3, 8.0
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
             for b in batches:
                 yield pd.DataFrame({"pos": b["pos"], "unl": b["unl"], "at": [[vocabulary[x] for x in w if x in vocabulary] for w in b["w"]]})
 
-        rows = pool.mapInPandas(places, "pos boolean, unl boolean, at array<int>").toPandas()
+        rows = collected(pool.mapInPandas(places, "pos boolean, unl boolean, at array<int>"))
     finally:
         pool.unpersist()
     at = sorted((tuple(x), a, b) for x, a, b in zip(rows["at"], rows["pos"], rows["unl"]))
