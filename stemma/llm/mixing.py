@@ -139,17 +139,17 @@ def mix(
         .groupBy(*names)
         .agg(F.max(F.when(F.col("run") <= F.col("rest"), F.struct("key", "_id"))).alias("end"), F.min("range").alias("range"))
     )
-    plan = cut_lineage(share.join(ends, names, "left"))
-    mine = _key(seed, F.col("whole"), F.col(doc_id))
-    within = F.when(F.col("end").isNotNull(), F.struct(mine.alias("key"), F.col(doc_id).alias("_id")) <= F.col("end")).otherwise(
-        F.expr(f"shiftright(_mine, {_BITS} - bits) < range")
+    plan = cut_lineage(share.join(ends, names, "left").select(*names, F.struct("whole", "rest", "bits", "end", "range").alias("_plan")))
+    mine = _key(seed, F.col("_plan.whole"), F.col(doc_id))
+    within = F.when(F.col("_plan.end").isNotNull(), F.struct(F.col("_mine").alias("key"), F.col(doc_id).alias("_id")) <= F.col("_plan.end")).otherwise(
+        F.expr(f"shiftright(_mine, {_BITS} - _plan.bits) < _plan.range")
     )
-    extra = F.when((F.col("rest") > 0) & F.coalesce(within, F.lit(False)), 1).otherwise(0)
+    extra = F.when((F.col("_plan.rest") > 0) & F.coalesce(within, F.lit(False)), 1).otherwise(0)
     keep = [c for c in placed.columns if c != "epoch"]
     return (
         attach(placed.where(F.col(text).rlike("[^ \\t-\\r]")), plan, names)
         .withColumn("_mine", mine)
-        .withColumn("_copies", F.col("whole") + extra)
+        .withColumn("_copies", F.col("_plan.whole") + extra)
         .where("_copies > 0")
         .select(*keep, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("epoch"))
     )

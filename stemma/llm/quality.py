@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.svm import fit_logistic
-from stemma.llm.tables import attach, sampled
+from stemma.llm.tables import attach, collected, sampled
+from stemma.session import cut_lineage
 
 PER_CLASS = 1500
 STRONGEST = 1e6
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
             yield pd.DataFrame({"y": [g[0] for g in got], "m": [g[1] for g in got]})
 
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).join(F.broadcast(picked), "_k").select("_k", "_y", "t")
-    got = texts.mapInPandas(rows, "y int, m array<double>").limit(8 * PER_CLASS).toPandas()
+    got = collected(texts.mapInPandas(rows, "y int, m array<double>").limit(8 * PER_CLASS))
     x = np.vstack(got["m"].to_numpy()) if len(got) else np.empty((0, N_MEASURES))
     order = np.lexsort((*x.T, got["y"].to_numpy()))
     return Model(x[order], got["y"].to_numpy()[order], sizes.get(1, 0) / max(1, sum(sizes.values())))
@@ -151,20 +152,20 @@ def judge(docs: DataFrame, model: Model, host: Column, path: Column, *, text: st
     columns = [c for c in docs.columns if c not in results]
     site = [F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path")]
     scored = docs.select(*columns, *site, evidence(F.col(text)).alias("p")).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
-    paths = scored.select("_host", "_path", "p").groupBy("_host", "_path").agg(F.count("p").alias("n"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")).cache()
+    paths = cut_lineage(scored.groupBy("_host", "_path").agg(F.count("p").alias("n"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     m = total["s"] / total["n"] if total["n"] else 0.5
     m = min(max(m, 1e-4), 1 - 1e-4)
     k_host = _strength(hosts.where("hn > 0").select(F.col("hn").alias("n"), F.col("hs").alias("s")), m)
     k_path = _strength(paths.where("n > 0"), m)
-    sites = paths.join(hosts, "_host")
+    sites = paths.join(hosts, "_host").select("_host", "_path", F.struct("n", "s", "hn", "hs").alias("_site"))
     own, one = F.coalesce("p", F.lit(0.0)), F.when(F.col("p").isNull(), 0).otherwise(1)
     logit = lambda c: F.log(F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6)) / (1 - F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))))
     return (
         attach(scored, sites, ["_host", "_path"])
-        .withColumn("host_share", (F.col("hs") - own + k_host * m) / (F.col("hn") - one + k_host))
-        .withColumn("path_share", (F.col("s") - own + k_path * F.col("host_share")) / (F.col("n") - one + k_path))
+        .withColumn("host_share", (F.col("_site.hs") - own + k_host * m) / (F.col("_site.hn") - one + k_host))
+        .withColumn("path_share", (F.col("_site.s") - own + k_path * F.col("host_share")) / (F.col("_site.n") - one + k_path))
         .withColumn("p", F.coalesce("p", F.lit(m)))
         .withColumn("score", 1 / (1 + F.exp(-(logit(F.col("p")) - float(np.log(m / (1 - m))) + logit(F.col("path_share"))))))
         .withColumn("keep", F.col("score") >= keep_from)
