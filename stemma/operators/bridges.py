@@ -112,7 +112,15 @@ def gated_pairs(docs: DataFrame, min_base: float = 0.0, limits: Limits = Limits(
         what = matrix(a["v"]) @ matrix(b["v"]).T
         ra, rb = a["dirs"].map(tuple), b["dirs"].map(tuple)
         ua, ub = sorted(set(ra)), sorted(set(rb))
-        table = np.array([[0.1 * min(len(set(x) & set(y)) / 3, 1.0) for y in ub] for x in ua])
+        parts = {part: k for k, part in enumerate(sorted({part for folder in (*ua, *ub) for part in folder}))}
+
+        def marks(folders):
+            m = np.zeros((len(folders), len(parts)), np.float32)
+            for row, folder in enumerate(folders):
+                m[row, [parts[part] for part in folder]] = 1
+            return m
+
+        table = 0.1 * np.minimum((marks(ua) @ marks(ub).T).astype(float) / 3, 1.0)
         ia, ib = {x: i for i, x in enumerate(ua)}, {x: i for i, x in enumerate(ub)}
         near = table[ra.map(ia).to_numpy()[:, None], rb.map(ib).to_numpy()[None, :]]
         gap = np.abs(a["year"].to_numpy()[:, None] - b["year"].to_numpy()[None, :])

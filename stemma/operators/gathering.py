@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,23 @@ def gather_topics(df: DataFrame, topics: dict[str, list[str]], text: str, key: s
     return _first(d, ["topic"], [F.col(key)], per_topic, "_r").drop("_r")
 
 
+def gather_queries(df: DataFrame, topics: dict[str, list[str]], text: str, key: str, per_topic: int, years: tuple | None = None) -> DataFrame:
+    """(topic, paper, query, hits): each query of a topic gets an equal share of `per_topic`, filled in the
+    order of relevance (how often the query's term occurs); a paper counts once per topic, for its best query.
+    """
+    d = df.where(year_range(F.col("year"), *years)) if years else df
+    low = F.lower(F.col(text))
+    found = [
+        F.struct(F.lit(t).alias("topic"), F.lit(q).alias("query"), F.lit(max(1, per_topic // len(qs))).alias("share"), F.regexp_count(low, F.lit(re.escape(q.lower()))).alias("hits"))
+        for t, qs in topics.items() for q in qs
+    ]
+    rows = d.select(key, F.inline(F.filter(F.array(*found), lambda x: x["hits"] > 0)))
+    best = rows.groupBy("topic", key).agg(F.max(F.struct("hits", "query", "share")).alias("b"))  # on equal hits the later query by name
+    order = Window.partitionBy("topic", "query").orderBy(F.desc("hits"), key)
+    ranked = best.select("topic", key, "b.*").withColumn("_r", F.row_number().over(order))
+    return ranked.where(F.col("_r") <= F.col("share")).select("topic", key, "query", "hits")
+
+
 def relevant(text: Column, keywords: list[str], floor: int = 2) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(F.lower(text), F.lit(k)).cast("int") for k in keywords]) >= floor
 

@@ -28,6 +28,7 @@ MOMENTUM = 0.9
 LEARNING_RATE = 0.1
 ANCHOR_FIDELITY = 0.8
 INITIAL_SPREAD = 0.0001
+CLOSE_TOGETHER = 65_536
 
 Policy = Callable[[Column, Column, Column], Column]
 
@@ -40,7 +41,8 @@ def fixed_policy(stress: Column, last_move: Column, iteration: Column) -> Column
 def initial(nodes: DataFrame, dims: int, iteration: int = 0) -> DataFrame:
     """Start state of (id, fid): normal positions from a hash of id and dimension, so reruns and lost tasks agree."""
     def unit_hash(tag: int):
-        return lambda k: (F.pmod(F.xxhash64("id", k, F.lit(tag)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+        h = lambda k: F.md5(F.concat_ws("|", F.lit(str(tag)), F.col("id").cast("string"), k.cast("string")).cast("binary"))
+        return lambda k: (F.conv(F.substring(h(k), 1, 13), 16, 10).cast("long") + 1) / F.lit(float((1 << 52) + 1))
 
     u, w = unit_hash(1), unit_hash(2)
     normal = F.transform(
@@ -84,11 +86,13 @@ def _repel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     far = (d < REACH) & ~close & ~same & (d > 0)
     w = np.where(far, REPULSION / np.where(far, d * (d + SOFTENING), 1.0), 0.0)
     force = p * w.sum(1)[:, None] - w @ q
-    for i, j in zip(*np.nonzero(close)):  # too near for the expanded square: take the difference itself
-        diff = p[i] - q[j]
-        n = np.sqrt((diff * diff).sum())
-        if 0 < n < REACH:
-            force[i] += diff / n * (REPULSION / (n + SOFTENING))
+    rows, cols = np.nonzero(close)
+    for at in range(0, len(rows), CLOSE_TOGETHER):  # too near for the expanded square: take the differences themselves
+        i = rows[at : at + CLOSE_TOGETHER]
+        diff = p[i] - q[cols[at : at + CLOSE_TOGETHER]]
+        n = np.sqrt((diff * diff).sum(1))
+        ok = (n > 0) & (n < REACH)
+        np.add.at(force, i[ok], diff[ok] * (REPULSION / (n[ok] * (n[ok] + SOFTENING)))[:, None])
     return pd.DataFrame({"id": a["id"].to_numpy(), "force": list(force)})
 
 

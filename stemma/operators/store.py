@@ -218,3 +218,11 @@ class Table:
     def append_json(self, df: DataFrame, log: str) -> None:
         """Append-only log next to the versions."""
         df.write.mode("append").json(f"{self.base}.{log}")
+
+
+def write_queries(spark: SparkSession, root: str, queries: DataFrame, key: str = "doc_id") -> None:
+    """Merge queries into the table `queries`, and the active ones into `nodes`; inactive ones leave `nodes`."""
+    Table(spark, root, "queries").upsert(queries, key)
+    nodes = Table(spark, root, "nodes")
+    active = queries.where("is_active").select(key)
+    nodes.write(nodes.read().select(key).join(queries.select(key), key, "left_anti").unionByName(active) if nodes.exists() else active)

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stemma.functions import paths as P
+from stemma.functions import text as X
 from stemma.operators import gathering as GA
 from stemma.operators import store as ST
 from stemma.plans import dialect as d
 from stemma.plans.registry import Registry
 from stemma.sources import tables as S
 from stemma.sources.tables import with_ctes
+from stemma.streaming.ingest import work_folder
 
 R = Registry()
 
@@ -173,6 +175,60 @@ def topic_gather(spark, sf_dir):
     return GA.gather_topics(docs, topics, "text", "doc_id", per_topic=25, years=(2000, 2020)).select("topic", "doc_id")
 
 
+_TOPICS = {"structure": ["the", "matrix", "graph"], "method": ["algorithm", "step"]}
+
+
+def _n_sql(q: str) -> str:
+    return f"((length(low) - length(replace(low, '{q}', ''))) / {len(q)})::INT"
+
+
+@R.query(
+    "topic_shares",
+    "WITH " + S.CTE["docs_ann"] + ", low AS (SELECT doc_id, lower(text) AS low FROM docs_ann), h AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS topic, '{q}' AS query, {max(1, 50 // len(qs))} AS share, doc_id, {_n_sql(q)} AS hits FROM low" for t, qs in _TOPICS.items() for q in qs)
+    + """), b AS (SELECT topic, doc_id, max(hits) AS hits, arg_max(query, (hits, query)) AS query, arg_max(share, (hits, query)) AS share FROM h WHERE hits > 0 GROUP BY 1, 2)
+ SELECT topic, doc_id, query, hits FROM (SELECT *, row_number() OVER (PARTITION BY topic, query ORDER BY hits DESC, doc_id) AS r FROM b) WHERE r <= share""",
+)
+def topic_shares(spark, sf_dir):
+    """Topics whose queries share the places of the topic, most relevant documents first."""
+    return GA.gather_queries(S.docs_ann(spark, sf_dir), _TOPICS, "text", "doc_id", 50)
+
+
+_KEYWORDS = ["entropy", "algorithm", "matrix", "graph", "theorem", "code"]
+
+
+@R.query("keyword_relevance", "WITH " + S.CTE["docs_ann"] + " SELECT doc_id, " + " + ".join(f"contains(lower(text), '{k}')::INT" for k in _KEYWORDS) + " >= 2 AS relevant FROM docs_ann")
+def keyword_relevance(spark, sf_dir):
+    """Whether a text holds at least two of the collection's keywords."""
+    return S.docs_ann(spark, sf_dir).select("doc_id", GA.relevant(F.col("text"), _KEYWORDS).alias("relevant"))
+
+
+@R.query("query_store", f"WITH {_TAGGED} SELECT doc_id, array_to_string(list_sort(tags), '|') AS tags, is_active, is_active AS has_node FROM t")
+def query_store(spark, sf_dir):
+    """Queries written to a stored table together with the nodes of the active ones, read back."""
+    q = tagged(spark, sf_dir)
+    root = work_folder(spark, "queries")
+    ST.write_queries(spark, root, q)
+    nodes = ST.Table(spark, root, "nodes").read().select("doc_id", F.lit(True).alias("has_node"))
+    stored = ST.Table(spark, root, "queries").read().join(nodes, "doc_id", "left")
+    return stored.select("doc_id", F.array_join(F.sort_array("collection_tags"), "|").alias("tags"), "is_active", F.coalesce("has_node", F.lit(False)).alias("has_node"))
+
+
+@R.query(
+    "confidence_filter",
+    """SELECT doc_id, round((a + b) / 2.0::DOUBLE, 6) AS mean_confidence, ((a >= 0.7)::INT + (b >= 0.7)::INT)::INT AS kept FROM
+ (SELECT doc_id, (1 + doc_id % 10) / 10.0::DOUBLE AS a, (1 + doc_id % 7) / 7.0::DOUBLE AS b FROM documents)""",
+)
+def confidence_filter(spark, sf_dir):
+    """Mean confidence of recognised words, and how many are sure enough; blanks and zeros do not count."""
+    i = F.col("doc_id")
+    words = F.array(F.lit("alpha"), F.lit(" "), F.lit("beta"), F.lit("gamma"))
+    sure = F.array((1 + i % 10) / 10.0, F.lit(0.9), (1 + i % 7) / 7.0, F.lit(0.0))
+    d = S.table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), sure.alias("c"))
+    kept = F.size(F.filter(F.arrays_zip("w", "c"), lambda z: (z["c"] >= 0.7) & (F.trim(z["w"]) != "")))
+    return d.select("doc_id", F.round(X.confidence_mean(F.col("w"), F.col("c")), 6).alias("mean_confidence"), kept.alias("kept"))
+
+
 @R.query("collection_profile", f"""SELECT 'year' AS facet, ({_NOW})::VARCHAR AS value, count(*) AS n FROM documents GROUP BY 1, 2
  UNION ALL (SELECT 'category', source, count(*) FROM documents GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
 def collection_profile(spark, sf_dir):

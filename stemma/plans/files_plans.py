@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.functions import paths as P
+from stemma.functions import vectors as V
 from stemma.operators import edges as E
 from stemma.operators import graph as G
 from stemma.plans import dialect as d
@@ -317,3 +318,21 @@ def where_vector(spark, sf_dir):
 
     v = files(spark, sf_dir).select("path", wv(F.col("path")).alias("v"))
     return v.select("path", F.round(F.get("v", F.lit(0)), 6).alias("depth_part"), F.size("v").alias("dims"), F.size(F.filter("v", lambda x: x != 0)).alias("nonzero"))
+
+
+@R.query(
+    "path_overlap",
+    with_ctes(["cites"], """, ch AS (SELECT doc_id, list_filter(string_split('/corpus/' || lang || '/' || source, '/'), lambda x: x <> '') AS c FROM documents)
+ SELECT src, dst, round(1 - len(list_intersect(a.c, b.c)) / (len(a.c) + len(b.c) - len(list_intersect(a.c, b.c)))::DOUBLE, 6) AS distance FROM cites JOIN ch a ON a.doc_id = src JOIN ch b ON b.doc_id = dst"""),
+)
+def path_overlap(spark, sf_dir):
+    """Distance of the two ends of each citation by the directories they share."""
+    docs = S.table(spark, sf_dir, "documents")
+    chain = docs.select("doc_id", P.parts(F.concat_ws("/", F.lit("/corpus"), "lang", "source")).alias("c"))
+    j = S.cites(spark, sf_dir).join(chain.select(F.col("doc_id").alias("src"), F.col("c").alias("a")), "src").join(chain.select(F.col("doc_id").alias("dst"), F.col("c").alias("b")), "dst")
+    return j.select("src", "dst", F.round(V.path_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@R.query("sibling_counts", sql("SELECT a.parent, 0.8::DOUBLE AS weight, count(*) AS n_edges FROM nodes a JOIN nodes b ON a.parent = b.parent AND a.path <> b.path GROUP BY 1"))
+def sibling_counts(spark, sf_dir):
+    return E.sibling_counts(files(spark, sf_dir))

@@ -60,9 +60,36 @@ def layout_edges(spark, sf_dir):
     return out.select("src", "dst", F.round("weight", 6).alias("weight"), F.round("conveyance_diff", 6).alias("conveyance_diff"))
 
 
-@R.query("layout_run")
-def layout_run(spark, sf_dir, iterations: int = 3):
+RUN_DIMS, RUN_ROUNDS = 8, 3
+
+
+def _run_sql() -> str:
+    """Hashed start positions and the rounds written out one after the other."""
+    unit = lambda tag: f"(('0x' || substr(md5('{tag}|' || id || '|' || k), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE"
+    out = f""",
+ ed AS (SELECT src, dst, dist FROM wk UNION SELECT dst, src, dist FROM wk),
+ st0 AS MATERIALIZED (SELECT id, list(sqrt(ln({unit(1)}) * -2) * cos({unit(2)} * 6.283185307179586::DOUBLE) * 0.0001::DOUBLE ORDER BY k) AS pos, list_transform(range(0, {RUN_DIMS}), lambda x: 0.0::DOUBLE) AS vel,
+  0.2::DOUBLE AS stress, 0 AS last_move, any_value(fid) > 0.8 AS is_anchor FROM v3, range(0, {RUN_DIMS}) r(k) GROUP BY id)"""
+    for n in range(RUN_ROUNDS):
+        out += f""",
+ pair{n} AS (SELECT a.id, list_distance(a.pos, b.pos) AS d, a.pos AS p, b.pos AS q FROM st{n} a JOIN st{n} b ON a.id <> b.id WHERE NOT a.is_anchor),
+ f{n} AS (SELECT id, i, (p[i]-q[i])/d * (1/(d+0.1::DOUBLE)) * 0.05::DOUBLE AS x FROM pair{n}, range(1, {RUN_DIMS + 1}) r(i) WHERE d > 0 AND d < 1
+  UNION ALL SELECT a.id, i, (b.pos[i]-a.pos[i]) / list_distance(a.pos, b.pos) * dist * 0.1::DOUBLE FROM ed JOIN st{n} a ON a.id = src JOIN st{n} b ON b.id = dst, range(1, {RUN_DIMS + 1}) r(i) WHERE NOT a.is_anchor AND list_distance(a.pos, b.pos) > 0),
+ fs{n} AS (SELECT id, i, sum(x) AS x FROM f{n} GROUP BY 1, 2),
+ sc{n} AS (SELECT *, CASE WHEN is_anchor THEN 0 WHEN stress > 0.1 THEN 0.5 WHEN {n + 1} - last_move > 10 THEN 0.1 ELSE 0 END::DOUBLE AS s FROM st{n}),
+ nx{n} AS (SELECT c.id, i, s, stress, c.last_move, c.is_anchor, coalesce(x, 0) AS x, CASE WHEN s > 0 THEN vel[i]*0.9::DOUBLE + coalesce(x, 0)*s*0.1::DOUBLE ELSE vel[i] END AS v, pos[i] AS p FROM sc{n} c CROSS JOIN range(1, {RUN_DIMS + 1}) r(i) LEFT JOIN fs{n} USING (id, i)),
+ st{n + 1} AS MATERIALIZED (SELECT id, list(CASE WHEN s > 0 THEN p + v ELSE p END ORDER BY i) AS pos, list(v ORDER BY i) AS vel, CASE WHEN any_value(s) > 0 THEN sqrt(sum(x*x)) ELSE any_value(stress) END AS stress,
+  CASE WHEN any_value(s) > 0 THEN {n + 1} ELSE any_value(last_move) END AS last_move, any_value(is_anchor) AS is_anchor FROM nx{n} GROUP BY id)"""
+    return out
+
+
+@R.query(
+    "layout_run",
+    wknn_sql(f"SELECT id, array_to_string(list_transform(pos, lambda x: round(x * 1e4, 0)::BIGINT::VARCHAR), ',') AS pos, round(stress, 4) AS stress, last_move::INT AS last_move, is_anchor FROM st{RUN_ROUNDS}", _run_sql()),
+)
+def layout_run(spark, sf_dir):
     """A few rounds from hashed start positions with stress that lets every free node move."""
-    state = L.initial(S.v3(spark, sf_dir), 8).withColumn("stress", F.lit(0.2))
-    out = L.run(state, symmetric(weighted_knn(spark, sf_dir)), 8, iterations)
-    return out.select("id", V.micro(F.col("pos")).alias("pos"), F.round("stress", 6).alias("stress"), "last_move", "is_anchor")
+    state = L.initial(S.v3(spark, sf_dir), RUN_DIMS).withColumn("stress", F.lit(0.2))
+    out = L.run(state, symmetric(weighted_knn(spark, sf_dir)), RUN_DIMS, RUN_ROUNDS)
+    told = F.array_join(F.transform("pos", lambda x: F.round(x * 1e4, 0).cast("long").cast("string")), ",")
+    return out.select("id", told.alias("pos"), F.round("stress", 4).alias("stress"), "last_move", "is_anchor")

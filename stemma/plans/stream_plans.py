@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators import store as ST
 from stemma.plans.registry import Registry
+from stemma.sources import tables as S
 from stemma.streaming import ingest as I
 
 R = Registry()
@@ -52,3 +53,18 @@ def stream_history(spark, sf_dir):
     )
     I.drain(s, I.upsert_into(t, "query_id"), ck, "update")
     return t.read()
+
+
+@R.query(
+    "stream_batches",
+    """SELECT k::BIGINT AS batch_id, n AS rows, sum(n) OVER (ORDER BY k)::BIGINT AS total, (sum(n) OVER (ORDER BY k) // 100 - (sum(n) OVER (ORDER BY k) - n) // 100)::BIGINT AS updates
+ FROM (SELECT doc_id % 4 AS k, count(*) AS n FROM documents GROUP BY 1)""",
+)
+def stream_batches(spark, sf_dir):
+    """The counter over four arrivals of files, one micro-batch each, with its state kept between them."""
+    folder, (t, ck) = I.work_folder(spark, "arrivals"), _setup(spark, "arrival-counter")
+    docs = S.table(spark, sf_dir, "documents").select("doc_id")
+    for k in range(4):
+        docs.where(F.col("doc_id") % 4 == k).coalesce(1).write.mode("append").parquet(folder)
+    I.drain(I.file_stream(spark, folder, 1), I.every_n(100, t), ck)
+    return t.read()

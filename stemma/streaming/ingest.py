@@ -64,16 +64,14 @@ def every_n(n: int, table: ST.Table, action: Callable[[DataFrame], None] | None
     """Count rows over batches and run `action` whenever the total passes a multiple of n; one log row per batch."""
     def go(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        done = table.read() if table.exists() else None
-        if done is not None:
-            done = done.where(F.col("batch_id") < batch_id)  # a replayed batch replaces its own log row
-        before = (done.agg(F.max("total")).first()[0] if done is not None else None) or 0
+        # a replayed batch does not count itself, and replaces its own log row below
+        before = (table.read().where(F.col("batch_id") < batch_id).agg(F.max("total")).first()[0] if table.exists() else None) or 0
         rows = df.count()
         fired = (before + rows) // n - before // n
         if fired and action:
             action(df)
         row = spark.createDataFrame([(batch_id, rows, before + rows, fired)], "batch_id long, rows long, total long, updates long")
-        table.write(row if done is None else done.unionByName(row))
+        table.upsert(row, "batch_id")
 
     return go
 
