@@ -209,15 +209,21 @@ def _imports(text: str, at: int) -> bool:
     return text[max(0, at - 7) : at].endswith("import ") or text[max(0, at - 5) : at].endswith("from ")
 
 
-def mentions(files: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def attributes(files: DataFrame) -> DataFrame:
+    """The narrow properties of files, written once; contents stay where they are read."""
+    return cut_lineage(files.drop("content"))
+
+
+def mentions(files: DataFrame, flat: DataFrame | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """(path, parent, stem, hit, imported): Python files and the Python stems that occur in their text.
 
     While the stems are small (counted first) every task searches its texts for all of them at once.
     Beyond that, every stem is some substring of its own length, so the distinct substrings of the
-    occurring lengths are joined to the stems.
+    occurring lengths are joined to the stems. `flat` are the attributes of the same files, if at hand:
+    then the texts are read once.
     """
     py = files.where(F.col("ext") == ".py").select("path", "parent", "stem", F.coalesce("content", F.lit("")).alias("content"))
-    names = py.select("stem").where("stem <> ''").distinct()
+    names = (py if flat is None else flat.where("ext = '.py'")).select("stem").where("stem <> ''").distinct()
     size = names.select(F.length("stem").alias("n")).groupBy("n").agg(F.count("*").alias("c")).collect()  # one row per name length
     lengths = sorted(r["n"] for r in size)
     total = sum((r["n"] * 2 + 64) * r["c"] for r in size)
@@ -258,12 +264,13 @@ def _either_count(named: DataFrame, per_stem: DataFrame, m: str) -> DataFrame:
     return one.unionByName(both).unionByName(same).agg(F.sum("v").alias("v"))
 
 
-def what_counts(files: DataFrame) -> DataFrame:
+def what_counts(files: DataFrame, flat: DataFrame | None = None) -> DataFrame:
     """WHAT edges per suffix and weight: suffix base, raised for Python files that import or name each other."""
-    ext = files.groupBy("ext").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("total"))
-    hits = mentions(files).groupBy(F.col("stem").alias("p"), F.col("hit").alias("q"))
+    flat = attributes(files) if flat is None else flat
+    ext = flat.groupBy("ext").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("total"))
+    hits = mentions(files, flat).groupBy(F.col("stem").alias("p"), F.col("hit").alias("q"))
     hits = cut_lineage(hits.agg(F.count("*").alias("n_named"), F.count_if("imported").alias("n_imported")))
-    per = files.where("ext = '.py'").groupBy("stem").agg(F.count("*").alias("n"))
+    per = flat.where("ext = '.py'").groupBy("stem").agg(F.count("*").alias("n"))
     named = _either_count(hits, per, "n_named").withColumn("kind", F.lit("named"))
     imported = _either_count(hits, per, "n_imported").withColumn("kind", F.lit("imported"))
     kinds = ["total", "named", "imported"]
@@ -293,11 +300,12 @@ def pair_flags(a: str, b: str) -> dict[str, Column]:
     }
 
 
-def named_siblings(files: DataFrame) -> DataFrame:
+def named_siblings(files: DataFrame, flat: DataFrame | None = None) -> DataFrame:
     """Python files of one directory that name each other: one row per unordered pair. A directory holds
     each stem once, so a file adds at most as many rows as its own text names."""
-    hits = mentions(files).select("path", "parent", "hit", "imported")
-    py = files.where("ext = '.py'")
+    flat = attributes(files) if flat is None else flat
+    hits = mentions(files, flat).select("path", "parent", "hit", "imported")
+    py = flat.where("ext = '.py'")
     to = py.select("parent", F.col("stem").alias("hit"), F.col("path").alias("other"))
     e = hits.join(to, ["parent", "hit"]).where("path <> other")
     pairs = e.groupBy("parent", F.least("path", "other").alias("src"), F.greatest("path", "other").alias("dst")).agg(F.max("imported").alias("imported"))
@@ -306,10 +314,11 @@ def named_siblings(files: DataFrame) -> DataFrame:
     return j.select("parent", "src", "dst", F.when(F.col("imported"), 0.9).otherwise(0.7).alias("what"), *[v.alias(k) for k, v in pair_flags("a", "b").items()])
 
 
-def composite_counts(files: DataFrame) -> DataFrame:
+def composite_counts(files: DataFrame, flat: DataFrame | None = None) -> DataFrame:
     """Composite edges: sibling file pairs of one suffix with a CONVEYANCE edge, weight = product of the three."""
-    total = pair_counts(files, ["parent", "ext"]).withColumn("what", base_what(F.col("ext")))
-    named = named_siblings(files).groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n")).withColumn("ext", F.lit(".py"))
+    flat = attributes(files) if flat is None else flat
+    total = pair_counts(flat, ["parent", "ext"]).withColumn("what", base_what(F.col("ext")))
+    named = named_siblings(files, flat).groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n")).withColumn("ext", F.lit(".py"))
     # a pair that is named leaves the base weight for its own
     moved = F.array(
         F.struct(F.col("what").alias("w"), F.col("n").alias("n_pairs")), F.struct(base_what(F.col("ext")).alias("w"), (-F.col("n")).alias("n_pairs"))
@@ -343,6 +352,8 @@ def edges_of(files: DataFrame, paths: list[str]) -> DataFrame:
 
 def dimension_pattern(files: DataFrame) -> DataFrame:
     """Directed node pairs of the union of the three edge sets by which dimensions are present."""
+    files = attributes(files)
+
     def conv(by):
         return conveyance_counts(files, by).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("v"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from stemma.functions import text as X
 from stemma.functions import vectors as V
 from stemma.operators import chunking
+from stemma.session import cut_lineage
 
 Model = Callable[[list[str]], np.ndarray]
 
@@ -71,6 +72,12 @@ def index_vector(semantic: Column, where: Column, what: Column, conveyance: Colu
     return F.coalesce(semantic, F.concat(where, what, conveyance))
 
 
+def chunk_vectors(df: DataFrame, key: str, text: str, factory: Callable[[], Model]) -> DataFrame:
+    """(key, chunk_index, embedding) of every chunk of every document: texts are cut and embedded in one pass."""
+    chunks = chunking.paragraph_chunks(df.select(key, F.col(text).alias("text")))
+    return embed(chunks.select(key, "chunk_index", "chunk"), [key, "chunk_index"], "chunk", factory)
+
+
 def build_documents(df: DataFrame, key: str, text: str, path: str, factory: Callable[[], Model], where_dims: int = 102, conveyance_dims: int = 922) -> DataFrame:
     """Scores, chunks and the WHERE / WHAT / CONVEYANCE vectors of every document.
 
@@ -82,8 +89,8 @@ def build_documents(df: DataFrame, key: str, text: str, path: str, factory: Call
     base = scored.select(
         key, path, *X.MAIN_SCORES, comp["theory_components"].alias("theory_components"), comp["practice_components"].alias("practice_components"),
     )
-    chunks = chunking.paragraph_chunks(df.select(key, F.col(text).alias("text")))
-    first = embed(chunks.where("chunk_index = 0").select(key, "chunk"), key, "chunk", factory)
+    chunks = cut_lineage(chunk_vectors(df, key, text, factory))
+    first = chunks.where("chunk_index = 0").select(key, "embedding")
     n = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"))
     c = F.col
     return base.join(first, key).join(n, key).select(

@@ -10,7 +10,7 @@ from stemma.operators import embedding as EM
 from stemma.operators.vector_index import VectorIndex
 from stemma.plans import dialect as d
 from stemma.plans.registry import Registry
-from stemma.plans.text_plans import SCORED
+from stemma.plans.text_plans import PARAGRAPH_CHUNKS, SCORED
 from stemma.plans.vector_plans import cos_sql, query_vector
 from stemma.sources import files as FS
 from stemma.sources import tables as S
@@ -114,6 +114,17 @@ def embed_texts(spark, sf_dir):
     return e.select("doc_id", V.micro(F.col("embedding")).alias("embedding"))
 
 
+@R.query(
+    "chunk_vectors",
+    with_ctes(["docs_ann"], PARAGRAPH_CHUNKS + f""", cc AS (SELECT *, doc_id || '/' || chunk_index AS k FROM ck), {_embed_sql('cc', 'k', 'chunk', 64)}
+ SELECT doc_id, chunk_index, string_agg((coalesce(x, 0) * 1000000)::BIGINT::VARCHAR, ',' ORDER BY g.i) AS embedding FROM cc CROSS JOIN range(0, 64) g(i) LEFT JOIN dimv ON dimv.k = cc.k AND dimv.i = g.i GROUP BY 1, 2""", recursive=True),
+)
+def chunk_vectors(spark, sf_dir):
+    """A vector for every chunk of every document, cut and embedded in one pass."""
+    docs = S.docs_ann(spark, sf_dir).select("doc_id", "text")
+    return EM.chunk_vectors(docs, "doc_id", "text", lambda: EM.HashingModel(64)).select("doc_id", "chunk_index", V.micro(F.col("embedding")).alias("embedding"))
+
+
 @R.query(
     "build_documents",
     with_ctes(["docs_ann"], SCORED + f""", pth AS (SELECT doc_id, '/data/papers/Q/QA76/' || doc_id AS path FROM docs_ann), comp AS (SELECT doc_id, low,

@@ -53,18 +53,21 @@ def contains_edges(spark, sf_dir):
     return E.contains_edges(files(spark, sf_dir))
 
 
+def where_counts(f):
+    inside = E.contains_edges(f).groupBy(F.col("src").alias("parent"), "weight").agg(F.count("*").alias("n_edges"))
+    cols = ["relationship", "parent", "weight", "n_edges"]
+    return inside.withColumn("relationship", F.lit("contains")).select(*cols).unionByName(
+        E.sibling_counts(f).withColumn("relationship", F.lit("sibling")).select(*cols)
+    )
+
+
 @R.query(
     "where_edges",
     sql("""SELECT relationship, parent, weight, count(*) AS n_edges FROM (SELECT 'contains' AS relationship, n.parent, 1.0::DOUBLE AS weight FROM nodes n JOIN dirs ON dirs.path = n.parent
  UNION ALL SELECT 'sibling', a.parent, 0.8::DOUBLE FROM nodes a JOIN nodes b ON a.parent = b.parent AND a.path <> b.path) GROUP BY ALL"""),
 )
 def where_edges(spark, sf_dir):
-    f = files(spark, sf_dir)
-    inside = E.contains_edges(f).groupBy(F.col("src").alias("parent"), "weight").agg(F.count("*").alias("n_edges"))
-    cols = ["relationship", "parent", "weight", "n_edges"]
-    return inside.withColumn("relationship", F.lit("contains")).select(*cols).unionByName(
-        E.sibling_counts(f).withColumn("relationship", F.lit("sibling")).select(*cols)
-    )
+    return where_counts(files(spark, sf_dir))
 
 
 @R.query("what_edges", sql("SELECT ext, what AS weight, count(*) AS n_pairs FROM x WHERE same_ext GROUP BY ALL"))
@@ -179,12 +182,13 @@ def incident_edges(spark, sf_dir):
 )
 def edge_stats(spark, sf_dir):
     f = files(spark, sf_dir)
+    flat = E.attributes(f)
     sets = {
-        "WHERE": where_edges(spark, sf_dir).select(F.col("weight").alias("w"), F.col("n_edges").alias("n")),
-        "WHAT": E.what_counts(f).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
-        "WHO": E.who_counts(f).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
-        "CONVEYANCE": E.conveyance_counts(f).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
-        "COMPOSITE": E.composite_counts(f).select(F.col("composite").alias("w"), F.col("n_pairs").alias("n")),
+        "WHERE": where_counts(flat).select(F.col("weight").alias("w"), F.col("n_edges").alias("n")),
+        "WHAT": E.what_counts(f, flat).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
+        "WHO": E.who_counts(flat).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
+        "CONVEYANCE": E.conveyance_counts(flat).select(F.col("weight").alias("w"), F.col("n_pairs").alias("n")),
+        "COMPOSITE": E.composite_counts(f, flat).select(F.col("composite").alias("w"), F.col("n_pairs").alias("n")),
     }
     every = None
     for k, v in sets.items():

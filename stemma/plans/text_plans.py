@@ -313,14 +313,17 @@ def chunk_lines(spark, sf_dir):
     return out.select("doc_id", "chunk_index", "line_start", "line_end", F.md5("chunk").alias("digest"))
 
 
-@R.query(
-    "chunk_paragraph",
-    with_ctes(["docs_ann"], f""", p AS (SELECT doc_id, string_split(text, chr(10)||chr(10)) AS ps FROM docs_ann WHERE length(text) > 8000),
+PARAGRAPH_CHUNKS = f""", p AS (SELECT doc_id, string_split(text, chr(10)||chr(10)) AS ps FROM docs_ann WHERE length(text) > 8000),
  f AS (SELECT doc_id, ps, 1 AS i, length(ps[1]) + 2 AS cur, 0 AS k FROM p UNION ALL
  SELECT doc_id, ps, i+1, CASE WHEN cur + length(ps[i+1]) < 8000 THEN cur + length(ps[i+1]) + 2 ELSE length(ps[i+1]) + 2 END,
-  CASE WHEN cur + length(ps[i+1]) < 8000 THEN k ELSE k + 1 END FROM f WHERE i < len(ps))
- SELECT doc_id, k::INT AS chunk_index, length(c)::INT AS chars, md5(c) AS digest FROM (SELECT doc_id, k, {d.strip("string_agg(ps[i], chr(10)||chr(10) ORDER BY i)")} AS c FROM f GROUP BY doc_id, k)
- UNION ALL SELECT doc_id, 0, length(text)::INT, md5(text) FROM docs_ann WHERE length(text) <= 8000""", recursive=True),
+  CASE WHEN cur + length(ps[i+1]) < 8000 THEN k ELSE k + 1 END FROM f WHERE i < len(ps)),
+ ck AS (SELECT doc_id, k::INT AS chunk_index, {d.strip("string_agg(ps[i], chr(10)||chr(10) ORDER BY i)")} AS chunk FROM f GROUP BY doc_id, k UNION ALL SELECT doc_id, 0, text FROM docs_ann WHERE length(text) <= 8000)
+"""
+
+
+@R.query(
+    "chunk_paragraph",
+    with_ctes(["docs_ann"], PARAGRAPH_CHUNKS + "SELECT doc_id, chunk_index, length(chunk)::INT AS chars, md5(chunk) AS digest FROM ck", recursive=True),
 )
 def chunk_paragraph(spark, sf_dir):
     out = chunking.paragraph_chunks(S.docs_ann(spark, sf_dir).select("doc_id", "text"))

@@ -68,7 +68,7 @@ def test_mentions_both_ways(hot, limit):
     rows, df = hot
     py = [r for r in rows if r[3] == ".py"]
     want = {(a[0], b[2], f"import {b[2]}" in a[12] or f"from {b[2]}" in a[12]) for a in py for b in py if b[2] in a[12]}
-    assert {(r.path, r.hit, r.imported) for r in E.mentions(df, limit).collect()} == want
+    assert {(r.path, r.hit, r.imported) for r in E.mentions(df, broadcast_bytes=limit).collect()} == want
 
 
 def test_what_counts(hot):
