@@ -560,3 +560,13 @@ def frontmatter(text: Column) -> Column:
     entries = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
     first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda o: o["key"]), e["key"]) == i + 1)
     return F.map_from_entries(first)
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """Template with every {name} replaced by its value; what a value holds is not searched again."""
+    out, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m[1] in values:
+            out += [F.lit(template[at : m.start()]), F.coalesce(values[m[1]], F.lit(""))]
+            at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
