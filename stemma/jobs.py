@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from stemma import config as C
 from stemma.functions import paths as P
+from stemma.functions import text as X
 from stemma.operators import edges as E
 from stemma.operators import embedding as EM
 from stemma.operators import simjoin
 from stemma.operators import store as ST
+from stemma.session import cut_lineage
 from stemma.sources import files as FS
 
 
 def process(spark: SparkSession, root: str, out: str, conf: dict | None = None, factory: Callable[[], EM.Model] = EM.HashingModel) -> ST.Table:
     """Load the texts below `root`, score, chunk and embed them, and merge them into the `nodes` table.
 
+    The tree is read once. Markdown and Python texts are scored with their code blocks and headers. Every
+    chunk gets a row with its vector in `chunks`, every file a row in `results` with its scores or its error.
     Documents already stored under the same key and content are left alone, so a rerun resumes.
     """
     conf = conf or C.load()
@@ -27,7 +31,18 @@ def process(spark: SparkSession, root: str, out: str, conf: dict | None = None,
     nodes = ST.Table(spark, out, "nodes")
     if nodes.exists():
         d = d.join(nodes.read().select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
-    built = EM.build_documents(d, "doc_id", "text", "path", factory)
+    d = cut_lineage(d)  # read once: nodes, chunks and results all start from here
+    built = cut_lineage(EM.build_documents(d, "doc_id", "text", "path", factory))
+    chunks = EM.chunk_vectors(d, "doc_id", "text", factory)
+    ST.Table(spark, out, "chunks").upsert(chunks.withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index")), "chunk_id")
+    t = F.col("text")
+    lines = X.lines_of(t)
+    loaded = d.select("doc_id", "path", "content_hash", "text", X.code_blocks(t).alias("blocks"), X.markdown_structure(t, lines)["headers"].alias("headers"))
+    scored = X.with_scores(loaded.withColumn("outline", F.struct("headers", F.col("headers").alias("sections"))), "text", "blocks", "outline")
+    files = FS.walk(spark, root, errors=True).select("path", "error")
+    results = scored.select("path", "doc_id", *X.MAIN_SCORES, "code_score", "structure_score", F.size("blocks").alias("code_blocks"), "headers")
+    results = results.join(files, "path", "full").select("*", (F.col("doc_id").isNotNull()).alias("success"))
+    ST.Table(spark, out, "results").upsert(results.where("doc_id IS NOT NULL OR error IS NOT NULL"), "path")
     nodes.upsert(built.join(d.select("doc_id", "content_hash"), "doc_id"), "doc_id")
     return nodes
 

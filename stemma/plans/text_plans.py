@@ -16,22 +16,32 @@ R = Registry()
 _T = "0.0::DOUBLE"
 
 
-def _scored_cte() -> str:
+_L = d.lines("text", X.LINE_BREAK)
+
+
+def _scored_cte(structured: bool = False) -> str:
     """docs_ann with flags and scores, written out in SQL."""
     steps = d.count_matches("t", [X.NUMBERED_STEP], True)
     alg = "0.3::DOUBLE + " + d.case_sum([(d.match("low", X.ALGORITHM_PATTERNS[0]), "0.2"), (f"{steps} > 3", f"least(0.3::DOUBLE, {steps} * 0.05::DOUBLE)"), ("contains(low, 'input:') AND contains(low, 'output:')", "0.2")])
     eq = f"0.2::DOUBLE + least(0.5::DOUBLE, {d.count_matches('t', X.EQUATION_PATTERNS[:4])} * 0.05::DOUBLE) + " + d.case_sum([(d.match("low", rf"where\s+{X.W}+\s*="), "0.3")])
     ex = f"0.2::DOUBLE + least(0.5::DOUBLE, {d.count_true([d.match('low', p) for p in X.EXAMPLE_PATTERNS])} * 0.1::DOUBLE) + " + d.case_sum([(d.match("t", X.D), "0.3")])
-    code = "0.5::DOUBLE + " + d.case_sum([("contains(t, 'import') AND (contains(t, 'if __name__') OR contains(t, 'def main'))", "0.3")])
+    blocks = "least(0.3::DOUBLE, executable * 0.1::DOUBLE) + " + d.case_sum([("code_lines > 10", "0.2")]) + " + " if structured else ""
+    code = "0.5::DOUBLE + " + blocks + d.case_sum([("contains(t, 'import') AND (contains(t, 'if __name__') OR contains(t, 'def main'))", "0.3")])
     proc = f"0.3::DOUBLE + least(0.4::DOUBLE, {d.count_true([d.match('low', p) for p in X.PROCEDURE_PATTERNS])} * 0.1::DOUBLE) + " + d.case_sum([(f"{d.count_words('low', X.SEQUENCE_WORDS)} >= 3", "0.3")])
-    struct = d.case_sum([(d.match("t", X.LIST_ITEM, True), "0.2"), ("len(string_split(t, chr(10) || chr(10))) > 3", "0.3")])
+    outline = "least(0.3::DOUBLE, headers * 0.05::DOUBLE) + " + d.case_sum([("headers > 0", "0.2")]) + " + " if structured else ""
+    struct = outline + d.case_sum([(d.match("t", X.LIST_ITEM, True), "0.2"), ("len(string_split(t, chr(10) || chr(10))) > 3", "0.3")])
     comp = f"(CASE WHEN n > 5000 THEN 0.3 WHEN n > 2000 THEN 0.2 WHEN n > 500 THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 THEN least(0.3::DOUBLE, u / n) ELSE 0 END) + least(0.4::DOUBLE, {d.count_words('low', X.TECH_TERMS)} * 0.05::DOUBLE)"
-    return f"""low AS (SELECT doc_id, text AS t, lower(text) AS low, {d.words('text')} AS ws FROM docs_ann),
+    shape = f""", len(regexp_extract_all(text, {d.q(X.FENCE)}, 1)) + len(regexp_extract_all(text, {d.q(X.INDENTED)}, 1)) AS blocks,
+ len(list_filter(regexp_extract_all(text, {d.q(X.FENCE)}, 1), lambda g: g IN ('python','javascript','bash','sh'))) AS executable,
+ coalesce(list_sum(list_transform(list_concat(regexp_extract_all(text, {d.q(X.FENCE)}, 2), regexp_extract_all(text, {d.q(X.INDENTED)}, 1)), lambda x: len({d.lines('x', X.LINE_BREAK)}))), 0) AS code_lines,
+ len(list_filter({_L}, lambda x: {d.match('x', X.HEADER)})) AS headers""" if structured else ""
+    has_blocks = " OR blocks > 0" if structured else ""
+    return f"""low AS (SELECT doc_id, text AS t, lower(text) AS low, {d.words('text')} AS ws{shape} FROM docs_ann),
 flagged AS (SELECT *, len(ws) AS n, len(list_distinct(ws)) AS u,
  {d.any_match('low', X.ALGORITHM_PATTERNS, True)} OR {d.any_word('low', X.ALGORITHM_WORDS)} AS has_algorithms,
  {d.any_match('t', X.EQUATION_PATTERNS)} OR {d.any_word('low', X.EQUATION_WORDS)} AS has_equations,
  {d.any_match('low', X.EXAMPLE_PATTERNS)} OR contains(low, 'example') AS has_examples,
- {d.any_match('t', X.CODE_PATTERNS, True)} AS has_code,
+ {d.any_match('t', X.CODE_PATTERNS, True)}{has_blocks} AS has_code,
  {d.any_match('low', X.PROCEDURE_PATTERNS)} OR {d.match('t', X.NUMBERED_STEP, True)} AS has_procedures FROM low),
 parts AS (SELECT doc_id, t, low, has_algorithms, has_equations, has_examples, has_code, has_procedures,
  CASE WHEN has_algorithms THEN least({alg}, 1) ELSE {_T} END AS algorithm_score,
@@ -126,7 +136,6 @@ def fallback_b(spark, sf_dir):
     )
 
 
-_L = d.lines("text", X.LINE_BREAK)
 
 
 def with_lines(df):
@@ -383,3 +392,17 @@ def md_frontmatter(spark, sf_dir):
     text = F.concat(F.when(i % 5 != 0, head).otherwise(""), F.col("text"))
     f = S.table(spark, sf_dir, "documents").select("doc_id", X.frontmatter(text).alias("f"))
     return f.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["lang"].alias("language"), F.col("f")["draft"].alias("draft"), F.size("f").alias("n_keys"))
+
+
+@R.query(
+    "scores_with_structure",
+    with_ctes(["docs_ann"], ",\n" + _scored_cte(True) + """
+ SELECT doc_id, round(code_score, 6) AS code_score, round(structure_score, 6) AS structure_score, round(implementation_fidelity, 6) AS implementation_fidelity, round(actionability, 6) AS actionability FROM scored"""),
+)
+def scores_with_structure(spark, sf_dir):
+    """Scores with what a loader knows of a text: its code blocks and its headers, each of which opens a section."""
+    t = F.col("text")
+    docs = with_lines(S.docs_ann(spark, sf_dir)).select("doc_id", "text", X.code_blocks(t).alias("blocks"), X.markdown_structure(t, F.col("lines"))["headers"].alias("headers"))
+    docs = docs.withColumn("outline", F.struct("headers", F.col("headers").alias("sections")))
+    s = X.with_scores(docs, "text", "blocks", "outline")
+    return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("code_score", "structure_score", "implementation_fidelity", "actionability")])

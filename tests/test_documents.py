@@ -107,6 +107,10 @@ def test_jobs_resume(spark, tree, tmp_path):
     assert nodes.read().count() == 4
     jobs.process(spark, tree + "/pkg", out)
     assert nodes.read().count() == 4
+    results = jobs.ST.Table(spark, out, "results").read()
+    assert results.where("success").count() == 4 and results.where("path LIKE '%mod.py'").first().implementation_fidelity > 0
+    chunks = jobs.ST.Table(spark, out, "chunks").read()
+    assert chunks.select("doc_id").distinct().count() == 4 and chunks.where("size(embedding) = 64").count() == chunks.count()
     tables = jobs.build(spark, tree + "/pkg", out, {"graph": {"similarity": 0.1}})
     assert tables["contains"].count() > 3
 
