@@ -67,25 +67,32 @@ def author_numbers(authors: DataFrame, author: str = "author_id") -> DataFrame:
     return j.select(author, (F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("num"))
 
 
-def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
+HOT_PAPER = 4096
+
+
+def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id", hot: int = HOT_PAPER) -> DataFrame:
     """Number of distinct co-authors per author, without forming the pairs of a paper.
 
-    An author's largest paper counts as a whole: its size is known. Only what the other papers add is
-    looked at, as 64-author words that are OR-ed per author and cleared of the largest paper's members.
-    A paper holding a third of all rows is then nobody's pair list, only a size and a set of words.
+    Author sets are 64-author words. A paper of more than `hot` authors is never joined to each of them:
+    its authors are grouped by the set of such papers they share, the union of a set is taken once, and
+    every author of the group takes over its size. Smaller papers are OR-ed per author and cleared of
+    what that union already holds.
     """
     d = cut_lineage(authors.select(paper, author).distinct())
     size = d.groupBy(paper).agg(F.count("*").alias("n"))
     a = d.join(size, paper).join(author_numbers(d, author), author)
     a = cut_lineage(a.select(paper, author, "n", F.floor(F.col("num") / 64).alias("idx"), F.expr("shiftleft(1L, int(num % 64))").alias("bit")))
     words = a.groupBy(paper, "idx").agg(F.bit_or("bit").alias("word"))
-    best = a.groupBy(author).agg(F.max(F.struct("n", F.col(paper).alias("p"))).alias("b")).select(author, F.col("b.p").alias("best"), F.col("b.n").alias("n"))
-    rest = a.select(paper, author).join(best.select(author, "best"), author).where(F.col(paper) != F.col("best"))
-    seen = rest.join(words, paper).groupBy(author, "best", "idx").agg(F.bit_or("word").alias("word"))
-    top = words.select(F.col(paper).alias("best"), "idx", F.col("word").alias("own"))
-    extra = seen.join(top, ["best", "idx"], "left").select(author, F.bit_count(F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0))))).cast("long").alias("x"))
-    extra = extra.groupBy(author).agg(F.sum("x").alias("x"))
-    return best.join(extra, author, "left").select(author, (F.col("n") - 1 + F.coalesce("x", F.lit(0))).alias("n_coauthors"))
+    # the large papers of an author: at most as many as there are large papers
+    large = a.where(F.col("n") > hot).groupBy(author).agg(F.sort_array(F.collect_list(paper)).alias("set"))
+    sets = large.select("set").distinct()
+    union = cut_lineage(sets.select("set", F.explode("set").alias(paper)).join(words, paper).groupBy("set", "idx").agg(F.bit_or("word").alias("own")))
+    whole = union.groupBy("set").agg(F.sum(F.bit_count("own")).alias("whole"))
+    seen = a.where(F.col("n") <= hot).select(paper, author).join(words, paper).groupBy(author, "idx").agg(F.bit_or("word").alias("word"))
+    fresh = seen.join(large, author, "left").join(union, ["set", "idx"], "left")
+    extra = fresh.groupBy(author).agg(F.sum(F.bit_count(F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0))))).cast("long")).alias("x"))
+    every = d.select(author).distinct().join(large, author, "left").join(whole, "set", "left").join(extra, author, "left")
+    return every.select(author, (F.coalesce("whole", F.lit(0)) + F.coalesce("x", F.lit(0)) - 1).cast("long").alias("n_coauthors"))
 
 
 def coauthors_of(authors: DataFrame, who: list, author: str = "author_id", paper: str = "paper_id") -> DataFrame:
