@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.tables import collected
+from stemma.llm.tables import collected, small_batches
 from stemma.llm.wordhash import windows, word_hashes
 
 SEED, FROM = 4, 0.5
@@ -153,6 +153,8 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def matches_of(text: Column, blocks: list[Items], spark) -> Column:
     """Array of the items that a text leaks, over all blocks."""
 
+    small_batches(spark)
+
     def column(block: Items) -> Column:
         sent = spark.sparkContext.broadcast(block)
 

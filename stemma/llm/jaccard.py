@@ -21,14 +21,15 @@ the most central of them, the one whose shingles are the most frequent. After th
 looks only at pairs in different components, so a group of n near copies costs about n pairs instead of
 n * n / 2. Skipped pairs are inside one component already and could not change the result.
 
-Prefixes, pairs and sets are shuffled by Spark with nothing collected; sets are rebuilt from the text
-only for documents in a candidate pair. Ids of those are sent to the tasks below a counted bound and
-joined by shuffle beyond it.
+Prefixes, pairs and sets are shuffled by Spark. What reaches the driver has a fixed size: the counts of
+`LISTED` shingles, and a bitmap of those that occur in two components, which thins the prefixes before
+they are joined. Sets are rebuilt from the text only for documents in a candidate pair, a quarter of each
+first. Tables of ids are sent to the tasks below `SMALL_IDS` counted rows and joined by shuffle beyond.
 
 Defined results: a null or empty text has 0 shingles and links with nothing, not even with its like; a
 text with fewer than `WIDTH` words has one shingle, the whole sequence; repeated rows of one id are one
-node and are returned once each; if rows with one id differ in text, each goes with its own text; an
-empty table gives no row; other columns are ignored.
+node and are returned once each (ids are expected to be unique: if rows with one id differ in text, links
+of either text may join them); an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.components import connected
+from stemma.llm.tables import collected, small_batches
 from stemma.llm.wordhash import _mix, windows, word_hashes
 from stemma.session import cut_lineage
 
@@ -48,14 +50,18 @@ WIDTH, PERCENT = 5, 80
 HEADS, SHARED_HEADS = 8, 3
 LONGEST = 4
 LISTED, LEAST_LISTED = 1 << 18, 16
-COUNTED_TOGETHER = 2_000_000
-SMALL_IDS, SMALL_NODES = 1_000_000, 500_000
+COUNTED_TOGETHER, TOGETHER = 1_000_000, 256
+SMALL_IDS = 300_000
+MARKS = 26  # bits of the hash that address the bitmap of shared shingles, 8 MB
 _VERIFY = 20.0
 
 
-def _sets(texts, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingles of each text."""
-    return [np.unique(windows(w, width)) for w in word_hashes(list(texts))]
+def _sets(rows: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Id and sorted distinct shingles of each row, built for a few rows at a time."""
+    for at in range(0, len(rows), TOGETHER):
+        part = rows.iloc[at : at + TOGETHER]
+        for i, words in zip(part["id"], word_hashes(list(part["t"]))):
+            yield i, np.unique(windows(words, width))
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -70,7 +76,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
-            for s in _sets(b["t"], width):
+            for _, s in _sets(b, width):
                 held.append(s)
                 size += len(s)
                 if size >= COUNTED_TOGETHER:
@@ -83,7 +89,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         token, n = np.unique(np.concatenate(held), return_counts=True)
         return pd.DataFrame({"token": token[n > 1].view(np.int64), "n": n[n > 1]})
 
-    counts = cut_lineage(docs.select("t").mapInPandas(shared, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_LISTED))
+    counts = cut_lineage(docs.mapInPandas(shared, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_LISTED))
     levels = sorted(((r["level"], r["c"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("c")).collect()), reverse=True)
     total, least = 0, None
     for level, c in levels:
@@ -93,7 +99,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         least = 2**level
     if least is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    got = counts.where(F.col("n") >= least).toPandas()
+    got = collected(counts.where(F.col("n") >= least))
     token, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(token)
     return token[order], n[order]
@@ -145,16 +151,11 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([_describe(i, s, ranks.value) for i, s in zip(b["id"], _sets(b["t"], width))], columns=names)
+            yield pd.DataFrame([_describe(i, s, ranks.value) for i, s in _sets(b, width)], columns=names)
 
     return cut_lineage(docs.mapInPandas(rows, _ROW))
 
 
-def _attach(rows: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
-    """Rows of the nodes, a table of numbers that is sent to the tasks if its counted rows allow it."""
-    return rows.join(F.broadcast(nodes) if nodes.limit(SMALL_NODES + 1).count() <= SMALL_NODES else nodes, ["id", "f1", "f2"], how)
-
-
 def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in a table of numbers, which is sent to the tasks if its counted rows allow it."""
     return rows.join(F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids, on, "left_semi")
@@ -172,8 +173,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, bits: int) -> DataFr
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = _sets(b["t"], width)
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "s": [s[s <= below].tobytes() for s in sets]})
+            yield pd.DataFrame([(i, len(s), s[s <= below].tobytes()) for i, s in _sets(b, width)], columns=["id", "n", "s"])
 
     sets = cut_lineage(_only(docs, ids, "id").mapInPandas(build, "id long, n int, s binary"))
 
@@ -212,12 +212,37 @@ def _stars(reps: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _marked(tokens: DataFrame) -> np.ndarray:
+    """Bitmap of the low hash bits of some shingles; its size does not depend on their number."""
+    low = F.col("token").bitwiseAND(F.lit((1 << MARKS) - 1))
+    words = tokens.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(token & 63 AS INT))")).alias("bits"))
+    got = collected(words)
+    out = np.zeros(1 << (MARKS - 6), np.uint64)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs in different components that share enough of their prefixes."""
-    placed = cut_lineage(nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "f1", "f2", F.coalesce("root", "id").alias("root")))
-    posts = _attach(rows, placed, "inner").select("id", "n", "l", "root", F.posexplode("prefix").alias("pos", "token"))
-    mixed = posts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    posts = cut_lineage(_only(posts, cut_lineage(mixed), "token"))
+    placed = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "l", F.coalesce("root", "id").alias("root"), "prefix")
+    every = placed.select("root", F.explode("prefix").alias("token"))
+    mixed = cut_lineage(every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"))
+    marks = rows.sparkSession.sparkContext.broadcast(_marked(mixed))
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Only the places of prefixes whose shingle may occur in two components."""
+        for b in batches:
+            at, token = [], []
+            for p in b["prefix"]:
+                low = p.view(np.uint64) & np.uint64((1 << MARKS) - 1)
+                hit = np.flatnonzero(marks.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                at.append(hit.astype(np.int32))
+                token.append(p[hit])
+            yield b.assign(at=at, token=token).drop(columns="prefix")
+
+    some = placed.mapInPandas(shared, "id long, n int, l int, root long, at array<int>, token array<long>")
+    posts = some.select("id", "n", "l", "root", F.explode(F.arrays_zip("at", "token")).alias("p")).select("id", "n", "l", "root", F.col("p.at").alias("pos"), F.col("p.token").alias("token"))
+    posts = cut_lineage(posts.join(mixed, "token", "left_semi"))
     x, y = posts.alias("x"), posts.alias("y")
     need, m = _overlap("x.n", "y.n"), F.least("x.l", "y.l")
     return (
@@ -234,14 +259,14 @@ def _candidates(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFram
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links reach."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     rows = describe(docs, width)
-    folded = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    folded = cut_lineage(folded)
-    nodes = folded.select(F.col("rep").alias("id"), "f1", "f2")
-    stars = verify(docs, _stars(_attach(rows, nodes, "left_semi")), width)
+    folded = cut_lineage(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")))
+    reps = _only(rows.where("n > 0"), cut_lineage(folded.select(F.col("rep").alias("id")).distinct()), "id")
+    stars = verify(docs, _stars(reps), width)
     roots = connected(stars)
-    links = verify(docs, _candidates(rows, nodes, roots), width)
+    links = verify(docs, _candidates(reps, roots), width)
     roots = connected(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     named = rows.select("id", "n", "f1", "f2").join(folded, ["f1", "f2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 100_000
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the bytes that travel to Python at once, so that tasks over long texts need little memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now or "").rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -16,7 +26,9 @@ def attach(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
 
 def collected(rows: DataFrame) -> pd.DataFrame:
     """A bounded table as pandas, through Arrow whatever the session's setting is."""
-    return rows.toArrow().to_pandas()
+    out = rows.toArrow().to_pandas(self_destruct=True, split_blocks=True)
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.tables import collected, sampled
+from stemma.llm.tables import collected, sampled, small_batches
 
 POSITIVES, UNLABELLED = 3000, 9000
 FEATURES, LEAST_DOCS, LEAST_G2 = 4096, 3, 8.0
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
     The class prior is the share of toxic rows among all given labels.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
     n = known.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("toxic"), F.count("*").alias("all")).first()
     prior = min(max((n["toxic"] + 1) / (n["all"] + 2), 1e-3), 0.5)
@@ -126,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
 def judge(docs: DataFrame, model: Model, *, text: str = "text", toxic_from: float = 0.3) -> DataFrame:
     """Adds score (likelihood of toxic) and predicted (1 from `toxic_from` on)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -64,7 +64,7 @@ def test_components_match_brute_force(spark, monkeypatch, small, longest):
     monkeypatch.setattr(jaccard, "LEAST_LISTED", 4)
     if not small:
         monkeypatch.setattr(jaccard, "SMALL_IDS", 0)
-        monkeypatch.setattr(jaccard, "SMALL_NODES", 0)
+        monkeypatch.setattr(jaccard, "MARKS", 8)
     docs = corpus(longest)
     df = spark.createDataFrame([(i, t, 1, "r") for i, t in docs], "doc_id long, text string, n int, root string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
