@@ -333,21 +333,23 @@ def composite_counts(files: DataFrame, flat: DataFrame | None = None) -> DataFra
 
 
 def edges_of(files: DataFrame, paths: list[str]) -> DataFrame:
-    """All CONVEYANCE and composite-ready pairs of the given files: one row per given file and other file."""
-    few = files.where(F.col("path").isin(paths)).select(F.col("path").alias("src"), F.col("parent").alias("src_parent"), F.col("ext").alias("src_ext"), F.struct(*_ENDS).alias("a"))
-    given = [r["src"] for r in few.select("src").distinct().collect()]  # bounded by the paths asked for
-    out = None
-    for path in given:
-        row = few.where(F.col("src") == path).first()
-        me = F.struct(*[F.lit(row["a"][k]).alias(k) for k in _ENDS])
-        part = files.where(F.col("path") != path).select(
-            F.lit(path).alias("src"), F.col("path").alias("dst"), me.alias("a"), F.struct(*_ENDS).alias("b"),
-            (F.col("parent") == row["src_parent"]).alias("sibling"), (F.col("ext") == row["src_ext"]).alias("same_ext"),
-        ).select("src", "dst", "sibling", "same_ext", *[v.alias(k) for k, v in pair_flags("a", "b").items()])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """All CONVEYANCE and composite-ready pairs of the given files: one row per given file and other file.
+
+    The given files travel with the plan, so all of them are compared in one scan.
+    """
+    few = files.where(F.col("path").isin(paths)).select("path", "parent", "ext", F.struct(*_ENDS).alias("a")).distinct().collect()  # bounded by the paths asked for
+    if not few:
         raise ValueError("no such files")
-    return out.withColumn("conveyance", conveyance_weight()).where("conveyance > 0.1 OR sibling")
+    kinds = {c: files.schema[c].dataType for c in _ENDS}
+    mine = [
+        F.struct(F.lit(r["path"]).alias("src"), F.lit(r["parent"]).alias("src_parent"), F.lit(r["ext"]).alias("src_ext"), F.struct(*[F.lit(r["a"][k]).cast(kinds[k]).alias(k) for k in _ENDS]).alias("a"))
+        for r in few
+    ]
+    every = files.select(F.col("path").alias("dst"), "parent", "ext", F.struct(*_ENDS).alias("b"), F.inline(F.array(*mine))).where("src <> dst")
+    flags = every.select(
+        "src", "dst", (F.col("parent") == F.col("src_parent")).alias("sibling"), (F.col("ext") == F.col("src_ext")).alias("same_ext"), *[v.alias(k) for k, v in pair_flags("a", "b").items()]
+    )
+    return flags.withColumn("conveyance", conveyance_weight()).where("conveyance > 0.1 OR sibling")
 
 
 def dimension_pattern(files: DataFrame) -> DataFrame:

@@ -29,6 +29,14 @@ def author_profile(spark, sf_dir):
     return p.select("author_id", "n_papers", "n_coauthors", F.round("conveyance_score", 6).alias("conveyance_score"))
 
 
+@R.query("author_papers", sql("SELECT author_id, paper_id, round(velocity, 6) AS velocity FROM authors JOIN vel USING (paper_id)"))
+def author_papers(spark, sf_dir):
+    """The paper list behind each author profile, as rows."""
+    v = O.citation_velocity(F.col("citation_count"), F.col("year"))
+    papers = S.papers(spark, sf_dir).select("paper_id", F.round(v, 6).alias("velocity"))
+    return S.authors(spark, sf_dir).join(papers, "paper_id").select("author_id", "paper_id", "velocity")
+
+
 @R.query("coauthors", sql("SELECT author_id, n_coauthors FROM co"))
 def coauthors(spark, sf_dir):
     """Size of every author's co-author set, from bitmap unions."""

@@ -106,3 +106,12 @@ def test_coauthors_with_several_large_papers(spark, hot):
         want.setdefault(a, set()).update(by[p])
     got = {r.author_id: r.n_coauthors for r in O.coauthor_counts(spark.createDataFrame(list(rows), "paper_id long, author_id long"), hot=hot).collect()}
     assert got == {a: len(s) - 1 for a, s in want.items()}
+
+
+def test_betweenness_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame(sorted({(int(a), int(b)) for a, b in rng.integers(0, 25, (60, 2)) if a != b}), "src long, dst long")
+    nodes = spark.range(25)
+    whole = {r.id: r.betweenness for r in G.betweenness(nodes, edges).collect()}
+    parts = {r.id: r.betweenness for r in G.betweenness(nodes, edges, block=9).collect()}
+    assert max(whole.values()) > 0 and whole == pytest.approx(parts)
