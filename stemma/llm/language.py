@@ -16,6 +16,7 @@ results; an empty table gives no row; other columns are passed on, those named l
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.svm import fit_svm
-from stemma.llm.tables import collected, sampled
+from stemma.llm.tables import collected, sampled, small_batches
 
-PER_LANGUAGE = 500
+PER_LANGUAGE = 300
 LANGUAGES = 256
 BUCKETS = 1 << 16
 ORDERS = 4
@@ -122,6 +123,7 @@ class Model:
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", seed: int = 0) -> Model:
     """Learns from all rows given that have a text and a language."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     sizes = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     chosen = F.lit(False)
@@ -136,8 +138,9 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     picked = known.where(chosen).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     most = 2 * PER_LANGUAGE * max(1, len(sizes))  # holds even if one id is repeated very often
     got = collected(picked.mapInPandas(profiles, "l string, at array<int>, n array<int>").limit(most))
-    order = sorted(range(len(got)), key=lambda i: (got["l"][i], len(got["at"][i]), bytes(got["at"][i]), bytes(got["n"][i])))
-    return Model([(got["l"][i], got["at"][i], got["n"][i]) for i in order])
+    rows = list(zip(got["l"], got["at"], got["n"]))
+    rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))  # the order in which tasks end must not matter
+    return Model(rows)
 
 
 def predictor(model: Model, spark):
@@ -148,11 +151,12 @@ def predictor(model: Model, spark):
     def predict(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    return predict
+    return predict.asNondeterministic()  # else a filter on the result would run it a second time
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_p")]
     predict = predictor(model, docs.sparkSession)
     return docs.select(*keep, predict(F.col(text)).alias("_p")).select(*keep, "_p.lang_pred", "_p.score")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.svm import fit_logistic
-from stemma.llm.tables import attach, collected, sampled
+from stemma.llm.tables import attach, collected, sampled, small_batches
 from stemma.session import cut_lineage
 
 PER_CLASS = 1500
@@ -105,6 +105,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", seed: int = 0) -> Model:
     """Learns `label` (1 good, 0 bad) from the documents it is given for."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
@@ -142,12 +143,14 @@ def _strength(sums: DataFrame, mean: float) -> float:
 
 def judge(docs: DataFrame, model: Model, host: Column, path: Column, *, text: str = "text", keep_from: float = 0.5) -> DataFrame:
     """Adds p (from the text alone), host_share, path_share, score and keep (score >= keep_from)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def evidence(t: pd.Series) -> pd.Series:
         return pd.Series(sent.value.predict(t))
 
+    evidence = evidence.asNondeterministic()  # else a filter on the result would run it a second time
     results = ["p", "host_share", "path_share", "score", "keep"]
     columns = [c for c in docs.columns if c not in results]
     site = [F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path")]

@@ -87,8 +87,9 @@ def test_empty_documents(spark, tables, tmp_path):
 
 def test_null_keys(spark, tables):
     folder, _, _ = tables
-    rows = [(None, "the of and to in is", None, None, None, None, None), (1, "the of and to in is the", "en", None, 5, 1.0, 2)]
+    text = say(np.random.default_rng(77), "en", 40)
+    rows = [(None, text, None, None, None, None, None), (1, "the of and to in is the", "en", None, 5, 1.0, 2)]
     docs = spark.createDataFrame(rows, COLUMNS).unionByName(spark.read.parquet(f"{folder}/documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, folder)
-    assert docs.where(F.col("doc_id").isNotNull()).count() > 100
+    assert docs.where(F.col("doc_id").isNotNull()).count() > 100 and docs.where(F.col("doc_id").isNull()).count() == 1
