@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.tables import collected, sampled
+from stemma.llm.tables import collected, sampled, small_batches
 
 SAMPLE, DRESSED, EPOCHS = 200, 2, 8
 PATH_DIMS, WORD_DIMS, MEASURES = 96, 24, 8
@@ -63,7 +63,7 @@ _DRESS_BOILER = [
     "section.comments", "div#comments", "div.comment", "ol.commentlist", "div.related", "div.share", "div.social", "div.breadcrumbs", "div.pagination", "div.legal",
 ]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>])*?)(?:>|\Z)|[^<]+|<", re.S)
 _ROLE = re.compile(r"(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -368,6 +368,7 @@ def fit(pages: DataFrame, *, key: str = "page_id", html: str = "html", seed: int
 
 def extract(pages: DataFrame, model: Labeller, *, html: str = "html", main_from: float = 0.5) -> DataFrame:
     """Adds text, the main text, and n_chars, its length in code points; drops the html."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("text string, n_chars long")
