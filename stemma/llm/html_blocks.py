@@ -3,14 +3,18 @@
 A page is cut into leaf blocks: runs of text without a block-level tag inside. Scripts, styles, the
 head, form controls and comments of the markup are no text. Each block becomes a vector of its hashed
 tag path (tags with their class and id words), its hashed words and a few measures (length, share of
-linked text, place in the page). A bidirectional LSTM in numpy reads the vectors of a whole page and
-gives every block the probability of being main text, so a block is judged within its document.
+linked text, place in the page). Every word of the block and every element of the path counts: sums of
+words are scaled to a common length, so that a repeated word does not outgrow the rest; elements weigh
+less the more different ones lie below them, and a repeated element (nested lists) weighs a little more.
+A bidirectional LSTM in numpy reads the vectors of a whole page and gives every block the probability of
+being main text, so a block is judged within its document.
 
 The network is fitted on a bounded sample of about `SAMPLE` pages. Its labels are weak: the innermost
 ancestor that names a role (`MAIN` or `BOILER` words, as tag, class or id) decides, blocks without such
 an ancestor are not used. Each page also appears `DRESSED` times in other clothes: the same texts under
-other tags and classes, with notices, forms, side bars and reader comments between them, and with part
-of the paths and measures blanked, so that it also learns from words, lengths and neighbours.
+other tags and classes, some of them deeply nested, with notices, forms, side bars and reader comments
+between them, and with part of the paths and measures blanked, so that it also learns from words,
+lengths and neighbours.
 
 Pages are parsed and labelled where they are read; whole pages go in, nothing is shuffled.
 
@@ -63,6 +67,8 @@ _DRESS_BOILER = [
     "section.comments", "div#comments", "div.comment", "ol.commentlist", "div.related", "div.share", "div.social", "div.breadcrumbs", "div.pagination", "div.legal",
 ]
 
+_DRESS_WRAPS = ["div", "div", "div.row", "div.col", "div.inner", "div.box", "div.block", "div.wrap", "section", "div.grid", "div.container", "div.layer", "div.cell", "div.panel"]
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^>])*?)(?:>|\Z)|[^<]+|<", re.S)
 _ROLE = re.compile(r"(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -163,19 +169,33 @@ def weak_label(path: tuple[str, ...]) -> int:
     return -1
 
 
-@lru_cache(maxsize=50_000)
 def _hashed(word: str, dims: int) -> tuple[tuple[int, float], ...]:
     h = zlib.crc32(word.encode("utf-8", "replace"))
     return ((h % dims, 1.0 if h & 0x10000 else -1.0), ((h >> 18) % dims, 1.0 if h & 0x20000 else -1.0))
 
 
+@lru_cache(maxsize=50_000)
+def _coded(word: str) -> int:
+    """Both places of a word and their signs as one number, each place as one of 2 * WORD_DIMS."""
+    a, b = (i + WORD_DIMS * (sign < 0) for i, sign in _hashed(word, WORD_DIMS))
+    return a * 2 * WORD_DIMS + b
+
+
 @lru_cache(maxsize=20_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, np.float32)
-    for depth, element in enumerate(reversed(path[-8:])):
+    """All words of all elements; the innermost place of a word decides its weight, repeats add to it."""
+    rank: dict[str, int] = {}
+    times: dict[str, int] = {}
+    for depth, element in enumerate(dict.fromkeys(reversed(path))):
         for word in set(element.split(".")):
-            for i, sign in _hashed(word, PATH_DIMS):
-                v[i] += sign / (1 + 0.15 * depth)
+            rank.setdefault(word, depth)
+    for element in path:
+        for word in set(element.split(".")):
+            times[word] = times.get(word, 0) + 1
+    v = np.zeros(PATH_DIMS, np.float32)
+    for word, depth in rank.items():
+        for i, sign in _hashed(word, PATH_DIMS):
+            v[i] += sign * (1 + 0.25 * np.log(times[word])) / np.sqrt(1 + 0.3 * depth)
     return v
 
 
@@ -185,10 +205,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         out[i, :PATH_DIMS] = _path_vector(b.path)
         words = b.text.split()
-        for word in words[:12]:
-            for k, sign in _hashed(word.lower(), WORD_DIMS):
-                out[i, PATH_DIMS + k] += sign
-        out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= 4
+        codes = np.fromiter(map(_coded, b.text.lower().split()), np.int64)
+        n = np.bincount(codes // (2 * WORD_DIMS), minlength=2 * WORD_DIMS) + np.bincount(codes % (2 * WORD_DIMS), minlength=2 * WORD_DIMS)
+        v = n[:WORD_DIMS] - n[WORD_DIMS:]
+        out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = v / max(4.0, np.sqrt(v @ v))
         last = b.path[-1].split(".")[0] if b.path else ""
         out[i, -MEASURES:] = (
             np.log1p(len(words)) / 3, b.linked, b.text[-1] in ".!?…", sum(map(b.text.count, ".,;")) / (1 + len(words)),
@@ -284,12 +304,15 @@ def _dress(blocks: list[Block], labels: list[int], pool: list[str], rng) -> tupl
     """The same texts under other tags, with boilerplate of other pages put around and between them."""
     pick = lambda options: options[int(rng.integers(len(options)))]
     outer = ("html", "body") + (("div",) if rng.random() < 0.5 else ()) + (("div.wrap",) if rng.random() < 0.3 else ())
-    inside = outer + (pick(_DRESS_MAIN),) + (("section",) if rng.random() < 0.2 else ())
+    wraps = lambda: tuple(pick(_DRESS_WRAPS) for _ in range(int(rng.integers(4, 16)))) if rng.random() < 0.15 else ()
+    inside = outer + (pick(_DRESS_MAIN),) + (("section",) if rng.random() < 0.2 else ()) + wraps()
     out: list[tuple[Block, int]] = []
 
     def boiler(texts: list[str], nested: bool):
         role = pick(_DRESS_BOILER)
         leaf = pick([(), ("p",), ("p",), ("ul", "li"), ("div",), ("div", "p"), ("h3",)])
+        if rng.random() < 0.15:
+            leaf = ("ol", "li") * int(rng.integers(2, 10)) + leaf if rng.random() < 0.5 else wraps() + leaf
         linked = float(rng.random() < (0.8 if "li" in leaf else 0.15))
         out.extend((Block((inside if nested else outer) + (role,) + leaf, t, linked), 0) for t in texts)
 

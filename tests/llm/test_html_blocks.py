@@ -89,3 +89,51 @@ def test_unseen_layout_is_labelled_from_its_context(spark):
         main = set(want.split("\n"))
         share += [(q >= 0.5) == (b.text in main) for b, q in zip(blocks, p)]
     assert np.mean(share) > 0.95
+
+
+def test_words_after_the_twelfth_tell():
+    """Blocks of equal length that begin with the same twelve words and have the same path."""
+    rng = np.random.default_rng(9)
+    start = say(rng, "en", 12)
+    notice = "cookies partners settings privacy accept consent manage choices".split()
+
+    def blocks(n):
+        kinds = [int(rng.random() < 0.6) for _ in range(n)]
+        return kinds, [f"{start} {say(rng, 'en', 12) if k else ' '.join(rng.choice(notice, 12))}." for k in kinds]
+
+    pages = []
+    for _ in range(120):
+        kinds, texts = blocks(8)
+        pages.append("<body>" + "".join(f"<article><p>{t}</p></article>" if k else f"<div class=notice><p>{t}</p></div>" for k, t in zip(kinds, texts)) + "</body>")
+    model = hb.fit_labeller(pages)
+    right = []
+    for _ in range(40):
+        kinds, texts = blocks(8)
+        p = model.label([hb.parse("<body>" + "".join(f"<div><p>{t}</p></div>" for t in texts) + "</body>")])[0]
+        right += [(q >= 0.5) == k for q, k in zip(p, kinds)]
+    assert np.mean(right) > 0.95, np.mean(right)
+    a, b = hb.vectors([hb.Block(("p",), f"{start} one", 0.0), hb.Block(("p",), f"{start} two", 0.0)])[:, hb.PATH_DIMS : hb.PATH_DIMS + hb.WORD_DIMS]
+    assert (a != b).any()
+
+
+def test_roles_far_above_a_block_tell():
+    """Comments in nested lists and articles inside many wrappers, with like texts."""
+    rng = np.random.default_rng(10)
+    deep = lambda n, inner: "<ol><li>" * n + inner + "</li></ol>" * n
+    wrapped = lambda n, inner: "".join(f"<div class={w}>" for w in (["row", "col", "box", "grid", "inner"] * n)[:n]) + inner + "</div>" * n
+
+    def made():
+        say_p = lambda: f"<p>{say(rng, 'en', 20)}.</p>"
+        parts = [(1, f"<article>{wrapped(int(rng.integers(6, 14)), say_p() + say_p())}</article>"), (0, f"<section class=comments>{deep(int(rng.integers(4, 9)), say_p())}</section>")]
+        parts += [(0, f"<div class=sidebar>{wrapped(int(rng.integers(6, 14)), say_p())}</div>")]
+        parts = [parts[i] for i in rng.permutation(3)]
+        return "<body>" + "".join(h for _, h in parts) + "</body>", [k for k, h in parts for _ in range(h.count("<p>"))]
+
+    model = hb.fit_labeller([made()[0] for _ in range(150)])
+    right = []
+    for _ in range(60):
+        html, kinds = made()
+        right += [(q >= 0.5) == k for q, k in zip(model.label([hb.parse(html)])[0], kinds)]
+    assert np.mean(right) > 0.95, np.mean(right)
+    tail = ("ol", "li") * 4
+    assert (hb._path_vector(("body", "section.comments", *tail)) != hb._path_vector(("body", "article", *tail))).any()
