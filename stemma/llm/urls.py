@@ -9,8 +9,9 @@ Urls whose segmented host holds a word of `BLOCK_WORDS` are the first examples t
 allow. A multinomial naive Bayes model is counted over the words of all urls of both kinds and judges
 each url that no rule decides; words seen beside the seeds count against a url as well.
 
-The lexicon and the model are fitted tables of at most `MAX_WORDS` words (the most frequent, ties by
-the word), so their size does not grow with the data; every url takes part in the counts and is judged.
+The lexicon and the model hold every word that was counted. Up to `MAX_WORDS` of them travel to the
+tasks; a larger lexicon or model stays a table and is joined, to the pieces of distinct names that could
+be words and to the words of distinct urls, with the same results.
 
 Defined results: host and path are empty if the url is null or has no `://`; such urls have no words
 and get the verdict of the prior; repeated rows are judged alike; an empty table gives no row; other
@@ -22,11 +23,14 @@ from __future__ import annotations
 import functools
 import math
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.session import cut_lineage
+
 MAX_WORDS = 50_000
 LONGEST_WORD = 24
 
@@ -66,10 +70,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 class Segmenter:
-    """Most likely words of a name under unigram counts."""
+    """Most likely words of a name under unigram counts; total is given if counts are a part of them."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(2, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(2, sum(counts.values()) if total is None else total)
         self.cost = {w: math.log(self.total / c) for w, c in counts.items()}
         self.longest = max([1, *map(len, counts)])
         self._remember()
@@ -105,16 +109,44 @@ class Segmenter:
 
     def words(self, host: str, path: str) -> list[str]:
         """Words of a host and, marked by a slash, of a path; numbers are one word."""
-        out = [w for t in _TOKEN.findall(host) for w in self.split(t)]
-        out += ["/" + w for t in _TOKEN.findall(path.lower()) for w in (("0",) if t.isdigit() else self.split(t))]
-        return out
+        return [mark + w for mark, t in _names(host, path) for w in self.split(t)]
+
+
+class Lexicon(NamedTuple):
+    """Counts of more words than travel to the tasks: a table (word, n) and its total."""
+
+    counts: DataFrame
+    total: int
+
+    def split(self, names: DataFrame) -> DataFrame:
+        """(name, parts) of distinct names; each looks up those of its pieces that are words."""
+        n, total = F.length("name"), self.total
+        ends = lambda i: F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), n - i + 1))
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(ends(i), lambda k: F.col("name").substr(i, k))))
+        long = names.where((F.length("name") >= 4) & ~F.col("name").rlike("[0-9]"))
+        found = long.select("name", F.explode(F.array_distinct(pieces)).alias("word")).join(self.counts, "word")
+        known = found.groupBy("name").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+
+        @F.pandas_udf("array<string>")
+        def parts(name: pd.Series, words: pd.Series, ns: pd.Series) -> pd.Series:
+            has = [{} if w is None else dict(zip(w, map(int, c))) for w, c in zip(words, ns)]
+            return pd.Series([list(Segmenter(h, total)._split(x)) for x, h in zip(name, has)], dtype=object)
 
+        return names.join(known, "name", "left").select("name", parts("name", "words", "ns").alias("parts"))
 
-def _top(counts: DataFrame, by: Column) -> DataFrame:
-    return counts.orderBy(by.desc(), "word").limit(MAX_WORDS)
 
+def _names(host: str, path: str) -> list[tuple[str, str]]:
+    """Names of a host and, marked by a slash, of a path; numbers in it are one word."""
+    return [("", t) for t in _TOKEN.findall(host)] + [("/", "0" if t.isdigit() else t) for t in _TOKEN.findall(path.lower())]
 
-def fit_segmenter(urls: DataFrame) -> Segmenter:
+
+def _few(counts: DataFrame) -> list | None:
+    """The rows of a table of words, unless they are more than may travel."""
+    rows = counts.limit(MAX_WORDS + 1).collect()
+    return rows if len(rows) <= MAX_WORDS else None
+
+
+def fit_segmenter(urls: DataFrame) -> Segmenter | Lexicon:
     """Counts words once per host over all (host, path)."""
     lower = F.lower(F.col("path"))
     pieces = urls.select(
@@ -138,55 +170,108 @@ def fit_segmenter(urls: DataFrame) -> Segmenter:
         .agg(F.count("*").alias("n"), F.max("apart").alias("apart"))
         .where("apart OR n >= 2")
     )
-    found = {r["word"]: r["n"] for r in _top(counts.select("word", "n"), F.col("n")).collect()}
-    floor = 1 + sum(found.values()) // max(1, len(found))
-    return Segmenter(found | {w: max(found.get(w, 0), floor) for w in SEEDS})
-
-
-def fit_bayes(urls: DataFrame, segmenter: Segmenter) -> tuple[dict[str, float], float]:
-    """Weight of each word and the bias, as log odds of block against allow, counted over all urls."""
-
-    @F.pandas_udf("array<string>")
-    def words(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([segmenter.words(h, p) for h, p in zip(host, path)])
-
-    seen = urls.groupBy("host", "path").count().withColumn("words", words("host", "path"))
+    rows = _few(counts.select("word", "n"))
+    if rows is not None:
+        found = {r["word"]: r["n"] for r in rows}
+        floor = 1 + sum(found.values()) // max(1, len(found))
+        return Segmenter(found | {w: max(found.get(w, 0), floor) for w in SEEDS})
+    counts = cut_lineage(counts.select("word", "n"))
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    seeds = counts.sparkSession.createDataFrame([(w, 1 + whole["n"] // whole["words"]) for w in SEEDS], "word string, n long")
+    counts = cut_lineage(counts.unionByName(seeds).groupBy("word").agg(F.max("n").alias("n")))
+    return Lexicon(counts, counts.agg(F.sum("n")).first()[0])
+
+
+def seen_words(urls: DataFrame, lexicon: Segmenter | Lexicon) -> DataFrame:
+    """Distinct (host, path) with their count and words."""
+    seen = urls.groupBy("host", "path").count()
+    if isinstance(lexicon, Segmenter):
+
+        @F.pandas_udf("array<string>")
+        def words(host: pd.Series, path: pd.Series) -> pd.Series:
+            return pd.Series([lexicon.words(h, p) for h, p in zip(host, path)], dtype=object)
+
+        return seen.withColumn("words", words("host", "path"))
+
+    @F.pandas_udf("array<struct<mark string, name string>>")
+    def names(host: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([[{"mark": m, "name": t} for m, t in _names(h, p)] for h, p in zip(host, path)], dtype=object)
+
+    seen = cut_lineage(seen.withColumn("names", names("host", "path")))
+    each = seen.select("host", "path", F.posexplode("names").alias("at", "x")).select("host", "path", "at", "x.mark", "x.name")
+    split = lexicon.split(each.select("name").distinct())
+    placed = each.join(split, "name").select("host", "path", F.struct("at", F.transform("parts", lambda w: F.concat("mark", w)).alias("words")).alias("w"))
+    words = placed.groupBy("host", "path").agg(F.flatten(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["words"])).alias("words"))
+    return seen.drop("names").join(words, ["host", "path"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+def fit_bayes(seen: DataFrame) -> tuple[dict[str, float] | DataFrame, float]:
+    """Weight of each word, as a table if there are many, and the bias, as log odds of block against allow, counted over all urls."""
     bad = F.arrays_overlap("words", F.array(*map(F.lit, BLOCK_WORDS)))
     seen = seen.select("words", F.when(bad, F.col("count")).otherwise(0).alias("bad"), F.when(bad, 0).otherwise(F.col("count")).alias("good"))
     n = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    bias = math.log((n["bad"] + 1) / (n["good"] + 1))
     counts = seen.select(F.explode("words").alias("word"), "bad", "good").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = _top(counts, F.col("bad") + F.col("good")).collect()
-    table = {r["word"]: (r["bad"], r["good"]) for r in rows}
-    table |= {w: (1, 0) for w in BLOCK_WORDS if w not in table}
-    total_bad, total_good = (sum(v[i] for v in table.values()) + len(table) for i in (0, 1))
-    weight = {w: math.log((b + 1) / total_bad) - math.log((g + 1) / total_good) for w, (b, g) in table.items()}
-    return weight, math.log((n["bad"] + 1) / (n["good"] + 1))
+    rows = _few(counts)
+    if rows is not None:
+        table = {r["word"]: (r["bad"], r["good"]) for r in rows}
+        table |= {w: (1, 0) for w in BLOCK_WORDS if w not in table}
+        total_bad, total_good = (sum(v[i] for v in table.values()) + len(table) for i in (0, 1))
+        return {w: math.log((b + 1) / total_bad) - math.log((g + 1) / total_good) for w, (b, g) in table.items()}, bias
+    counts = cut_lineage(counts)
+    absent = set(BLOCK_WORDS) - {r["word"] for r in counts.where(F.col("word").isin(BLOCK_WORDS)).collect()}
+    t = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).first()
+    words = t["words"] + len(absent)
+    total_bad, total_good = t["bad"] + len(absent) + words, t["good"] + words
+    return counts.select("word", (F.log((F.col("bad") + 1) / total_bad) - F.log((F.col("good") + 1) / total_good)).alias("weight")), bias
+
+
+def _score(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+
+
+def _joined_scores(seen: DataFrame, weight: DataFrame, bias: float) -> DataFrame:
+    """(host, path, score, words) of distinct urls; the weights of a url are gathered in the order of its words."""
+    each = seen.select("host", "path", F.posexplode("words").alias("at", "word")).join(weight, "word")
+    sums = each.groupBy("host", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"]).alias("weights"))
+
+    @F.pandas_udf("double")
+    def score(weights: pd.Series) -> pd.Series:
+        return pd.Series([_score(bias + (0 if w is None else sum(map(float, w)))) for w in weights], dtype=float)
+
+    return seen.join(sums, ["host", "path"], "left").select("host", "path", score("weights").alias("score"), F.array_join("words", " ").alias("words"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict, score (probability of block by the method) and words."""
     urls = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    segmenter = fit_segmenter(urls)
-    weight, bias = fit_bayes(urls, segmenter)
-
-    @F.pandas_udf("score double, words string")
-    def method(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        words = [segmenter.words(h, p) for h, p in zip(host, path)]
-        odds = [max(-700.0, min(700.0, bias + sum(weight.get(w, 0.0) for w in ws))) for ws in words]
-        return pd.DataFrame({"score": [1 / (1 + math.exp(-o)) for o in odds], "words": [" ".join(ws) for ws in words]})
+    lexicon = fit_segmenter(urls)
+    seen = seen_words(urls, lexicon)
+    seen = seen if isinstance(lexicon, Segmenter) else cut_lineage(seen)
+    weight, bias = fit_bayes(seen)
 
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score", "words")]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return (
-        pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-        .withColumn("_m", method("host", "path"))
-        .select(
-            *keep,
-            "host",
-            "path",
-            rule.alias("rule"),
-            F.coalesce(verdict, F.when(F.col("_m.score") >= 0.5, "block").otherwise("allow")).alias("verdict"),
-            "_m.score",
-            "_m.words",
-        )
+    judged = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    if isinstance(lexicon, Segmenter) and isinstance(weight, dict):
+
+        @F.pandas_udf("score double, words string")
+        def method(host: pd.Series, path: pd.Series) -> pd.DataFrame:
+            words = [lexicon.words(h, p) for h, p in zip(host, path)]
+            return pd.DataFrame({"score": [_score(bias + sum(weight.get(w, 0.0) for w in ws)) for ws in words], "words": [" ".join(ws) for ws in words]})
+
+        judged = judged.withColumn("_m", method("host", "path"))
+    else:
+        if isinstance(weight, dict):
+            weight = seen.sparkSession.createDataFrame(list(weight.items()), "word string, weight double")
+        scores = _joined_scores(seen, weight, bias)
+        judged = judged.join(scores.select("host", "path", F.struct("score", "words").alias("_m")), ["host", "path"])
+    return judged.select(
+        *keep,
+        "host",
+        "path",
+        rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("_m.score") >= 0.5, "block").otherwise("allow")).alias("verdict"),
+        "_m.score",
+        "_m.words",
     )

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 from stemma.llm import urls
 from stemma.llm.plans import URL_RULES
@@ -56,3 +57,29 @@ def test_rules_and_method(spark):
     assert (got[4].host, got[4].path) == ("a.com", "")
     assert (got[10].host, got[11].host, got[13].host, got[13].path) == ("", "", "h", "")
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
+
+
+def test_more_words_than_travel_give_the_same(spark, monkeypatch):
+    """Tables of words that are joined hold every word: same splits, scores and verdicts as dictionaries."""
+    rng = random.Random(3)
+    known = ["casino", "bets", "garden", "quiet", "river", "news", "poker", "straße", "月光", "maps", "tea"]
+    made = ["".join(rng.choice("abcdeiorstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rare = lambda: rng.choice(made + known)
+    urls_ = [f"https://{rare()}{rng.choice(['-', '', '.'])}{rng.choice(known)}.org/{rare()}/{rare()}{rng.choice(['', '-7', '2x', '/12'])}" for _ in range(600)]
+    urls_ += urls_[:50] + [None, "no scheme", "http://", "https://x.org", "https://pills.org/" + "quietgarden" * 30]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+
+    def judged():
+        return {r.page_id: r for r in urls.judge(df, URL_RULES).collect()}
+
+    want = judged()
+    for bound in (3, 320):  # both tables are larger; only that of the model is
+        monkeypatch.setattr(urls, "MAX_WORDS", bound)
+        kinds = urls.fit_segmenter(df.select(urls.host_of(df.url).alias("host"), urls.path_of(df.url).alias("path")))
+        assert isinstance(kinds, urls.Segmenter) == (bound == 320)
+        got = judged()
+        assert set(got) == set(want)
+        for i, w in want.items():
+            g = got[i]
+            assert (g.words, g.verdict, g.rule, g.host, g.path) == (w.words, w.verdict, w.rule, w.host, w.path), (g, w)
+            assert abs(g.score - w.score) < 1e-9, (g, w)
