@@ -314,11 +314,13 @@ def named_siblings(files: DataFrame, flat: DataFrame | None = None) -> DataFrame
     return j.select("parent", "src", "dst", F.when(F.col("imported"), 0.9).otherwise(0.7).alias("what"), *[v.alias(k) for k, v in pair_flags("a", "b").items()])
 
 
-def composite_counts(files: DataFrame, flat: DataFrame | None = None) -> DataFrame:
-    """Composite edges: sibling file pairs of one suffix with a CONVEYANCE edge, weight = product of the three."""
+def composite_counts(files: DataFrame, flat: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Composite edges: sibling file pairs of one suffix with a CONVEYANCE edge, weight = product of the three.
+    `pairs` are the named siblings, if at hand."""
     flat = attributes(files) if flat is None else flat
+    pairs = named_siblings(files, flat) if pairs is None else pairs
     total = pair_counts(flat, ["parent", "ext"]).withColumn("what", base_what(F.col("ext")))
-    named = named_siblings(files, flat).groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n")).withColumn("ext", F.lit(".py"))
+    named = pairs.groupBy("parent", "what", *PAIR_FLAGS).agg(F.count("*").alias("n")).withColumn("ext", F.lit(".py"))
     # a pair that is named leaves the base weight for its own
     moved = F.array(
         F.struct(F.col("what").alias("w"), F.col("n").alias("n_pairs")), F.struct(base_what(F.col("ext")).alias("w"), (-F.col("n")).alias("n_pairs"))
@@ -332,6 +334,46 @@ def composite_counts(files: DataFrame, flat: DataFrame | None = None) -> DataFra
     return out.withColumn("where", F.lit(SIBLING)).withColumn("composite", F.col("where") * F.col("what") * F.col("conveyance"))
 
 
+def strongest(files: DataFrame, k: int = 5, above: float = 0.5) -> DataFrame:
+    """The k strongest composite edges above a weight, both ends looked up; ties by parent, suffix, content weight, src, dst.
+
+    The first k cells hold them. A cell lists its pairs in order of src: named siblings are rows already; of
+    others, blocks of src are compared with their directory until enough pairs are found.
+    """
+    flat = attributes(files)
+    named = cut_lineage(named_siblings(files, flat).withColumn("conveyance", conveyance_weight()))
+    counts = composite_counts(files, flat, named.drop("conveyance")).where(F.col("composite") > above)
+    cells = counts.groupBy("parent", "ext", "what", F.round("conveyance", 6).alias("conveyance"), F.round("composite", 6).alias("composite")).agg(F.sum("n_pairs").alias("n_pairs"))
+    rows: list[tuple] = []
+    for c in cells.orderBy(F.desc("composite"), "parent", "ext", "what").limit(k).collect():
+        want = min(k - len(rows), c["n_pairs"])
+        if want <= 0:
+            break
+        inside = (F.round("conveyance", 6) == c["conveyance"]) & (F.col("conveyance") > 0.1)
+        mine = named.where((F.col("parent") == c["parent"]) & (F.lit(c["ext"]) == ".py"))
+        if c["ext"] == ".py" and c["what"] > 0.5:
+            found = mine.where((F.col("what") == c["what"]) & inside).orderBy("src", "dst").limit(want).select("src", "dst").collect()
+        else:
+            members = flat.where((F.col("parent") == c["parent"]) & (F.col("ext") == c["ext"])).select("path", F.struct(*_ENDS).alias("x"))
+            found, after, n = [], None, 64
+            while len(found) < want:
+                rest = members if after is None else members.where(F.col("path") > after)
+                block = rest.select(F.col("path").alias("src"), F.col("x").alias("a")).orderBy("src").limit(n)
+                given = block.collect()
+                if not given:
+                    break
+                block = files.sparkSession.createDataFrame(given, block.schema)
+                both = rest.select(F.col("path").alias("dst"), F.col("x").alias("b")).join(F.broadcast(block), F.col("src") < F.col("dst"))
+                weighed = both.select("src", "dst", *[v.alias(f) for f, v in pair_flags("a", "b").items()]).withColumn("conveyance", conveyance_weight()).where(inside)
+                found += weighed.join(mine.select("src", "dst"), ["src", "dst"], "left_anti").orderBy("src", "dst").limit(want - len(found)).select("src", "dst").collect()
+                after, n = given[-1]["src"], min(4096, 4 * n)
+        rows += [(len(rows) + i, r["src"], r["dst"], SIBLING, c["what"], c["conveyance"], c["composite"]) for i, r in enumerate(found)]
+    edges = files.sparkSession.createDataFrame(rows, "rank int, src string, dst string, where_weight double, what_weight double, conveyance_weight double, composite_weight double")
+    for end in ("src", "dst"):
+        edges = flat.select(F.col("path").alias(end), P.name(F.col("path")).alias(f"{end}_name")).join(F.broadcast(edges), end)
+    return edges.orderBy("rank").select("src", "src_name", "dst", "dst_name", "where_weight", "what_weight", "conveyance_weight", "composite_weight")
+
+
 def edges_of(files: DataFrame, paths: list[str]) -> DataFrame:
     """All CONVEYANCE and composite-ready pairs of the given files: one row per given file and other file.
 

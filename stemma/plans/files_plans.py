@@ -150,6 +150,17 @@ def strong_edges_top5(spark, sf_dir):
     return c.orderBy(F.desc("composite_weight"), "parent", "ext", "what_weight").limit(5)
 
 
+@R.query(
+    "strong_edges_ends",
+    sql("""SELECT src, regexp_extract(src, '[^/]*$') AS src_name, dst, regexp_extract(dst, '[^/]*$') AS dst_name, 0.8::DOUBLE AS where_weight, what AS what_weight,
+ round(conv, 6) AS conveyance_weight, round(0.8::DOUBLE * what * conv, 6) AS composite_weight
+ FROM x WHERE sibling AND same_ext AND conv > 0.1 AND 0.8::DOUBLE * what * conv > 0.5 ORDER BY composite_weight DESC, parent, ext, what_weight, src, dst LIMIT 5"""),
+)
+def strong_edges_ends(spark, sf_dir):
+    """The five strongest composite edges with both ends."""
+    return E.strongest(files(spark, sf_dir), 5)
+
+
 @R.query(
     "barriers",
     sql("""SELECT regexp_extract(path, '[^/]*$') AS name, path, encrypted, special_tool, readable FROM files WHERE encrypted OR special_tool OR NOT readable ORDER BY path LIMIT 3"""),

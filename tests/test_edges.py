@@ -140,3 +140,12 @@ def test_class_filename(spark):
     code = P.classify(F.col("t"), F.lit(""), F.col("c"))
     r = df.select(P.class_filename(code["code"], F.lit("2023-05-01"), F.col("a"), F.col("t"), F.col("s")).alias("f")).first()
     assert r.f == "QA76.9.A43_2023_LeCun_Y_CNN_2305_14239.pdf"
+
+
+@pytest.mark.parametrize("k, above", [(5, 0.5), (400, 0.2)])
+def test_strongest_edges_are_pairs(hot, k, above):
+    rows, df = hot
+    every = [(-round(0.8 * what * w, 6), a["parent"], a["ext"], what, a["path"], b["path"], round(w, 6)) for a, b, w, what in brute(rows) if a["parent"] == b["parent"] and what and w > 0.1 and 0.8 * what * w > above]
+    got = [(-r.composite_weight, r.src.rsplit("/", 1)[0], "." + r.src_name.rsplit(".", 1)[1], r.what_weight, r.src, r.dst, r.conveyance_weight) for r in E.strongest(df, k, above).collect()]
+    assert len(every) > k or k > 5
+    assert got == sorted(every)[:k]
