@@ -93,3 +93,15 @@ def test_null_keys(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, folder)
     assert docs.where(F.col("doc_id").isNotNull()).count() > 100 and docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_shared_and_missing_ids_lose_only_copies(spark, tmp_path):
+    """Different texts under one id all stay; of near copies one stays, with or without ids."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, words(1)), (7, words(2)), (7, words(2)), (9, words(2) + " more"), (None, words(2)), (None, words(3)), (None, words(3)), (None, words(3) + " more"), (None, words(4)), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 0) for i, t in rows], COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame([(3, words(5), "en", s, 1, 0.0, 0) for s in "ba"], COLUMNS))
+    left = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    assert [(i, t) for i, t, _ in left if i == 7] == [(7, words(1)), (7, words(2))]
+    assert sorted(t.replace(" more", "") for i, t, _ in left if i is None) == [words(3), words(4)]
+    assert sum(i == 3 for i, _, _ in left) == 1 and {t for i, t, _ in left if i == 8} == {None, ""} and len(left) == 7
