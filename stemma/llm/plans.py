@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.llm import chat, decontaminate, html_blocks, jaccard, language, mixing, permutation_index, quality, toxicity, urls
+from stemma.llm import chat, decontaminate, filter_audit, html_blocks, jaccard, language, merkle, mixing, permutation_index, quality, suffix_dedup, toxicity, urls
 from stemma.llm.tables import fold
 from stemma.plans.registry import Registry
 from stemma.sources.tables import table
@@ -177,6 +177,73 @@ def op9_permutations(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"))
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+ lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _leaf_sql(text: str) -> str:
+    one = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    return "sha256(" + " || ".join(one(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@reg.query(
+    "op11_merkle",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf_sql("text")} AS leaf,
+  CASE WHEN {_CRC} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS changed FROM documents),
+r AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, n, 0 AS lev, i, leaf AS h FROM r
+  UNION ALL SELECT g, (n + 2) // 3, lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, n, lev, i // 3),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT n, 0 AS lev, i, h FROM s UNION ALL SELECT (n + 2) // 3, lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY n, lev, i // 3),
+p AS (SELECT rid, lev AS k, coalesce(string_agg(h, '' ORDER BY t.i) FILTER (t.i < r.i // (3 ** lev)::BIGINT), '') AS a, coalesce(string_agg(h, '' ORDER BY t.i) FILTER (t.i > r.i // (3 ** lev)::BIGINT), '') AS b
+  FROM r JOIN t ON t.g = r.g AND t.n > 1 AND t.i // 3 = r.i // (3 ** lev)::BIGINT // 3 GROUP BY ALL
+  UNION ALL SELECT rid, 100 + lev, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < s.i // (3 ** lev)::BIGINT), ''), coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > s.i // (3 ** lev)::BIGINT), '')
+  FROM r JOIN s USING (g) JOIN u ON u.n > 1 AND u.i // 3 = s.i // (3 ** lev)::BIGINT // 3 GROUP BY ALL),
+q AS (SELECT rid, list({{'a': a, 'b': b, 'h': ''}} ORDER BY k) AS path FROM p GROUP BY rid),
+f AS (SELECT r.doc_id, r.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(path, []), lambda x: x.a || x.b), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'a': '', 'b': '', 'h': coalesce(changed, leaf)}}, coalesce(path, [])), lambda x, y: {{'a': '', 'b': '', 'h': sha256(y.a || x.h || y.b)}}).h AS folded_root
+  FROM r JOIN s USING (g) LEFT JOIN q USING (rid))
+SELECT *, folded_root = root AS verified FROM f""",
+)
+def op11_merkle(spark, sf_dir):
+    """Manifest of all documents and the proof of each; every second id is read again without its line ends."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.proofs(docs, fold(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+
+
+@reg.query("op12_run_index")
+def op12_run_index(spark, sf_dir):
+    """What is left of every document without its repeats of 400 bytes."""
+    cut = suffix_dedup.removal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _fails_sql(some: str) -> str:
+    return "(" + " OR ".join(f"({c} AND contains({some}, '{c}'))" for c in filter_audit.LETTERS) + ")"
+
+
+@reg.query(
+    "op13_potential",
+    rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+d AS (SELECT part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS C,
+  regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS bad FROM t),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || e.c || f.c || g.c AS filter_order FROM l a JOIN l b ON b.c <> a.c JOIN l e ON e.c NOT IN (a.c, b.c) JOIN l f ON f.c NOT IN (a.c, b.c, e.c) JOIN l g ON g.c NOT IN (a.c, b.c, e.c, f.c)),
+s AS (SELECT filter_order, j AS step, substr(filter_order, j::INT, 1) AS f, substr(filter_order, 1, j::INT - 1) AS before FROM o, range(1, 6) r(j)),
+c AS (SELECT part, A, B, C, D, E, coalesce(good, false) AS good, coalesce(bad, false) AS bad, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT *, {_fails_sql("before")} AS gone, {_fails_sql("f")} AS fails, {_fails_sql("replace('ABCDE', f, '')")} AS other FROM c, s),
+y AS (SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND NOT other), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fails AND bad), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM y""",
+)
+def op13_potential(spark, sf_dir):
+    """What five filters remove from every source in each of their orders, with their Shapley values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return filter_audit.audit(filter_audit.failure_counts(docs, table(spark, sf_dir, "labels")))
+
 
 def all_queries():
     return dict(reg.queries)
