@@ -23,8 +23,8 @@ def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks of keys, equal for equal keys."""
     order = np.argsort(key)
     k = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.r_[0, (k[1:] != k[:-1]).astype(np.int64)])
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]], dtype=np.int32)[: len(key)]
     return out
 
 
@@ -43,7 +43,7 @@ class RunIndex:
         first[self.starts[sizes > 0]] = True
         ranks = self._ranks(text, rest)
         place = np.arange(n)
-        order = np.argsort(ranks[-1] * max(n, 1) + place)
+        order = np.argsort(ranks[-1].astype(np.int64) * max(n, 1) + place)
         before = np.where(first[order], -1, text[order - 1].astype(np.int64)) if n else np.empty(0, np.int64)
         border = np.ones(n + 1, bool)
         border[1:n] = (before[1:] != before[:-1]) | (before[1:] < 0)
@@ -67,7 +67,7 @@ class RunIndex:
             h = FIRST << d
             if n == 0 or h >= rest.max():
                 break
-            r = out[-1]
+            r = out[-1].astype(np.int64)
             later = np.r_[r[h:], np.zeros(min(h, n), np.int64)] + 1
             out.append(_dense(r * (n + 1) + np.where(rest > h, later, 0)))
         return out

@@ -4,6 +4,7 @@
 smallest hash among its grams of `GRAMS[0]` bytes, so equal windows have equal names. Neighbouring windows
 mostly share their name and form a piece, at most PIECE windows. Names that occur at one place only, with
 one such gram inside, are settled. Pieces with other names are folded by content and dealt to shards by name, about SHARD bytes each.
+A shard leaves out the windows whose longest common gram occurs there only once.
 
 **Index.** A shard builds a run-length index (`run_index`) of its distinct pieces and streams the matching
 statistics of all positions from the sampled run ends; a window is marked where its match reaches WINDOW
@@ -15,9 +16,8 @@ window, for which there is only one content. Each step is the same procedure ove
 before, so no group grows with the input.
 
 **What moves.** Names and hashes of places; the bytes of pieces whose name is repeated, once per task; at
-the end the spans, which are sent to the tasks below a counted bound and joined by shuffle beyond. A bitmap
-of fixed size thins the pieces before they are made; beyond FILTERED repeated names they are joined exactly
-as well. Texts are never gathered. Equal texts are told by their digest and marked whole.
+the end the texts once, to meet their spans, at every size alike. A bitmap of fixed size thins the pieces
+before they are made; beyond FILTERED repeated names they are joined exactly as well. Texts are never gathered. Equal texts are told by their digest and marked whole.
 
 Defined results: a null text counts as empty; texts under WINDOW bytes hold no window and stay whole, but
 for none of their bytes anything can repeat; repeated rows are places of their own, so each of two equal
@@ -188,42 +188,82 @@ def candidates(rows: DataFrame, q: int, window: int) -> DataFrame:
     return cut_lineage(found.join(names, "token", "left_semi") if many else found)
 
 
+def _kept_parts(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, windows) of the parts of some strings whose long grams occur twice among them."""
+    of, first, windows, name, twice = pieces(strings, window - window // 3, window)
+    _, which, times = np.unique(name, return_inverse=True, return_counts=True)
+    keep = (times[which] > 1) | twice
+    of, first, windows = of[keep], first[keep], windows[keep]
+    new = np.r_[True, (of[1:] != of[:-1]) | (first[1:] != first[:-1] + windows[:-1])][: len(of)]
+    at = np.flatnonzero(new)
+    return of[at], first[at], np.add.reduceat(windows, at) if len(at) else windows
+
+
 def _shard_marks(window: int):
     def marks(part: pd.DataFrame) -> pd.DataFrame:
         """Windows of the distinct pieces of a shard that start elsewhere in it too, as ranges."""
         strings = [bytes(b) for b in part["b"]]
-        index = RunIndex(strings)
+        of, first, windows = _kept_parts(strings, window)
+        parts = [strings[o][f : f + w + window - 1] for o, f, w in zip(of, first, windows)]
+        number: dict[bytes, int] = {}
+        content = np.array([number.setdefault(p, len(number)) for p in parts], np.int64)
+        index = RunIndex(list(number))
         hit = index.matching() >= window
         edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        of = np.searchsorted(index.starts, lo, side="right") - 1
-        return pd.DataFrame({"digest": part["digest"].to_numpy()[of], "lo": lo - index.starts[of], "hi": hi - index.starts[of]})
+        holder = np.searchsorted(index.starts, lo, side="right") - 1
+        lo, hi = lo - index.starts[holder], hi - index.starts[holder]
+        begin = np.searchsorted(holder, np.arange(len(number) + 1))
+        many = np.bincount(content, minlength=len(number)) > 1
+        found: list[tuple[int, list]] = []
+        for c, o, f, w in zip(content, of, first, windows):
+            ranges = [(f, f + w - 1)] if many[c] else [(f + x, f + y) for x, y in zip(lo[begin[c] : begin[c + 1]], hi[begin[c] : begin[c + 1]])]
+            if ranges:
+                found.append((o, [{"lo": int(x), "hi": int(y)} for x, y in ranges]))
+        digest = part["digest"].to_numpy()
+        return pd.DataFrame({"digest": pd.Series([digest[o] for o, _ in found], dtype=object), "ranges": pd.Series([r for _, r in found], dtype=object)})
 
     return marks
 
 
+def _joined(ranges) -> list[dict]:
+    """Ranges of whole numbers, joined where they touch."""
+    lo, end = spans(np.array([r["lo"] for r in ranges], np.int64), np.array([r["hi"] for r in ranges], np.int64), 1)
+    return [{"lo": int(a), "hi": int(b) - 1} for a, b in zip(lo, end)]
+
+
+def _gathered(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key with its ranges."""
+
+    @F.pandas_udf("array<struct<lo:long,hi:long>>")
+    def merged(ranges: pd.Series) -> pd.Series:
+        return pd.Series([_joined(r) for r in ranges], dtype=object)
+
+    return cut_lineage(rows.groupBy(key).agg(F.flatten(F.collect_list("ranges")).alias("ranges")).withColumn("ranges", merged("ranges")))
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
-    """(key, lo, hi): ranges of first bytes of windows of the distinct texts (key, b) that start elsewhere too."""
+    """(key, ranges): first bytes of windows of the distinct texts (key, b) that start elsewhere too, as ranges (lo, hi)."""
     found = candidates(rows, grams[0], window)
     contents = found.groupBy("token", "digest").agg(F.max("b").alias("b"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("windows").alias("windows"))
     contents = cut_lineage(contents)
-    sizes = contents.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.octet_length("b")).alias("bytes"))
-    sizes = cut_lineage(sizes)
-    hot = sizes.where(F.col("c") > HOT).select("token") if len(grams) > 1 else None
-    total = sizes.where(F.col("c") <= HOT).agg(F.sum("bytes")).first()[0] if hot is not None else sizes.agg(F.sum("bytes")).first()[0]
+    sizes = cut_lineage(contents.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.octet_length("b")).alias("bytes")))
+    split = F.col("c") > HOT if len(grams) > 1 else F.lit(False)
+    total = sizes.where(~split).agg(F.sum("bytes")).first()[0]
     shards = -(-int(total or 0) // SHARD) or 1
-    some = attach(contents, sizes.where(F.col("c") <= HOT).select("token") if hot is not None else sizes.select("token"), ["token"], "left_semi")
+    hot = sizes.where(split).select("token")
+    any_hot = len(grams) > 1 and hot.limit(1).count() > 0
+    some = attach(contents, hot, ["token"], "left_anti") if any_hot else contents
     dealt = some.select("digest", "b", F.pmod(F.xxhash64("token"), F.lit(shards)).alias("shard"))
-    marks = dealt.groupBy("shard").applyInPandas(_shard_marks(window), "digest binary, lo long, hi long")
-    whole = contents.where("lo < hi").select("digest", F.lit(0).cast("long").alias("lo"), (F.col("windows") - 1).alias("hi"))
-    marks = marks.unionByName(whole)
-    if hot is not None and hot.limit(1).count():
+    marks = dealt.groupBy("shard").applyInPandas(_shard_marks(window), "digest binary, ranges array<struct<lo:long,hi:long>>")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("windows") - 1).alias("hi")))
+    marks = marks.unionByName(contents.where("lo < hi").select("digest", one.alias("ranges")))
+    if any_hot:
         again = repeated_windows(attach(contents, hot, ["token"], "left_semi").select(F.col("digest").alias("key"), "b"), window, grams[1:])
-        marks = marks.unionByName(again.select(F.col("key").alias("digest"), "lo", "hi"))
-    marks = cut_lineage(marks.groupBy("digest").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    placed = attach(found.select("key", "first", "digest"), marks, ["digest"])
-    ranges = placed.select("key", F.explode(F.transform("ranges", lambda r: F.struct((F.col("first") + r.lo).alias("lo"), (F.col("first") + r.hi).alias("hi")))).alias("r"))
-    return cut_lineage(ranges.select("key", "r.*").distinct())
+        marks = marks.unionByName(again.withColumnRenamed("key", "digest"))
+    placed = attach(found.select("key", "first", "digest").distinct(), _gathered(marks, "digest"), ["digest"])
+    moved = F.transform("ranges", lambda r: F.struct((F.col("first") + r.lo).alias("lo"), (F.col("first") + r.hi).alias("hi")))
+    return _gathered(placed.select("key", moved.alias("ranges")), "key")
 
 
 def spans(lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,9 +281,9 @@ def removal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("key"), F.encode(body, "UTF-8").alias("b"))
     found = repeated_windows(rows.where(F.octet_length("b") >= window).select("key", "b"), window, grams)
     copies = rows.where(F.octet_length("b") >= window).groupBy("key").agg(F.count("*").alias("c"), F.max(F.octet_length("b")).alias("n"))
-    copies = copies.where("c > 1").select("key", F.lit(0).cast("long").alias("lo"), (F.col("n") - window).cast("long").alias("hi"))
-    ranges = cut_lineage(found.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-    joined = attach(rows, ranges, ["key"], "left").select("doc_id", "b", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("n") - window).cast("long").alias("hi")))
+    ranges = _gathered(found.unionByName(copies.where("c > 1").select("key", whole.alias("ranges"))), "key")
+    joined = rows.join(ranges, "key", "left").select("doc_id", "b", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
