@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.components import connected
-from stemma.llm.tables import collected, small_batches
+from stemma.llm.tables import attach, collected, small_batches
 from stemma.llm.wordhash import _mix, windows, word_hashes
 from stemma.session import cut_lineage
 
@@ -165,17 +165,22 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, bits: int) -> DataFr
     """The pairs that can be similar enough, judged on the shingles whose hash begins with `bits` zeros.
 
     Of shingles outside that part, as many are taken as shared as the sizes allow, so no similar pair is
-    lost. With 0 bits the whole sets are compared and the answer is exact.
+    lost. With 0 bits the whole sets are compared and the answer is exact. The set of b travels to its
+    partners, the sets that are met there once each.
     """
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = pairs.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    both = pairs.select(F.col("b").alias("id"), F.col("a").alias("partner")).unionByName(pairs.select(F.col("a").alias("id"), F.lit(None).cast("long").alias("partner")))
+    needs = cut_lineage(both.groupBy("id").agg(F.collect_list("partner").alias("partners"), F.max(F.col("partner").isNull()).alias("met")))
     below = np.uint64((1 << (64 - bits)) - 1)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, len(s), s[s <= below].tobytes()) for i, s in _sets(b, width)], columns=["id", "n", "s"])
+            made = [(len(s), s[s <= below].tobytes()) for _, s in _sets(b, width)]
+            yield b.assign(n=[n for n, _ in made], s=[s for _, s in made]).drop(columns="t")
 
-    sets = cut_lineage(_only(docs, ids, "id").mapInPandas(build, "id long, n int, s binary"))
+    sets = docs.join(F.broadcast(needs) if few else needs, "id").select("id", "t", "partners", "met")
+    sets = cut_lineage(sets.mapInPandas(build, "id long, partners array<long>, met boolean, n int, s binary"))
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
@@ -186,9 +191,9 @@ def _compare(docs: DataFrame, pairs: DataFrame, width: int, bits: int) -> DataFr
             out.append(100 * most >= PERCENT * (n + m - most))
         return pd.Series(out, dtype=bool)
 
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
-    return both.where(similar("sa", "sb", "na", "nb")).select("a", "b").distinct()
+    sent = sets.select(F.explode("partners").alias("a"), F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
+    met = sets.where("met").select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
+    return sent.join(met, "a").where(similar("sa", "sb", "na", "nb")).select("a", "b").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -197,7 +202,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def _stars(reps: DataFrame) -> DataFrame:
-    """Pairs of each document with the most central document among those that share a head with it."""
+    """Pairs of the most central document (a) with each of those that share a head with it (b)."""
     heads = reps.select("id", "n", "central", F.explode("heads").alias("token"))
     best = heads.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("best"), F.count("*").alias("c")).where("c > 1")
     pivot = best.select("token", (-F.col("best.minus")).alias("hub"), F.col("best.n").alias("hub_n"))
@@ -208,7 +213,7 @@ def _stars(reps: DataFrame) -> DataFrame:
         .groupBy("id", "hub")
         .count()
         .where(F.col("count") >= SHARED_HEADS)
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        .select(F.col("hub").alias("a"), F.col("id").alias("b"))
     )
 
 
@@ -272,3 +277,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: that with the smallest id, rows without id last.
+
+    Each row is a node of its own, told by a hash of all its columns; so rows that share an id but not their
+    text stay, and of equal rows one. Only ids and hashes are grouped; whole rows are compared where two of
+    them are equal.
+    """
+    empty = F.array(*[F.col(c).isNull() for c in docs.columns])
+    rows = docs.withColumn("_node", F.xxhash64(*docs.columns, empty)).withColumn("_twin", F.xxhash64(F.lit(1), *docs.columns, empty))
+    groups = near_duplicates(rows.select("_node", text), doc_id="_node", text=text).select("_node", "component_id").distinct()
+    named = cut_lineage(groups).join(rows.select("_node", doc_id), "_node").groupBy("component_id", doc_id).agg(F.min("_node").alias("_node"))
+    first = named.groupBy("component_id").agg(F.coalesce(F.min_by("_node", doc_id), F.min("_node")).alias("_node"))
+    left = cut_lineage(_only(rows, cut_lineage(first.select("_node")), "_node").groupBy("_node", "_twin").agg(F.count("*").alias("c")))
+    often = left.where("c > 1").select("_node", "_twin")
+    once = _only(rows, left.where("c = 1").select("_node").distinct(), "_node")
+    if not often.limit(1).count():
+        return once.select(*docs.columns)
+    many = attach(rows, often, ["_node", "_twin"], "left_semi").dropDuplicates(["_node", "_twin"])
+    alone = attach(once, often, ["_node", "_twin"], "left_anti")
+    return alone.unionByName(many).select(*docs.columns)
