@@ -36,17 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id, rows without id last.
-
-    Each row is a node of its own, told by a hash of all its columns; so rows that share an id but not
-    their text stay, and so does one of several equal rows.
-    """
-    node = F.xxhash64(*docs.columns, F.array(*[F.col(c).isNull() for c in docs.columns]))
-    rows = docs.withColumn("_node", node)
-    groups = jaccard.near_duplicates(rows.select("_node", "text"), doc_id="_node").select("_node", "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_node")).alias("first")
-    stay = groups.join(rows.select("_node", "doc_id"), "_node").groupBy("component_id").agg(first).select("first._node")
-    return rows.join(stay, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    """One document of each group of near copies, that with the smallest id, rows without id last."""
+    return jaccard.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
