@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from stemma.operators import citations as O
 from stemma.operators import graph as G
+from stemma.operators import modularity as M
 from stemma.plans.registry import Registry
+from stemma.session import cut_lineage
 from stemma.sources import tables as S
 from stemma.sources.tables import with_ctes
 
@@ -216,3 +218,38 @@ def path_chains(spark, sf_dir):
 def top_betweenness(spark, sf_dir):
     """The ten papers that most shortest citation paths run through."""
     return betweenness(spark, sf_dir).orderBy(F.desc("betweenness"), "id").limit(10)
+
+
+@R.query(
+    "group_modularity",
+    with_ctes(["cites"], """, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM cites), w AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+ g AS (SELECT 'lang' AS by_, doc_id, lang AS c FROM documents UNION ALL SELECT 'source', doc_id, source FROM documents UNION ALL SELECT 'own', doc_id, doc_id::VARCHAR FROM documents),
+ s AS (SELECT x.by_, x.c, count(*)::DOUBLE AS total, count(*) FILTER (x.c = y.c)::DOUBLE AS inside FROM w JOIN g x ON x.doc_id = u JOIN g y ON y.doc_id = v AND y.by_ = x.by_ GROUP BY 1, 2)
+ SELECT by_ AS grouping, count(*) AS n_groups, round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 9) AS modularity FROM s GROUP BY 1"""),
+)
+def group_modularity(spark, sf_dir):
+    """How well languages, sources and single documents divide the citation network, as modularity."""
+    docs = S.texts(spark, sf_dir).select("doc_id", "lang", "source")
+    arcs = cut_lineage(M.both_ways(S.cites(spark, sf_dir)))
+    cited = arcs.select(F.col("u").alias("doc_id")).distinct()
+    out = None
+    for name, c in (("lang", F.col("lang")), ("source", F.col("source")), ("own", F.col("doc_id").cast("string"))):
+        member = docs.select(F.col("doc_id").alias("node"), c.alias("c"))
+        q = F.round(F.lit(M.modularity(arcs, member)), 9)
+        row = docs.join(cited, "doc_id", "left_semi").agg(F.count_distinct(c).alias("n_groups")).select(F.lit(name).alias("grouping"), "n_groups", q.alias("modularity"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@R.query("modularity_communities")
+def modularity_communities(spark, sf_dir):
+    """Communities of the citation network by modularity, largest first, with what each adds to it."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id")
+    arcs = cut_lineage(M.both_ways(S.cites(spark, sf_dir)))
+    member = cut_lineage(M.communities(docs, S.cites(spark, sf_dir)))
+    ends = arcs.join(member.select(F.col("node").alias("u"), F.col("community").alias("a")), "u").join(member.select(F.col("node").alias("v"), F.col("community").alias("b")), "v")
+    sums = ends.groupBy(F.col("a").alias("community")).agg(F.sum("w").alias("total"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+    every = arcs.agg(F.sum("w")).first()[0] or 1.0
+    sizes = member.groupBy("community").agg(F.count("*").alias("n_nodes"))
+    share = F.col("inside") / every - (F.col("total") / every) ** 2
+    return sizes.join(sums, "community", "left").select("community", "n_nodes", F.round(F.coalesce(share, F.lit(0.0)), 9).alias("share")).orderBy(F.desc("n_nodes"), "community")

@@ -8,6 +8,7 @@ from stemma.operators import store as ST
 from stemma.plans.registry import Registry
 from stemma.sources import tables as S
 from stemma.streaming import ingest as I
+from stemma.streaming import stateful
 
 R = Registry()
 
@@ -68,3 +69,53 @@ def stream_batches(spark, sf_dir):
         docs.where(F.col("doc_id") % 4 == k).coalesce(1).write.mode("append").parquet(folder)
     I.drain(I.file_stream(spark, folder, 1), I.every_n(100, t), ck)
     return t.read()
+
+
+ARRIVALS = 3
+
+
+def _arrive(spark, sf_dir, folder: str, k: int) -> None:
+    """A third of the events as files, in the order of their ids."""
+    events = S.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    n = events.agg(F.max("event_id")).first()[0] + 1
+    third = F.floor(F.col("event_id") * ARRIVALS / F.lit(n))
+    events.where(third == k).write.mode("append").parquet(folder)
+
+
+def _in_arrivals(spark, sf_dir, name: str, run) -> None:
+    """Two arrivals drained together, then the query starts again on its checkpoint for the third."""
+    folder = I.work_folder(spark, name)
+    stateful.use_rocksdb(spark)
+    for k in range(ARRIVALS):
+        _arrive(spark, sf_dir, folder, k)
+        if k:
+            run(I.file_stream(spark, folder, 1))
+
+
+@R.query("stream_first_seen", "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def stream_first_seen(spark, sf_dir):
+    """First event of each user over several arrivals and a restart, with the users seen kept as state."""
+    base = I.work_folder(spark, "first-seen")
+
+    def run(stream):
+        out = stateful.first_per_key(stream.select("user_id", "event_id", "event_type"), "user_id", "event_id")
+        out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _in_arrivals(spark, sf_dir, "first-seen-files", run)
+    return spark.read.parquet(f"{base}/rows")
+
+
+@R.query(
+    "stream_run_history",
+    """SELECT user_id AS query_id, count(*) AS execution_count, max(value) AS peak_conveyance, arg_min(value, (ts, event_id)) AS initial_conveyance, arg_max(value, (ts, -event_id)) AS current_conveyance FROM events GROUP BY 1""",
+)
+def stream_run_history(spark, sf_dir):
+    """Run history of each query over several arrivals and a restart, folded in the state store."""
+    t, ck = _setup(spark, "run-history")
+
+    def run(stream):
+        rows = stream.select(F.col("user_id").alias("query_id"), "at", "value")
+        I.drain(stateful.run_history(rows, "query_id", "at", "value"), I.upsert_into(t, "query_id"), ck, "update")
+
+    _in_arrivals(spark, sf_dir, "run-history-files", run)
+    return t.read()

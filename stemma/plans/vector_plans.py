@@ -232,6 +232,67 @@ def weighted_distance(spark, sf_dir):
     return weighted_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
+def chain_distance(a, b) -> np.ndarray:
+    """Jaccard distance of directory chains; 1 where a chain is empty, 0.5 where one is unknown.
+
+    Equal chains are folded first, so a block costs a product of its distinct chains over their directories.
+    """
+
+    def distinct(chains):
+        keys = [None if c is None else tuple(sorted(set(c))) for c in chains]
+        number: dict = {}
+        return np.array([number.setdefault(k, len(number)) for k in keys], np.int64), list(number)
+
+    at, ua = distinct(a)
+    bt, ub = distinct(b)
+    names = {d: i for i, d in enumerate(sorted({d for c in (*ua, *ub) for d in c or ()}))}
+
+    def incidence(chains):
+        out = np.zeros((len(chains), len(names)), np.float64)
+        for i, c in enumerate(chains):
+            out[i, [names[d] for d in c or ()]] = 1.0
+        return out
+
+    x, y = incidence(ua), incidence(ub)
+    both = x @ y.T
+    union = x.sum(1)[:, None] + y.sum(1)[None, :] - both
+    gap = np.where((x.sum(1) > 0)[:, None] & (y.sum(1) > 0)[None, :], 1.0 - both / np.maximum(union, 1.0), 1.0)
+    gap[[c is None for c in ua], :] = 0.5
+    gap[:, [c is None for c in ub]] = 0.5
+    return gap[at][:, bt]
+
+
+def chain_gap(a, b) -> np.ndarray:
+    """Weighted distance with directory chains as WHERE, the whole vector as WHAT, fidelity as CONVEYANCE."""
+    w = V.DIMENSION_WEIGHTS
+    what = 1.0 - V.matrix(a["v"]) @ V.matrix(b["v"]).T
+    conv = np.abs(a["fid"].to_numpy()[:, None] - b["fid"].to_numpy()[None, :])
+    return np.round(w["where"] * chain_distance(a["chain"], b["chain"]) + w["what"] * what + w["conveyance"] * conv, 12)
+
+
+def url_chain(url):
+    """Host and folders of a url, the last name left out; empty without a scheme."""
+    inner = F.regexp_extract(url, "://([^?#]*)/", 1)
+    return F.filter(F.split(inner, "/"), lambda d: d != "")
+
+
+@R.query(
+    "weighted_distance_chains",
+    with_ctes(["v3"], """, c AS (SELECT v3.id, e, fid, CASE WHEN url IS NOT NULL THEN list_distinct(list_filter(string_split(regexp_extract(url, '://([^?#]*)/', 1), '/'), lambda d: d <> '')) END AS chain FROM v3 LEFT JOIN pages ON page_id = v3.id),
+ g AS (SELECT a.id AS src, b.id AS dst, CASE WHEN a.chain IS NULL OR b.chain IS NULL THEN 0.5 WHEN len(a.chain) = 0 OR len(b.chain) = 0 THEN 1.0
+  ELSE 1 - len(list_intersect(a.chain, b.chain))::DOUBLE / (len(a.chain) + len(b.chain) - len(list_intersect(a.chain, b.chain))) END AS w, """
+    + f"{cos_sql('a.e', 'b.e')}"
+    + """ AS cos, abs(a.fid - b.fid) AS conv FROM c a JOIN c b ON a.id <> b.id),
+ d AS (SELECT src, dst, round(0.05*w + 0.5*(1 - cos) + 0.45*conv, 12) AS dist FROM g)
+ SELECT src, dst, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM d) WHERE r <= 10""").replace("FROM vecs)\n,", "FROM vecs),"),
+)
+def weighted_distance_chains(spark, sf_dir, k: int = 10, limits=simjoin.Limits()):
+    """Ten nearest nodes under the weighted distance, with the folders of the page of the same number as chain."""
+    pages = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), url_chain(F.col("url")).alias("chain"))
+    side = S.v3(spark, sf_dir).where("exists(e, x -> x <> 0)").select("id", V.unit(F.col("e")).alias("v"), "fid").join(pages, "id", "left")
+    return simjoin.nearest(side, side, k, chain_gap, weighted_tau, limits).select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
 def symmetric(edges):
     """Both directions of every neighbour edge, each once; the search behind the edges runs once."""
     ways = F.array(F.struct("src", "dst", "dist"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
