@@ -27,6 +27,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.session import cut_lineage
+
 LETTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 2
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", "[#$%&*|]"
@@ -63,6 +65,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sums = rows.groupBy("digest", "part", "mask", unnamed.alias("unnamed")).agg(
         F.min("doc_id").alias("first"), *[F.sum(c).alias(c) for c in counts], *[F.min_by(c, "doc_id").alias(f"first_{c}") for c in counts]
     )
+    sums = cut_lineage(sums)
     smallest = sums.groupBy("digest").agg(F.min("first").alias("smallest"))
     sums = sums.join(smallest, "digest")
     copy = 1 << 4
