@@ -3,8 +3,8 @@
 Texts are sequences of words: runs of letters and digits, with A-Z folded to a-z, so case and
 punctuation do not matter. A document is compared with a benchmark item if they share at least one run
 of `SEED` words. The common tiles of the two are then marked by running Karp-Rabin: rolling hashes of
-all unmarked windows are compared, from wide windows to windows of `SEED` words; the longest match that
-does not overlap words marked before becomes a tile, until no unmarked run of `SEED` words is shared.
+all unmarked windows are compared to find the greatest width that both share; the longest matches that
+do not overlap words marked before become tiles, until no unmarked run of `SEED` words is shared.
 Tiles may stand in any order, so reordered passages are found. The coverage of an item is the share of
 its words that tiles mark; from `FROM` on, the document leaks it.
 
@@ -54,43 +54,62 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(before[size:] == before[:-size])
 
 
-def _common(p: np.ndarray, q: np.ndarray) -> int:
-    """Length of the common beginning."""
-    n = min(len(p), len(q))
-    differ = np.flatnonzero(p[:n] != q[:n])
-    return int(differ[0]) if len(differ) else n
+def _shared(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which of the hashes `doc` occur in the sorted hashes `item`."""
+    at = np.searchsorted(item, doc)
+    return item[np.minimum(at, len(item) - 1)] == doc if len(item) else np.zeros(len(doc), bool)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiles (place in doc, place in item, length), in the order they were marked.
 
-    Of matches with equal length the first in the document, then in the item, is marked first.
+    Of matches with equal length the first in the document, then in the item, is marked first. Each round
+    finds the greatest width at which unmarked windows share a rolling hash, by bisection, and marks the
+    matches of that width; a round costs a few passes over both texts, however often their words repeat.
     """
     top = max(len(doc), len(item))
     roll_doc, roll_item = Rolling(doc, top), Rolling(item, top)
     marked_doc, marked_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    tiles, size = [], max(least, min(len(doc), len(item)))
-    while size >= least:
+    tiles, most = [], min(len(doc), len(item))
+
+    def hits(size: int):
+        """Hashes of the item's unmarked windows, their places, and those of the document that occur among them."""
         at_doc, at_item = _free(marked_doc, size), _free(marked_item, size)
         h_doc, h_item = roll_doc.windows(at_doc, size), roll_item.windows(at_item, size)
         order = np.argsort(h_item, kind="stable")
-        lo, hi = np.searchsorted(h_item[order], h_doc, "left"), np.searchsorted(h_item[order], h_doc, "right")
-        best: list[tuple[int, int, int]] = []
-        for k in np.flatnonzero(hi > lo):
-            i = int(at_doc[k])
-            stop_doc = i + int(np.argmax(marked_doc[i:])) if marked_doc[i:].any() else len(doc)
-            for j in map(int, at_item[order[lo[k] : hi[k]]]):
-                stop_item = j + int(np.argmax(marked_item[j:])) if marked_item[j:].any() else len(item)
-                n = _common(doc[i:stop_doc], item[j:stop_item])
-                if n >= size and (not best or n >= -best[0][0]):
-                    best = [b for b in best if -b[0] == n] + [(-n, i, j)]
-        for n, i, j in sorted(best):
-            if not marked_doc[i : i - n].any() and not marked_item[j : j - n].any():
-                marked_doc[i : i - n] = True
-                marked_item[j : j - n] = True
-                tiles.append((i, j, -n))
-        if not best:
-            size = size // 2 if size >= 2 * least else least if size > least else 0
+        found = _shared(h_doc, h_item[order])
+        return h_item[order], at_item[order], h_doc[found], at_doc[found]
+
+    while most >= least:
+        lo, hi = least - 1, most  # windows of `lo` words are shared, those of more than `hi` are not
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(hits(mid)[3]) else (lo, mid - 1)
+        if lo < least:
+            break
+        h_item, at_item, h_doc, at_doc = hits(lo)
+        first, stop = np.searchsorted(h_item, h_doc, "left"), np.searchsorted(h_item, h_doc, "right")
+        head = {int(f): int(f) for f in np.unique(first)}  # first item window of a hash that may be free
+        past = 0
+        for i, f, end in zip(at_doc.tolist(), first.tolist(), stop.tolist()):
+            if i < past or f not in head:
+                continue
+            k = head[f]
+            while k < end and marked_item[at_item[k] : at_item[k] + lo].any():
+                k += 1
+            head[f] = k
+            if k == end:
+                del head[f]
+                if not head:
+                    break
+                continue
+            j = int(at_item[k])
+            if np.array_equal(doc[i : i + lo], item[j : j + lo]):
+                marked_doc[i : i + lo] = True
+                marked_item[j : j + lo] = True
+                tiles.append((i, j, lo))
+                past = i + lo
+        most = lo - 1
     return tiles
 
 
@@ -103,8 +122,11 @@ class Items:
         seeds = [windows(w, SEED) for w in self.words]
         seed = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]) if seeds else np.empty(0, int)
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.owner = seed[order], owner[order]
+        order = np.lexsort((owner, seed))
+        seed, owner = seed[order], owner[order]
+        first = np.ones(len(seed), bool)  # a seed that an item repeats leads to it once
+        first[1:] = (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
+        self.seed, self.owner = seed[first], owner[first]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(seed & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -114,23 +136,24 @@ class Items:
             return []
         own = windows(words, SEED)
         at = np.flatnonzero(self.maybe[(own & np.uint64(0xFFFFF)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.seed, own[at], "left"), np.searchsorted(self.seed, own[at], "right")
-        places: dict[int, list[int]] = {}
-        for k in np.flatnonzero(hi > lo):
-            for item in set(self.owner[lo[k] : hi[k]].tolist()):
-                places.setdefault(item, []).append(int(at[k]))
+        at = at[np.argsort(own[at], kind="stable")]
+        seen, start, count = np.unique(own[at], return_index=True, return_counts=True)
+        lo, hi = np.searchsorted(self.seed, seen, "left"), np.searchsorted(self.seed, seen, "right")
+        held = np.repeat(np.arange(len(seen)), hi - lo)
+        owner = self.owner[np.arange(len(held)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]
+        order = np.argsort(owner, kind="stable")
+        items, cut = np.unique(owner[order], return_index=True)
         out = []
-        for item in sorted(places):
+        for item, mine in zip(items.tolist(), np.split(held[order], cut[1:])):
             target = self.words[item]
-            got = np.zeros(len(words) + 1, bool)
-            for k in range(SEED):
-                got[np.array(places[item]) + k] = True
-            if got.sum() < FROM * len(target):
+            if (SEED * count[mine]).sum() < FROM * len(target):
+                continue
+            places = np.concatenate([at[start[k] : start[k] + count[k]] for k in mine])
+            inside = np.unique(places[:, None] + np.arange(SEED))
+            if len(inside) < FROM * len(target):
                 continue
             # parts of the document apart from each other are kept apart by a word that no text has
-            edge = np.flatnonzero(got[:-1] & ~got[1:])
-            inside = np.flatnonzero(got[:-1])
-            part = np.insert(words[inside], np.searchsorted(inside, edge, "right")[:-1], np.uint64(0))
+            part = np.insert(words[inside], np.flatnonzero(np.diff(inside) > 1) + 1, np.uint64(0))
             tiles = tile(part, target)
             matched = sum(n for _, _, n in tiles)
             if matched >= FROM * len(target):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from corpora import say
@@ -84,3 +86,29 @@ def test_whole_comparison_agrees_with_tiling_of_whole_texts():
         for i, words in enumerate(word_hashes(items, "letters")):
             whole = sum(n for _, _, n in dc.tile(doc, words))
             assert got.get(i, 0) == (whole if whole >= dc.FROM * len(words) else 0)
+
+
+@pytest.mark.parametrize(
+    "doc, item, matched",
+    [
+        ("no " * 20_000, "no " * 30, 30),
+        ("no " * 4_000, ("no " * 50 + "x y z w ") * 10, 500),
+        ("a b " * 50_000 + "no " * 50_000, "a b " * 100 + "no " * 100, 300),
+    ],
+)
+def test_repetitive_texts_take_little_time(doc, item, matched):
+    block = dc.Items([1, 2], [item, "quite another item without any of it"])
+    start = time.monotonic()
+    got = block.matches(word_hashes([doc], "letters")[0])
+    assert [(m["item_id"], m["matched"]) for m in got] == [(1, matched)]
+    assert time.monotonic() - start < 10
+
+
+def test_seeds_of_many_items_in_one_text():
+    """A run of one word that every item holds leads to each item once."""
+    items = ["no no no no no " + f"k{i} l{i} m{i} n{i} o{i}" for i in range(300)]
+    block = dc.Items(list(range(300)), items)
+    start = time.monotonic()
+    got = block.matches(word_hashes(["no " * 20_000 + "k7 l7 m7 n7 o7"], "letters")[0])
+    assert [m["item_id"] for m in got] == list(range(300)) and {m["matched"] for m in got} == {5, 9, 10} - {9}
+    assert time.monotonic() - start < 30
