@@ -4,8 +4,8 @@ A vector is represented by its nearest pivots in order of nearness. Each task po
 share of the table in an inverted file: the list of a pivot holds, per vector, the pivot's position in
 that vector's order (`positions` if it is not among the nearest). A query reads the lists of its own
 nearest pivots and adds up |own position - posted position|, Spearman's footrule with location
-parameter. The `share` of the vectors with the smallest footrule is ranked again by the exact inner
-product in double precision. Every vector of the table is posted.
+parameter. The `share` of the vectors with the smallest footrule, at least 2 k, is ranked again by the
+exact inner product in double precision. Every vector of the table is posted.
 
 Nearness to pivots is measured after each vector got one more component, sqrt(M**2 - |v|**2) for the
 greatest norm M of the table (0 for queries). This turns the largest inner product into the smallest
@@ -148,7 +148,7 @@ def _pass(base: DataFrame, asked: pd.DataFrame, index: Pivots, k: int, share: fl
         for rows in _shards(batches):
             ids, v = rows["i"].to_numpy(), _matrix(rows["v"])
             lists = index.post(v)
-            take = min(len(ids), max(50 * k, int(share * len(ids))))
+            take = min(len(ids), max(2 * k, int(share * len(ids))))
             for at in range(0, len(q_id), 256):
                 got = []
                 for i, q, order in zip(q_id[at : at + 256], q_vec[at : at + 256], q_order[at : at + 256]):
