@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stemma.functions import vectors as V
+from stemma.operators import neighbours as NB
 from stemma.operators import simjoin
 from stemma.plans.registry import Registry
 from stemma.session import cut_lineage
@@ -340,3 +341,17 @@ def index_memory(spark, sf_dir):
     e = S.table(spark, sf_dir, "embeddings")
     a = e.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"))
     return a.select("n", "dims", F.round(F.col("n") * F.col("dims") * 4 / 1048576.0, 6).alias("mib"))
+
+
+@R.query(
+    "neighbour_graph_grown",
+    with_ctes(["vecs"], f""", n AS (SELECT vec_id, e FROM vecs WHERE vec_id % 7 <> 3), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(1 - {cos_sql('a.e', 'b.e')}, 12) AS dist FROM n a JOIN n b ON a.vec_id <> b.vec_id)
+ SELECT src, dst, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM p) WHERE r <= 10""").replace("FROM vecs)\n,", "FROM vecs),"),
+)
+def neighbour_graph_grown(spark, sf_dir, k: int = 10, limits=simjoin.Limits()):
+    """Ten nearest nodes of a graph built from two thirds of the vectors, grown by the rest and cleared of every seventh."""
+    nodes = S.vectors(spark, sf_dir).where("exists(e, x -> x <> 0)").select(F.col("vec_id").alias("id"), V.unit(F.col("e")).alias("v"))
+    cosine = NB.Measure(simjoin.cosine_gap, lambda d: np.arccos(np.clip(1.0 - d, -1.0, 1.0)))
+    g = NB.build(nodes.where("id % 3 <> 1"), k, cosine, limits)
+    g = NB.remove(NB.insert(g, nodes.where("id % 3 = 1")), nodes.where("id % 7 = 3").select("id"))
+    return NB.edges(g).select("src", "dst", F.round("dist", 6).alias("dist"))
