@@ -8,6 +8,7 @@ from stemma.functions import paths as P
 from stemma.functions import vectors as V
 from stemma.operators import edges as E
 from stemma.operators import graph as G
+from stemma.operators import ignore as IG
 from stemma.plans import dialect as d
 from stemma.plans.registry import Registry
 from stemma.sources import tables as S
@@ -303,6 +304,29 @@ def gitignore_filter(spark, sf_dir):
     return files(spark, sf_dir).where(~P.gitignored(F.col("path"), IGNORE_RULES)).select("path")
 
 
+_RULE_SQL = """SELECT 'doc_' || doc_id || '?.md' AS pattern, '/corpus' AS dir, '/doc_' || doc_id || '.\\.md(/|$)' AS rx FROM documents WHERE doc_id % 20 = 1
+ UNION ALL SELECT '/' || lang || '/' || source || '/doc_' || doc_id || '.*', '/corpus', '^/corpus/' || lang || '/' || source || '/doc_' || doc_id || '\\..*(/|$)' FROM documents WHERE doc_id % 20 = 2
+ UNION ALL SELECT 'doc_' || doc_id || '.txt', '/corpus', '/doc_' || doc_id || '\\.txt(/|$)' FROM documents WHERE doc_id % 20 = 3
+ UNION ALL SELECT '*_' || doc_id || '.p?', '/corpus', '_' || doc_id || '\\.p.(/|$)' FROM documents WHERE doc_id % 20 = 4"""
+
+
+@R.query(
+    "ignore_rules_rows",
+    sql(f"SELECT path FROM files WHERE NOT EXISTS (SELECT 1 FROM ({_RULE_SQL}) r WHERE regexp_matches(path, r.rx))"),
+)
+def ignore_rules_rows(spark, sf_dir):
+    """Files left by a table of rules, whose number grows with the documents."""
+    i, docs = F.col("doc_id").cast("string"), S.table(spark, sf_dir, "documents")
+    pattern = (
+        F.when(F.col("doc_id") % 20 == 1, F.concat(F.lit("doc_"), i, F.lit("?.md")))
+        .when(F.col("doc_id") % 20 == 2, F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/doc_"), i, F.lit(".*")))
+        .when(F.col("doc_id") % 20 == 3, F.concat(F.lit("doc_"), i, F.lit(".txt")))
+        .when(F.col("doc_id") % 20 == 4, F.concat(F.lit("*_"), i, F.lit(".p?")))
+    )
+    rules = docs.select(pattern.alias("pattern"), F.lit("/corpus").alias("dir"))
+    return IG.kept(files(spark, sf_dir).select("path"), rules)
+
+
 @R.query(
     "doc_survey",
     sql("""SELECT coalesce(t, 'ALL') AS doc_type, coalesce(lang, 'ALL') AS project, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM
