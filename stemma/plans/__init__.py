@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["vector", "text", "files", "bridge", "citation", "network", "catalog", "validation", "json", "layout", "stream", "document", "record", "index"]
+_MODULES = ["vector", "text", "files", "bridge", "citation", "network", "catalog", "validation", "json", "layout", "stream", "document", "record", "index", "html"]
 
 
 def _registries():
