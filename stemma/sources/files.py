@@ -106,17 +106,28 @@ def walk(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = N
     return files.where(~P.gitignored(p, rules)) if rules else files
 
 
-def read_bytes(files: DataFrame) -> DataFrame:
-    """(path, content) of listed files, each read by the task that holds its row."""
+def read_bytes(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, content) of listed files, each read by the task that holds its row.
+
+    With `errors` there is a column `error`, and a file that cannot be read keeps its row; else it ends the job.
+    """
     def run(batches):
         for pdf in batches:
             for path in pdf["path"]:
-                fs, base = _fs(path)
-                with fs.open_input_stream(base) as f:
-                    yield pd.DataFrame({"path": [path], "content": [f.read()]})
+                content, error = None, None
+                try:
+                    fs, base = _fs(path)
+                    with fs.open_input_stream(base) as f:
+                        content = f.read()
+                except OSError as e:
+                    if not errors:
+                        raise
+                    error = f"{type(e).__name__}: {e.strerror or e}"
+                row = {"path": [path], "content": [content]}
+                yield pd.DataFrame(row | {"error": [error]} if errors else row)
 
     spread = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
-    return spread.mapInPandas(run, "path string, content binary")
+    return spread.mapInPandas(run, "path string, content binary" + (", error string" if errors else ""))
 
 
 def scan(spark: SparkSession, root: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -175,12 +186,12 @@ def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     return [(r["line"], r["dir"]) for r in rules.orderBy("dir", "line").collect()]
 
 
-def read_contents(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
-    """path, text, encoding: UTF-8 when the bytes are valid, else Latin-1."""
-    f = read_bytes(walk(spark, root).where(F.lower(P.suffix(F.col("path"))).isin(suffixes)))
+def read_contents(spark: SparkSession, root: str, suffixes: list[str], errors: bool = False) -> DataFrame:
+    """path, text, encoding: UTF-8 when the bytes are valid, else Latin-1. With `errors`, files that cannot be read too."""
+    f = read_bytes(walk(spark, root).where(F.lower(P.suffix(F.col("path"))).isin(suffixes)), errors)
     raw = F.col("content").cast("string")
     ok = F.is_valid_utf8(raw)
-    return f.select("path", F.when(ok, raw).otherwise(F.decode("content", "ISO-8859-1")).alias("text"), F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"))
+    return f.select("path", F.when(ok, raw).otherwise(F.decode("content", "ISO-8859-1")).alias("text"), F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"), *(["error"] if errors else []))
 
 
 def load_text(spark: SparkSession, root: str) -> DataFrame:

@@ -115,6 +115,23 @@ def test_jobs_resume(spark, tree, tmp_path):
     assert tables["contains"].count() > 3
 
 
+def test_jobs_count_what_they_met(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a.txt").write_text("An algorithm. First, implement it.")
+    (root / "b.md").write_text("# Head\n\ntext")
+    (root / "gone.txt").symlink_to(root / "nothing.txt")
+    seen = {}
+    jobs.process(spark, str(root), out, counters=seen)
+    assert (seen["processed"], seen["failed"]) == (2, 1) and seen["seconds"] > 0
+    bad = jobs.ST.Table(spark, out, "results").read().where("NOT success").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in bad] == ["gone.txt"] and bad[0].error.startswith("FileNotFoundError")
+    (root / "gone.txt").unlink()
+    again = {}
+    jobs.process(spark, str(root), out, counters=again)
+    assert (again["processed"], again["failed"]) == (0, 0)
+
+
 def test_json_shape(spark):
     df = spark.createDataFrame([('{"id":1,"data":[1,2],"status":"ok","meta":{"t":1.5}}',), ("nope",), ("[]",)], "j string")
     rows = df.select(J.describe("j").alias("s")).select("s", J.complexity("s").alias("c"), J.data_type("s").alias("d"), J.patterns("s").alias("p")).collect()
