@@ -101,7 +101,7 @@ def repulsion(state: DataFrame, limits: Limits = Limits()) -> DataFrame:
     members = state.select("id", F.col("pos").alias("v"))
     probes = state.where("NOT is_anchor").select("id", F.col("pos").alias("v"), F.lit(REACH).alias("tau"))
     schema = T.StructType([state.schema["id"], T.StructField("force", T.ArrayType(T.DoubleType()))])
-    return metric_join(probes, members, _repel, schema, "euclid", limits)
+    return metric_join(probes, members, _repel, schema, "euclid", limits, few=True)
 
 
 def step(state: DataFrame, edges: DataFrame, dims: int, iteration: int, policy: Policy = fixed_policy, limits: Limits = Limits()) -> DataFrame:

@@ -89,7 +89,7 @@ def _within(g: Graph, new: DataFrame) -> DataFrame:
         out = pd.DataFrame({"src": a["id"].to_numpy()[src], "dst": b["id"].to_numpy()[dst], "dist": d[src, dst]})
         return out.sort_values(["dist", "dst"]).groupby("src", sort=False).head(k)  # no list takes more of one block
 
-    return metric_join(old.mapInPandas(angle, schema), new, kernel, g.lists.schema, "angle", g.limits)
+    return metric_join(old.mapInPandas(angle, schema), new, kernel, g.lists.schema, "angle", g.limits, few=True)
 
 
 def insert(g: Graph, nodes: DataFrame) -> Graph:
