@@ -83,13 +83,12 @@ def _arrive(spark, sf_dir, folder: str, k: int) -> None:
 
 
 def _in_arrivals(spark, sf_dir, name: str, run) -> None:
-    """Two arrivals drained together, then the query starts again on its checkpoint for the third."""
+    """Each arrival drained as one micro-batch, however many files it has; the query starts again on its checkpoint for the next."""
     folder = I.work_folder(spark, name)
     stateful.use_rocksdb(spark)
     for k in range(ARRIVALS):
         _arrive(spark, sf_dir, folder, k)
-        if k:
-            run(I.file_stream(spark, folder, 1))
+        run(I.file_stream(spark, folder))
 
 
 @R.query("stream_first_seen", "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -114,8 +113,8 @@ def stream_run_history(spark, sf_dir):
     t, ck = _setup(spark, "run-history")
 
     def run(stream):
-        rows = stream.select(F.col("user_id").alias("query_id"), "at", "value")
-        I.drain(stateful.run_history(rows, "query_id", "at", "value"), I.upsert_into(t, "query_id"), ck, "update")
+        rows = stream.select(F.col("user_id").alias("query_id"), "at", "value", "event_id")
+        I.drain(stateful.run_history(rows, "query_id", "at", "value", "event_id"), I.upsert_into(t, "query_id"), ck, "update")
 
     _in_arrivals(spark, sf_dir, "run-history-files", run)
     return t.read()

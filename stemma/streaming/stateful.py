@@ -43,26 +43,30 @@ def first_per_key(stream: DataFrame, key: str, order: str) -> DataFrame:
 _HISTORY = "execution_count long, peak double, first_at long, first double, last_at long, last double"
 
 
-def run_history(stream: DataFrame, key: str, at: str, value: str) -> DataFrame:
+def run_history(stream: DataFrame, key: str, at: str, value: str, order: str | None = None) -> DataFrame:
     """Runs, peak, first and last value of every key so far, given out for the keys of each batch.
 
-    Runs are ordered by `at` (whole microseconds), not by arrival; of runs at one time the earlier arrival counts.
+    Runs are ordered by `at` (whole microseconds), not by arrival; of runs at one time the earlier arrival counts, of
+    those that arrive in one batch that with the smallest `order` (whole numbers), if given.
     """
     kind = dict(stream.dtypes)[key]
     schema = f"{key} {kind}, execution_count long, peak_conveyance double, initial_conveyance double, current_conveyance double"
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, peak, first_at, first, last_at, last = state.get if state.exists else (0, None, None, None, None, None)
+        before_first, before_last = first_at, last_at
+        first_order = last_order = 0
         for part in parts:
-            part = part.sort_values(at, kind="stable")
+            part = part.sort_values([at, order] if order else at, kind="stable")
             lo, hi = part.iloc[0], part[part[at] == part[at].iloc[-1]].iloc[0]
+            o_lo, o_hi = (int(lo[order]), int(hi[order])) if order else (0, 0)
             n += len(part)
             top = part[value].max()
             peak = top if peak is None or top > peak else peak
-            if first_at is None or lo[at] < first_at:
-                first_at, first = int(lo[at]), float(lo[value])
-            if last_at is None or hi[at] > last_at:
-                last_at, last = int(hi[at]), float(hi[value])
+            if first_at is None or lo[at] < first_at or (lo[at] == first_at != before_first and o_lo < first_order):
+                first_at, first_order, first = int(lo[at]), o_lo, float(lo[value])
+            if last_at is None or hi[at] > last_at or (hi[at] == last_at != before_last and o_hi < last_order):
+                last_at, last_order, last = int(hi[at]), o_hi, float(hi[value])
         state.update((int(n), float(peak), first_at, first, last_at, last))
         yield pd.DataFrame([(k[0], int(n), float(peak), first, last)], columns=[key, "execution_count", "peak_conveyance", "initial_conveyance", "current_conveyance"])
 

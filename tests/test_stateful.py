@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stemma.plans import vector_plans
+from stemma.plans import stream_plans, vector_plans
 from stemma.streaming import ingest, stateful
 
 
@@ -46,6 +46,28 @@ def test_history_is_folded_over_restarts(spark, arrivals, tmp_path):
     assert got["a"] == (4, 9.0, 2.0, 9.0) and got["b"] == (1, -1.0, -1.0, -1.0)
 
 
+def _events(spark, folder, parts):
+    """Events whose arrivals are several files, the first events of a user in the last of them."""
+    n = 3000
+    rows = spark.range(n).selectExpr(
+        "id AS event_id", "id % 40 AS user_id", "concat('t', id) AS event_type", "cast(id % 97 AS double) AS value", "timestamp_micros(1700000000000000 + (id div 400) * 1000000) AS ts"
+    )
+    rows.repartition(parts).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_arrivals_of_many_files_keep_the_order_of_ids(spark, tmp_path):
+    sf = _events(spark, tmp_path / "many", 7)
+    got = {r.user_id: (r.event_id, r.event_type) for r in stream_plans.stream_first_seen(spark, sf).collect()}
+    assert got == {u: (u, f"t{u}") for u in range(40)}
+
+
+def test_history_of_arrivals_of_many_files(spark, tmp_path):
+    sf = _events(spark, tmp_path / "history", 7)
+    got = {r.query_id: (r.execution_count, r.initial_conveyance, r.current_conveyance) for r in stream_plans.stream_run_history(spark, sf).collect()}
+    assert got == {u: (75, float(u), float(min(i for i in range(2800, 3000) if i % 40 == u) % 97)) for u in range(40)}
+
+
 def test_chain_distance_matches_sets():
     rng = np.random.default_rng(0)
     chain = lambda: None if rng.random() < 0.15 else list(rng.choice(list("abcdef"), int(rng.integers(0, 5))))
