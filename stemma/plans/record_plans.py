@@ -13,6 +13,7 @@ from stemma.plans import dialect as d
 from stemma.plans.layout_plans import one_step
 from stemma.plans.registry import Registry
 from stemma.plans.text_plans import SCORED, scored
+from stemma.session import cut_lineage
 from stemma.sources import tables as S
 from stemma.sources.tables import with_ctes
 from stemma.streaming.ingest import work_folder
@@ -92,7 +93,7 @@ def training_filter(spark, sf_dir):
 @R.query("position_store", "SELECT count(*) AS stored, 0::BIGINT AS changed FROM embeddings")
 def position_store(spark, sf_dir):
     """Positions after a layout round, stored and compared with what is read back."""
-    state = one_step(spark, sf_dir).select("id", V.micro(F.col("pos")).alias("pos"))
+    state = cut_lineage(one_step(spark, sf_dir).select("id", V.micro(F.col("pos")).alias("pos")))
     t = ST.Table(spark, work_folder(spark, "positions"), "positions")
     t.write(state)
     return t.read().join(state.withColumnRenamed("pos", "was"), "id").agg(F.count("*").alias("stored"), F.count_if(F.col("pos") != F.col("was")).alias("changed"))
