@@ -1,9 +1,11 @@
 """Ignore rules as rows: any number of rules against any number of paths, nothing collected.
 
 Every rule is posted under one literal that a matching path must hold: a whole name, a suffix, the first
-or last letters of a name, an anchored folder, or three letters in a row. Paths are looked up by the same
-literals, and only the pairs that meet are checked with the rule's pattern. Names and suffixes need no
-check. Rules without any literal (such as `*`) meet every path.
+or last letters of a name, the beginning of an anchored path, or letters in a row. The longest such literal
+is taken whole, so that rules which differ only in their last letters do not meet each other's paths. Paths
+are looked up by the same literals, cut to the lengths that rules have, and only the pairs that meet are
+checked with the rule's pattern. Names and suffixes need no check. Rules without any literal (such as `*`)
+meet every path.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from stemma.session import cut_lineage
 
 HOT_ROWS = 100_000
 _WILD = re.compile(r"\*|\?|\[[^\]]*\]")
-_ENDS = (1, 2, 3)
+LONGEST = 64  # letters of a literal; more do not tell rules apart
+SIZED = ("path", "head", "tail", "gram")
 
 
 def rule_key(pattern: str, base: str) -> tuple[str, str, str | None]:
@@ -44,18 +47,19 @@ def rule_key(pattern: str, base: str) -> tuple[str, str, str | None]:
         lead = []
         for p in parts:
             if "\0" in p:
+                lead.append(p.split("\0")[0])
                 break
             lead.append(p)
         return "path", base.rstrip("/") + "".join("/" + p for p in lead), check
     if whole:
         return "name", max(whole, key=len), check
     first, last = parts[0].split("\0")[0], parts[-1].split("\0")[-1]
-    if len(last) >= len(first) and last:
-        return "tail", last[-_ENDS[-1] :], check
-    if first:
-        return "head", first[: _ENDS[-1]], check
     inner = max((x for p in parts for x in p.split("\0")), key=len, default="")
-    return ("gram", inner[:3], check) if len(inner) >= 3 else ("any", "", check)
+    if len(inner) >= 3 and len(inner) > max(len(first), len(last)):
+        return "gram", inner[:LONGEST], check
+    if len(last) >= len(first) and last:
+        return "tail", last[-LONGEST:], check
+    return ("head", first[:LONGEST], check) if first else ("any", "", check)
 
 
 def posted(rules: DataFrame) -> DataFrame:
@@ -69,21 +73,23 @@ def posted(rules: DataFrame) -> DataFrame:
     return cut_lineage(known.mapInPandas(run, "kind string, literal string, check string").distinct())
 
 
-def _literals(path: Column, kinds: set[str]) -> Column:
-    """array<struct<kind, literal>> of all that rules of these kinds could be posted under."""
+def _literals(path: Column, kinds: set[str], sizes: dict[str, list[int]]) -> Column:
+    """array<struct<kind, literal>> of all that rules of these kinds, with literals of these lengths, could be posted under."""
     every = F.split(path, "/")
     above = F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0)))
     suffix = lambda x: F.regexp_extract(x, r"(\.[^.]*)$", 1)
-    ends = lambda cut: F.flatten(F.transform(every, lambda x: F.array(*[cut(x, n) for n in _ENDS])))
-    grams = lambda x: F.when(F.length(x) >= 3, F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: x.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    fits = lambda kind, x: F.filter(F.array(*[F.lit(n) for n in sizes.get(kind, [0])]), lambda n: n <= F.length(x))
+    heads = lambda kind, x: F.transform(fits(kind, x), lambda n: x.substr(F.lit(1), n))
+    tails = lambda x: F.transform(fits("tail", x), lambda n: x.substr(F.length(x) - n + 1, n))
+    grams = lambda x: F.flatten(F.transform(fits("gram", x), lambda n: F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: x.substr(i, n))))
     found = {
         "name": every,
         "folder": above,
         "suffix": F.transform(every, suffix),
         "folder suffix": F.transform(above, suffix),
-        "path": F.concat(F.array(F.lit("")), P.ancestors(path), F.array(path, F.concat(path, F.lit("/")))),
-        "head": ends(lambda x, n: F.substring(x, 1, n)),
-        "tail": ends(lambda x, n: F.right(x, F.lit(n))),
+        "path": heads("path", path),
+        "head": F.flatten(F.transform(every, lambda x: heads("head", x))),
+        "tail": F.flatten(F.transform(every, tails)),
         "gram": F.flatten(F.transform(every, grams)),
         "any": F.array(F.lit("")),
     }
@@ -94,12 +100,15 @@ def _literals(path: Column, kinds: set[str]) -> Column:
 def ignored(paths: DataFrame, rules: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The distinct `path`s that any of the rules (pattern, dir of its ignore file) ignores."""
     post = posted(rules)
-    kinds = {r["kind"] for r in post.select("kind").distinct().collect()}  # at most nine
+    sized = F.when(F.col("kind").isin(*SIZED), F.length("literal")).otherwise(F.lit(0))
+    found = post.select("kind", sized.alias("n")).distinct().collect()  # at most nine kinds and the lengths of literals
+    kinds = {r["kind"] for r in found}
+    sizes = {k: sorted(r["n"] for r in found if r["kind"] == k) for k in kinds}
     known = paths.select("path").where("path IS NOT NULL").distinct()
     if not kinds:
         return known.limit(0)
     key = ["kind", "literal"]
-    rows = known.select("path", F.inline(_literals(F.col("path"), kinds)))
+    rows = known.select("path", F.inline(_literals(F.col("path"), kinds, sizes)))
     if measure(post)[1] <= limits.broadcast_bytes:
         met = rows.join(F.broadcast(post), key)
     else:  # frequent literals are dealt over several tasks

@@ -59,3 +59,16 @@ def test_many_rules_without_collecting(spark):
     assert {r.path for r in IG.ignored(paths, rules).collect()} == {"/base/name4/x", "/base/top7"}
     assert time.monotonic() - start < 60
     assert IG.kept(paths, rules.limit(0)).count() == 5 and IG.ignored(paths.limit(0), rules).count() == 0
+
+
+def test_rules_with_a_common_beginning_meet_few_paths(spark):
+    """Rules named by number share their first letters; each meets the paths of its own number."""
+    n = 2000
+    i = F.col("id").cast("string")
+    shapes = [F.concat(F.lit("doc_"), i, F.lit("?.md")), F.concat(F.lit("/a/doc_"), i, F.lit(".*")), F.concat(F.lit("*_"), i, F.lit(".p?")), F.concat(F.lit("*/doc_"), i, F.lit("*"))]
+    rules = spark.range(n).select(F.explode(F.array(*shapes)).alias("pattern"), F.lit("/base").alias("dir"))
+    post = IG.posted(rules)
+    most = post.groupBy("kind", "literal").count().agg(F.max("count")).first()[0]
+    assert most <= 2
+    paths = spark.createDataFrame([(p,) for p in ["/base/x/doc_17.md", "/base/a/doc_1999.md", "/base/b/doc_2000.md", "/base/q_5.py", "/base/a/oc_3.md"]], "path string")
+    assert {r.path for r in IG.ignored(paths, rules).collect()} == {"/base/x/doc_17.md", "/base/a/doc_1999.md", "/base/b/doc_2000.md", "/base/q_5.py"}
