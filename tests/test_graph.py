@@ -138,3 +138,10 @@ def test_velocity_and_dominant_type(spark):
     assert [r.v for r in df.select(O.citation_velocity(F.col("c"), F.col("y")).alias("v")).collect()] == [10.0, 40.0, 0.0]
     t = spark.createDataFrame([("implements", False), ("builds_on", False), ("builds_on", False)], "citation_type string, is_methodological boolean")
     assert t.agg(*O.C.dominant_type()).first()[0] == "implementation"
+
+
+def test_author_numbers_follow_ids(spark):
+    """Authors with neighbouring ids share the words of co-author sets."""
+    df = spark.range(5000).selectExpr("id * 3 AS author_id").repartition(7)
+    got = {r.author_id: r.num for r in O.author_numbers(df).collect()}
+    assert got == {3 * i: i for i in range(5000)}
