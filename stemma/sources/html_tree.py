@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset(["script", "style", "template"])
@@ -27,6 +29,7 @@ ENDS |= {x: {"tr", "td", "th", "thead", "tbody", "tfoot", "caption"} for x in ("
 BOUNDS = frozenset("table ul ol dl select".split())
 KINDS = {"a": "link", "img": "image", "pre": "code", "code": "code", "math": "formula", "table": "table", "p": "paragraph", "li": "item"} | dict.fromkeys(sorted(HEADINGS), "heading")
 TEXTS = frozenset(KINDS) | {"td", "th", "caption", "figcaption", "title"}
+BATCH_ELEMENTS = 20_000
 WIDEST_SPAN = 1000  # what browsers allow for a colspan; a rowspan ends with its table
 
 _ELEMENT = "node int, parent int, depth int, tag string, attrs map<string,string>, text string, up string, table int, caption string, language string, row int, col int, rowspan int, colspan int"
@@ -158,16 +161,37 @@ def parse(html: str | None) -> list[dict]:
     return tree.elements
 
 
-def trees(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds `elements` in page order; `html` is left out."""
-    names = [c.split()[0] for c in _ELEMENT.split(", ")]
+def _packed(pages: list[list[dict]]) -> pa.Array:
+    """Elements of pages as one Arrow array, field by field."""
+    flat = [e for page in pages for e in page]
+    kinds = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    fields, names = [], []
+    for name, kind in (c.split(" ", 1) for c in _ELEMENT.split(", ")):
+        values = [list(e[name].items()) for e in flat] if name == "attrs" else [e.get(name) for e in flat]
+        fields.append(pa.array(values, kinds[kind]))
+        names.append(name)
+    ends = pa.array(np.cumsum([0] + [len(page) for page in pages]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names))
 
-    @F.pandas_udf(f"array<struct<{','.join(c.replace(' ', ':', 1) for c in _ELEMENT.split(', '))}>>")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([[{n: e.get(n) for n in names} for e in parse(x)] for x in column], dtype=object)
 
+def trees(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds `elements` in page order; `html` is left out. A task holds the elements of a few pages at a time."""
     keep = [c for c in pages.columns if c not in (html, "elements")]
-    return pages.select(*keep, run(F.col(html)).alias("elements"))
+
+    def run(batches):
+        for b in batches:
+            texts, rest = b.column(len(keep)), [b.column(i) for i in range(len(keep))]
+            first, parsed, n = 0, [], 0
+            for i in range(b.num_rows):
+                parsed.append(parse(texts[i].as_py()))
+                n += len(parsed[-1])
+                if n >= BATCH_ELEMENTS or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([c.slice(first, len(parsed)) for c in rest] + [_packed(parsed)], names=[*keep, "elements"])
+                    first, parsed, n = i + 1, [], 0
+
+    kind = f"array<struct<{','.join(c.replace(' ', ':', 1) for c in _ELEMENT.split(', '))}>>"
+    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("elements", T._parse_datatype_string(kind))])
+    return pages.select(*keep, html).mapInArrow(run, schema)
 
 
 def squeezed(text: Column) -> Column:

@@ -51,3 +51,21 @@ def test_long_page_in_proportion():
     t = time.time()
     e = H.parse("<p>a b" * 100_000 + "<div>" * 3_000 + "x")
     assert len(e) == 103_000 and time.time() - t < 20
+
+
+def test_pages_are_parsed_once_and_given_out_in_small_batches(spark, monkeypatch):
+    """A page is parsed once however its elements are used, and a batch holds few elements."""
+    monkeypatch.setattr(H, "BATCH_ELEMENTS", 30)
+    seen = spark.sparkContext.accumulator(0)
+    parse = H.parse
+
+    def counted(html):
+        seen.add(1)
+        return parse(html)
+
+    monkeypatch.setattr(H, "parse", counted)
+    pages = spark.createDataFrame([(i, None if i == 7 else f"<p class=c{i}>" * (i % 5) + "<h1>x</h1>") for i in range(100)], "page long, html string")
+    got = H.objects(H.trees(pages)).groupBy("page", "kind").count().collect()
+    assert seen.value == 100
+    want = {(i, "heading"): 1 for i in range(100) if i != 7} | {(i, "paragraph"): i % 5 for i in range(100) if i != 7 and i % 5}
+    assert {(r.page, r.kind): r["count"] for r in got} == want
