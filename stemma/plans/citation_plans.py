@@ -103,6 +103,11 @@ def _bag_sql(name: str, source: str, key: str, text: str, dims: int = 64) -> str
 _WHOLE = "context_before || ' ' || citation_text || ' ' || context_after"
 
 
+def word_similarity(said, cited):
+    """Cosine itself: taken from one and back, a distance loses the last digits and rounds differently."""
+    return V.cosine(said, cited)
+
+
 @R.query(
     "context_influence",
     sql(f""", cw AS (SELECT *, citing || '/' || cited || '/' || paragraph AS k, {_WHOLE} AS whole FROM ctx), {_bag_sql('ce', 'cw', 'k', 'whole')}, {_bag_sql('de', 'docs_ann', 'doc_id', 'text')},
@@ -116,7 +121,7 @@ def context_influence(spark, sf_dir):
     whole = c.select("k", F.concat_ws(" ", "context_before", "citation_text", "context_after").alias("whole"))
     said = EM.embed(whole, "k", "whole", model).select("k", F.col("embedding").alias("x"))
     cited = EM.embed(S.docs_ann(spark, sf_dir).select(F.col("doc_id").alias("cited"), "text"), "cited", "text", model).select("cited", F.col("embedding").alias("y"))
-    j = c.join(said, "k").join(cited, "cited").withColumn("similarity", 1.0 - V.distance(F.col("x"), F.col("y"), "cosine"))
+    j = c.join(said, "k").join(cited, "cited").withColumn("similarity", word_similarity(F.col("x"), F.col("y")))
     return j.withColumn("influence", C.influence(F.col("similarity"))).select("citing", "cited", "paragraph", F.round("similarity", 6).alias("similarity"), F.round("influence", 6).alias("influence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators import citations as O
 from stemma.operators import graph as G
+from stemma.plans import citation_plans
 
 
 def graph(spark, edges, n):
@@ -145,3 +146,10 @@ def test_author_numbers_follow_ids(spark):
     df = spark.range(5000).selectExpr("id * 3 AS author_id").repartition(7)
     got = {r.author_id: r.num for r in O.author_numbers(df).collect()}
     assert got == {3 * i: i for i in range(5000)}
+
+
+def test_similarity_keeps_the_digits_of_the_cosine(spark):
+    """1 / 128 by square roots lies just below the half of a millionth."""
+    x, y = [1.0] * 4 + [2.0] * 31 + [0.0] * 127, [1.0] + [0.0] * 34 + [1.0] * 127
+    df = spark.createDataFrame([(x, y)], "x array<double>, y array<double>")
+    assert df.select(F.round(citation_plans.word_similarity(F.col("x"), F.col("y")), 6)).first()[0] == 0.007812
