@@ -87,6 +87,20 @@ def test_betweenness_matches_brute_force(spark):
     assert [got[i] for i in range(12)] == pytest.approx(brandes(12, edges))
 
 
+def test_betweenness_carried_and_joined(spark):
+    """Small edge tables travel to the tasks: a few jobs however deep the graph is. Larger ones are joined, level by level."""
+    edges = random_edges(n=60, m=130) + [(i, i + 1) for i in range(30)] + [(7, 1000), (1000, 8)]
+    nodes, df = graph(spark, edges, 60)
+    sc = spark.sparkContext
+    sc.setJobGroup("betweenness", "betweenness")
+    carried = {r.id: r.betweenness for r in G.betweenness(nodes, df).collect()}
+    sc.setJobGroup("after", "after")
+    assert len(sc.statusTracker().getJobIdsForGroup("betweenness")) < 20
+    joined = {r.id: r.betweenness for r in G.betweenness(nodes, df, block=40, carried_bytes=0).collect()}
+    assert carried == pytest.approx(joined) and len(carried) == 60
+    assert {r.betweenness for r in G.betweenness(nodes, df.limit(0)).collect()} == {0.0}
+
+
 def test_paths_and_traversal(spark):
     _, e = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 1), (1, 3)], 4)
     start, goal = spark.createDataFrame([(0,)], "id long"), spark.createDataFrame([(3,)], "id long")
