@@ -28,18 +28,21 @@ def _lists(values, key):
     return F.element_at(F.array(*[F.array(*[F.lit(v) for v in vs]).cast("array<string>") for vs in values]), (key + 1).cast("int"))
 
 
-def meta(spark, sf_dir):
+def context(spark, sf_dir):
     v = S.v3(spark, sf_dir)
     i = F.col("id")
     n = S.table(spark, sf_dir, "embeddings").count()
     refs = F.transform(F.sequence(F.lit(1), (i % 3 + 1).cast("int")), lambda j: (i * 7 + j * 13) % n)
-    text = S.docs_ann(spark, sf_dir).select(F.col("doc_id").alias("id"), *[c.alias(k) for k, c in B.evidence_flags(F.col("text")).items()])
-    base = v.select(
+    return v.select(
         "id", F.array(F.col("label").cast("long"), i % 7).alias("authors"), F.lit(None).cast("string").alias("venue"), F.array(F.col("label").cast("long"), i % 3 + 10).alias("keywords"),
         refs.alias("references"), _lists(THEORY_LISTS, i % 4).alias("theory_components"), _lists(PRACTICE_LISTS, i % 3).alias("practice_components"), "fid",
         (((i * 41 + 3) % 101) / F.lit(100.0)).alias("abstraction"),
     )
-    return base.join(text, "id", "left")
+
+
+def meta(spark, sf_dir):
+    text = S.docs_ann(spark, sf_dir).select(F.col("doc_id").alias("id"), *[c.alias(k) for k, c in B.evidence_flags(F.col("text")).items()])
+    return context(spark, sf_dir).join(text, "id", "left")
 
 
 MIN = 0.004
@@ -49,6 +52,11 @@ def bridges(spark, sf_dir, min_strength: float = MIN):
     return B.detect(docs(spark, sf_dir), meta(spark, sf_dir), min_strength)
 
 
+def strong(spark, sf_dir, min_strength: float = MIN):
+    """Bridges before their evidence."""
+    return B.strong_pairs(docs(spark, sf_dir), context(spark, sf_dir), min_strength)
+
+
 def _match_sql(a: str, b: str) -> str:
     x, y = f"lower({a})", f"lower({b})"
     rel = "CASE " + " ".join(
@@ -101,7 +109,7 @@ def bridge_pairs(spark, sf_dir):
 
 @R.query("bridge_context", sql(f"SELECT theory, practice, round(context, 6) AS context, round(pow(context, 1.7), 6) AS amplification FROM b WHERE strength >= {MIN}"))
 def bridge_context(spark, sf_dir):
-    return bridges(spark, sf_dir).select("theory", "practice", F.round("context", 6).alias("context"), F.round("amplification", 6).alias("amplification"))
+    return strong(spark, sf_dir).select("theory", "practice", F.round("context", 6).alias("context"), F.round("amplification", 6).alias("amplification"))
 
 
 @R.query("bridge_evidence", sql(f"SELECT theory, practice, array_to_string(concepts, '|') AS concepts, array_to_string(steps, '|') AS steps FROM b WHERE strength >= {MIN}"))
@@ -114,13 +122,13 @@ def bridge_evidence(spark, sf_dir):
     sql(f"""SELECT id, CASE WHEN act < 0.3 THEN 'theory' ELSE 'practice' END AS type, id::VARCHAR AS title FROM d WHERE id IN (SELECT theory FROM b WHERE strength >= {MIN} UNION SELECT practice FROM b WHERE strength >= {MIN})"""),
 )
 def bridge_graph_nodes(spark, sf_dir):
-    return B.graph_nodes(bridges(spark, sf_dir), docs(spark, sf_dir).withColumn("title", F.lit(None).cast("string")))
+    return B.graph_nodes(strong(spark, sf_dir), docs(spark, sf_dir).withColumn("title", F.lit(None).cast("string")))
 
 
 @R.query("bridge_chains", sql("SELECT theory::VARCHAR AS path, 0::INT AS n_edges FROM b WHERE FALSE"))
 def bridge_chains(spark, sf_dir):
     """Chains over bridges only: always empty, since no practice document is a theory document."""
-    b = cut_lineage(bridges(spark, sf_dir).select("theory", "practice"))
+    b = cut_lineage(strong(spark, sf_dir).select("theory", "practice"))
     e = b.select(F.col("theory").alias("src"), F.col("practice").alias("dst"))
     out = G.simple_paths(b.select("theory").distinct(), b.select("practice").distinct(), e, 4)
     return out.select(F.array_join("path", ">").alias("path"), "n_edges")

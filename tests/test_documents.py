@@ -209,6 +209,40 @@ def test_gated_pairs(spark, limits):
     assert {(r.theory, r.practice) for r in B.gated_pairs(docs, 0.3, limits).collect()} == want and want
 
 
+def _bridge_tables(spark, n=48):
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(size=(n, 9))) + 0.2
+    docs = [(i, v[:3].tolist(), v[3:6].tolist(), v[6:].tolist(), 0.1 if i % 2 else 0.9, 0.9, 0.5, 2000 + i % 4, f"/p/{i % 3}/{i}") for i, v in enumerate(x)]
+    meta = [
+        (i, [i % 5, i % 5, i % 3], None if i % 4 else f"v{i % 3}", [] if i % 7 == 0 else [f"k{i % 6}", "all"], [int(y) for y in rng.integers(0, n, 3)], ["embedding theory", "Entropy"][: i % 3],
+         ["vector store", "entropy code"][: i % 3], 0.9, (i % 10) / 10, i % 3 == 0, i % 3 == 1, i % 4 == 0, i % 5 == 0, i % 4 == 1, i % 5 == 1)
+        for i in range(n)
+    ]
+    kinds = "id long, authors array<long>, venue string, keywords array<string>, references array<long>, theory_components array<string>, practice_components array<string>, fid double, abstraction double"
+    flags = ", ".join(f"{k} boolean" for k in ("algorithm", "code", "formula", "compute", "theorem", "benchmark"))
+    d = spark.createDataFrame(docs, "id long, w array<double>, t array<double>, c array<double>, act double, fid double, clarity double, year int, path string")
+    return d, spark.createDataFrame(meta, f"{kinds}, {flags}")
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=0, pair_shard_rows=9, grid=True)], ids=["broadcast", "grid"])
+def test_context_in_the_join_is_that_of_the_columns(spark, limits, monkeypatch):
+    """The join counts shared lists itself and hands out only bridges; context, concepts and steps are those of the column functions."""
+    docs, meta = _bridge_tables(spark)
+    m = meta.select(F.struct(*meta.columns).alias("m"))
+    pairs = B.gated_pairs(docs, 0.05, limits)
+    j = pairs.join(m.select(F.col("m.id").alias("theory"), F.col("m").alias("t")), "theory").join(m.select(F.col("m.id").alias("practice"), F.col("m").alias("p")), "practice")
+    strength = F.col("where_sim") * F.col("what_sim") * F.col("conv_sim") * F.pow(B.context_score("t", "p"), F.lit(1.7))
+    concepts = B.shared_concepts(F.col("t.theory_components"), F.col("p.practice_components"))
+    j = j.where(strength >= 0.05).select("theory", "practice", B.context_score("t", "p"), concepts, B.transformation_path("t", "p"))
+    want = sorted(tuple(r) for r in j.collect())
+    for most in (B.LISTS_MET, 0):
+        monkeypatch.setattr(B, "LISTS_MET", most)
+        got = B.detect(docs, meta, 0.05, limits=limits).select("theory", "practice", "context", "concepts", "steps")
+        assert sorted(tuple(r) for r in got.collect()) == want and 20 < len(want) < pairs.count()
+    strong = B.strong_pairs(docs, meta, 0.05, limits=limits)
+    assert {(r.theory, r.practice) for r in strong.collect()} == {r[:2] for r in want}
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=0, block_rows=10, probe_rows=8, max_pivots=5)], ids=["broadcast", "blocks"])
 @pytest.mark.parametrize("scale", [1.0, 1e-4])
 def test_repulsion(spark, limits, scale):
