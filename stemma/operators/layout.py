@@ -29,6 +29,7 @@ LEARNING_RATE = 0.1
 ANCHOR_FIDELITY = 0.8
 INITIAL_SPREAD = 0.0001
 CLOSE_TOGETHER = 65_536
+CELLS_TOGETHER = 262_144
 
 Policy = Callable[[Column, Column, Column], Column]
 
@@ -78,22 +79,38 @@ def _repel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     p, q = V.matrix(a["v"]), V.matrix(b["v"])
     centre = q.mean(0)
     p, q = p - centre, q - centre
-    sp, sq = (p * p).sum(1), (q * q).sum(1)
-    d2 = np.maximum(sp[:, None] + sq[None, :] - 2.0 * (p @ q.T), 0.0)
-    same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]
-    close = (d2 <= 1e-8 * max(sp.max(), sq.max(), 1e-300)) & ~same
-    d = np.sqrt(d2)
-    far = (d < REACH) & ~close & ~same & (d > 0)
-    w = np.where(far, REPULSION / np.where(far, d * (d + SOFTENING), 1.0), 0.0)
+    ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+    sq = (q * q).sum(1)
+    scale = max((p * p).sum(1).max(), sq.max(), 1e-300)
+    step = max(8, CELLS_TOGETHER // len(q))
+    force = [np.zeros((0, q.shape[1]))] + [_pushed(p[lo : lo + step], q, sq, ids[lo : lo + step], others, scale) for lo in range(0, len(p), step)]
+    return pd.DataFrame({"id": ids, "force": list(np.concatenate(force))})
+
+
+def _pushed(p: np.ndarray, q: np.ndarray, sq: np.ndarray, ids: np.ndarray, others: np.ndarray, scale: float) -> np.ndarray:
+    """Force on each of a few nodes; their squares against all others stay in the cache."""
+    d2 = p @ (-2.0 * q.T)
+    d2 += (p * p).sum(1)[:, None]
+    d2 += sq[None, :]
+    np.maximum(d2, 0.0, out=d2)
+    near = np.flatnonzero(d2 <= 1e-8 * scale)
+    d2.ravel()[near] = 4.0 * REACH * REACH  # the node itself, and those taken below
+    d = np.sqrt(d2, out=d2)
+    reached = d < REACH
+    d *= d + SOFTENING
+    w = np.where(reached, REPULSION, 0.0)
+    w /= d
     force = p * w.sum(1)[:, None] - w @ q
-    rows, cols = np.nonzero(close)
+    rows, cols = np.divmod(near, len(q))
+    other = ids[rows] != others[cols]
+    rows, cols = rows[other], cols[other]
     for at in range(0, len(rows), CLOSE_TOGETHER):  # too near for the expanded square: take the differences themselves
         i = rows[at : at + CLOSE_TOGETHER]
         diff = p[i] - q[cols[at : at + CLOSE_TOGETHER]]
         n = np.sqrt((diff * diff).sum(1))
         ok = (n > 0) & (n < REACH)
         np.add.at(force, i[ok], diff[ok] * (REPULSION / (n[ok] * (n[ok] + SOFTENING)))[:, None])
-    return pd.DataFrame({"id": a["id"].to_numpy(), "force": list(force)})
+    return force
 
 
 def repulsion(state: DataFrame, limits: Limits = Limits()) -> DataFrame:
