@@ -38,6 +38,8 @@ EQUATION_PATTERNS = [
     rf"(^|{NOT_W})(sum|product|integral)({NOT_W}|$)",
     r"Σ|Π|√",
 ]
+# Texts of which any match of an equation pattern holds one.
+NEEDED = dict(zip(EQUATION_PATTERNS, (["="], ["\\"], ["$"], ["∑", "∏", "∫", "∂", "∇", "∆"], ["sum", "product", "integral"])))
 EQUATION_WORDS = ["equation", "formula", "theorem", "lemma", "proof"]
 EXAMPLE_PATTERNS = [
     r"for example",
@@ -119,12 +121,15 @@ def has(c: Column, pattern: str, multiline: bool = False) -> Column:
     """
     if not re.search(r"[\\.\[\](){}*+?^$|]", pattern):
         return F.contains(c, F.lit(pattern))
-    found = c.rlike(("(?md)" if multiline else "(?d)") + pattern)
+    if not re.search(r"[\\.\[\](){}*+?^$]", pattern):
+        return any_word(c, pattern.split("|"))
+    # one letter before the sign is there whenever several are, and is found without trying each start of a word
+    found = c.rlike(("(?md)" if multiline else "(?d)") + (r"[A-Za-z]\s*=\s*[^=]" if pattern == EQUATION_PATTERNS[0] else pattern))
     lead = re.match(r"[A-Za-z_` ]{3,}(?![*?{|A-Za-z_` ])", pattern)
     if lead and "|" not in pattern:
         return F.contains(c, F.lit(lead.group(0))) & found
-    if pattern == EQUATION_PATTERNS[0]:
-        return F.contains(c, F.lit("=")) & found
+    if pattern in NEEDED:
+        return any_word(c, NEEDED[pattern]) & found
     return found
 
 
@@ -146,7 +151,8 @@ def count_words(c: Column, words: list[str]) -> Column:
 
 def count_matches(c: Column, patterns: list[str], multiline: bool = False) -> Column:
     flag = "(?md)" if multiline else "(?d)"
-    return reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(flag + p)) for p in patterns])
+    count = lambda p: F.regexp_count(c, F.lit(flag + p))
+    return reduce(lambda a, b: a + b, [F.when(any_word(c, NEEDED[p]), count(p)).otherwise(0) if p in NEEDED else count(p) for p in patterns])
 
 
 def words_of(c: Column) -> Column:
@@ -184,9 +190,9 @@ def with_flags(df: DataFrame, text: str = "text") -> DataFrame:
     t, low = F.col("_t"), F.col("_low")
     return df.withColumns(
         {
-            "has_algorithms": any_match(low, ALGORITHM_PATTERNS, True) | any_word(low, ALGORITHM_WORDS),
-            "has_equations": any_match(t, EQUATION_PATTERNS) | any_word(low, EQUATION_WORDS),
-            "has_examples": any_match(low, EXAMPLE_PATTERNS) | F.contains(low, F.lit("example")),
+            "has_algorithms": any_word(low, ALGORITHM_WORDS) | any_match(low, ALGORITHM_PATTERNS, True),
+            "has_equations": any_word(low, EQUATION_WORDS) | any_match(t, EQUATION_PATTERNS),
+            "has_examples": F.contains(low, F.lit("example")) | any_match(low, EXAMPLE_PATTERNS),
             "has_code": any_match(t, CODE_PATTERNS, True),
             "has_procedures": any_match(low, PROCEDURE_PATTERNS) | has(t, NUMBERED_STEP, True),
         }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -26,24 +25,36 @@ class HashingModel:
     It has no learned meaning and is never presented as one.
     """
 
+    WORDS_HELD = 1 << 17
+
     def __init__(self, dims: int = 64):
         self.dims = dims
+        self.seen = _Places(dims)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
-        seen: dict[str, tuple[int, float]] = {}
+        seen = self.seen
+        if len(seen) > self.WORDS_HELD:
+            seen.clear()
         for row, text in enumerate(texts):
-            for w in re.split(r"[ \t\n\x0b\x0c\r]+", text or ""):
-                if not w:
-                    continue
-                at = seen.get(w)
-                if at is None:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    at = seen[w] = (int(h[:8], 16) % self.dims, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-                out[row, at[0]] += at[1]
+            words = (text or "").encode().split()  # at the white space of ASCII
+            n = np.bincount(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), minlength=2 * self.dims)
+            out[row] = n[: self.dims] - n[self.dims :]
         return out
 
 
+class _Places(dict):
+    """Dimension of each word met so far, that of negative words `dims` higher."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, word: bytes) -> int:
+        h = hashlib.md5(word).hexdigest()
+        at = self[word] = int(h[:8], 16) % self.dims + (self.dims if int(h[8], 16) % 2 else 0)
+        return at
+
+
 def embed(df: DataFrame, key: str | list[str], text: str, factory: Callable[[], Model], truncate: int | None = None, batch: int = 32) -> DataFrame:
     """key columns and `embedding`; the model is made once per task and fed batches of texts."""
     keys = [key] if isinstance(key, str) else key

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,30 @@ def test_ocr_rules(spark):
     df = spark.createDataFrame([(95.0, 50, 1), (65.0, 500, 2), (10.0, 0, 0)], "c double, n int, p int")
     rows = df.select(X.ocr_quality(F.col("c")).alias("q"), X.needs_ocr(F.col("n"), F.col("p")).alias("o")).collect()
     assert [(r.q, r.o) for r in rows] == [("excellent", True), ("poor", False), ("very_poor", True)]
+
+
+def test_equation_patterns_are_tried_only_on_texts_that_can_match(spark):
+    texts = ["", "ab = c", "a == b", "a=", "1 = 2", "é= x", "ab=cd=e x =\ny", "\\frac{1}", "\\ frac", "$x$ $", "a$b", "sum", "the sum of", "summary", "_sum", "x∑y", "Σ", "integral\n", "product=3"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    t = F.col("t")
+    for p in X.EQUATION_PATTERNS:
+        row = df.select(X.has(t, p).alias("a"), t.rlike("(?d)" + p).alias("b"), X.count_matches(t, [p]).alias("n"), F.regexp_count(t, F.lit("(?d)" + p)).alias("m"))
+        assert all(r.a == r.b and r.n == r.m for r in row.collect()), p
+        assert "contains" in str(X.has(t, p)), p
+
+
+def test_hashing_model_counts_every_word_once():
+    import hashlib
+
+    from stemma.operators import embedding
+
+    texts = ["a b  a\tc\x0bd\x0ce\r\nf", "", None, "é\xa0x é y \x1cz"]
+    want = np.zeros((4, 16))
+    for i, text in enumerate(texts):
+        for w in filter(None, re.split(r"[ \t\n\x0b\x0c\r]+", text or "")):
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[i, int(h[:8], 16) % 16] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+    model = embedding.HashingModel(16)
+    assert (model(texts) == want).all()
+    model.WORDS_HELD = 2  # held words are given up, not the result
+    assert (model(texts) == want).all() and (model(texts) == want).all()
