@@ -105,3 +105,28 @@ def test_hashes_follow_words():
     assert [len(x) for x in word_hashes(texts, "letters")] == [2, 2, 0, 0, 2, 1, 2]
     w = np.arange(9, dtype=np.uint64)
     assert len(windows(w, 5)) == 5 and len(windows(w[:3], 5)) == 1 and windows(w[2:7], 5)[0] == windows(w, 5)[2]
+
+
+def test_shingles_of_two_components_are_sent_in_few_bytes(spark, monkeypatch):
+    import numpy as np
+
+    from stemma.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "RANGE", 300)
+    monkeypatch.setattr(jaccard, "SENT_TOGETHER", 200)
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(-(2**63), 2**63, 900)
+    rows = [(int(r), [int(t) for t in rng.choice(tokens, rng.integers(0, 9), replace=False)] + [-1, 7]) for r in rng.integers(-3, 2**40, 250)]
+    rows += [(5, [11, 12]), (5, [11]), (6, []), (rows[0][0], [2**63 - 1]), (6, [-(2**63)]), (8, [-(2**63)])]
+    roots = {}
+    for r, p in rows:
+        for t in p:
+            roots.setdefault(t, set()).add(r)
+    df = spark.createDataFrame(rows, "root long, prefix array<long>").repartition(5)
+    got = [r.token for r in jaccard._mixed(df).collect()]
+    assert sorted(got) == sorted(t for t, rs in roots.items() if len(rs) > 1)
+    assert jaccard._mixed(df.limit(0)).count() == 0
+    many = np.sort(rng.integers(0, 2**63, 100_000).astype(np.uint64))
+    import zlib
+
+    assert len(zlib.compress(jaccard._planes(np.diff(many, prepend=np.uint64(0))), 1)) < 7 * len(many)
