@@ -130,3 +130,44 @@ def test_shingles_of_two_components_are_sent_in_few_bytes(spark, monkeypatch):
     import zlib
 
     assert len(zlib.compress(jaccard._planes(np.diff(many, prepend=np.uint64(0))), 1)) < 7 * len(many)
+
+
+def test_pairs_that_cannot_link_are_no_candidates(spark):
+    """Texts that share a third of their words meet in their prefixes, but what they share there shows that it is too little."""
+    rng = np.random.default_rng(3)
+    word = lambda: "p" + str(rng.integers(0, 10**9))
+    docs = []
+    for _ in range(12):
+        block = [word() for _ in range(100)]
+        docs += [" ".join(block + [word() for _ in range(200)]) for _ in range(2)]
+        whole = [word() for _ in range(300)]
+        docs += [" ".join(whole), " ".join(whole[:-20] + [word() for _ in range(20)])]
+    docs = list(enumerate(docs))
+    table = spark.createDataFrame(docs, "id long, t string")
+    rows = jaccard.describe(table, jaccard.WIDTH)
+    roots = spark.createDataFrame([], "node long, root long")
+    found = {(r["a"], r["b"]) for r in jaccard._candidates(rows, roots).collect()}
+    links = {(4 * k + 2, 4 * k + 3) for k in range(12)}
+    assert found == links
+    got = jaccard.near_duplicates(table, doc_id="id", text="t").collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs)
+
+
+def test_posted_matches_never_refuse_a_link(spark):
+    """Pairs right at the similarity that is needed, of equal and of unequal size."""
+    rng = np.random.default_rng(4)
+    word = lambda: "q" + str(rng.integers(0, 10**9))
+    docs = []
+    for n in range(9, 160, 3):
+        whole = [word() for _ in range(n + 4)]
+        for cut in ((n // 9), n // 5):  # n shingles each, and a shorter one
+            docs.append(" ".join(whole))
+            docs.append(" ".join(whole[cut:] + [word() for _ in range(cut)] if cut == n // 9 else whole[cut:]))
+            whole = [word() for _ in range(n + 4)]
+    docs = list(enumerate(docs))
+    table = spark.createDataFrame(docs, "id long, t string")
+    rows = jaccard.describe(table, jaccard.WIDTH)
+    found = {(r["a"], r["b"]) for r in jaccard._candidates(rows, spark.createDataFrame([], "node long, root long")).collect()}
+    sets = {i: shingles(t) for i, t in docs}
+    links = {(i, i + 1) for i in range(0, len(docs), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    assert len(links) > 50 and links <= found
