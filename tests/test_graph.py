@@ -101,6 +101,32 @@ def test_betweenness_carried_and_joined(spark):
     assert {r.betweenness for r in G.betweenness(nodes, df.limit(0)).collect()} == {0.0}
 
 
+def test_betweenness_of_chains_and_circles(spark):
+    """Nodes whose one arc leads on share a search; the tasks that search stay many, whatever the shuffle is set to."""
+    rng, shared = np.random.default_rng(3), 0
+    for _ in range(60):
+        n = int(rng.integers(4, 14))
+        edges = sorted({(i, int(b)) for i, d in enumerate(rng.choice([0, 1, 1, 1, 2, 3], n)) for b in rng.integers(0, n, d) if b != i})
+        if edges:
+            src, dst = (np.array(x) for x in zip(*edges))
+            arcs, got = G._Arcs(src, dst, np.unique(src)), np.zeros(n)
+            for step in (1, 3):
+                total = np.zeros(len(arcs.names))
+                for at in range(0, len(arcs.roots), step):
+                    G._searched(arcs, arcs.roots[at : at + step], total, np.arange(1))
+                got[arcs.names] = total / ((n - 1) * (n - 2))
+                assert got.tolist() == pytest.approx(brandes(n, edges))
+            shared += len(np.unique(src)) - len(arcs.roots)
+    assert shared > 100
+    nodes, df = graph(spark, random_edges(), 24)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        assert G._carried_dependencies(nodes.distinct(), df).rdd.getNumPartitions() == 24
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_paths_and_traversal(spark):
     _, e = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 1), (1, 3)], 4)
     start, goal = spark.createDataFrame([(0,)], "id long"), spark.createDataFrame([(3,)], "id long")
