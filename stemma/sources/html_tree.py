@@ -11,7 +11,10 @@ scripts and styles have no text; character references are decoded.
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,146 +32,250 @@ ENDS |= {x: {"tr", "td", "th", "thead", "tbody", "tfoot", "caption"} for x in ("
 BOUNDS = frozenset("table ul ol dl select".split())
 KINDS = {"a": "link", "img": "image", "pre": "code", "code": "code", "math": "formula", "table": "table", "p": "paragraph", "li": "item"} | dict.fromkeys(sorted(HEADINGS), "heading")
 TEXTS = frozenset(KINDS) | {"td", "th", "caption", "figcaption", "title"}
+NOTED = frozenset(["caption", "pre", "code"])
 BATCH_ELEMENTS = 20_000
 WIDEST_SPAN = 1000  # what browsers allow for a colspan; a rowspan ends with its table
 
 _ELEMENT = "node int, parent int, depth int, tag string, attrs map<string,string>, text string, up string, table int, caption string, language string, row int, col int, rowspan int, colspan int"
 
 
+# An element is a list: the fields of _ELEMENT, then where its text starts and stops, and the row element it lies in.
+PARENT, TAG, ATTRS, TEXT, TABLE, CAPTION, LANGUAGE, ROW, COL, ROWSPAN, COLSPAN, START, STOP, LINE = 1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16
+
+
 def _number(value: str | None) -> int:
     digits = (value or "").strip()
     return int(digits) if digits.isascii() and digits.isdigit() else 1
 
 
-class _Tree(HTMLParser):
+class _Builder:
+    """Elements from the tags and texts of a page, in their order."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.text, self.size, self.elements, self.open = [], 0, [], []
-        self.silent = 0
-
-    def _put(self, text: str) -> None:
-        self.text.append(text)
-        self.size += len(text)
+        self.silent, self.rows, self.busy, self.cells, self.noted = 0, {}, {}, [], False
 
     def _close(self, depth: int) -> None:
         """End the open elements from this depth on."""
         for e in self.open[depth:]:
-            e["stop"] = self.size
-            self.silent -= e["tag"] in SILENT
-            if e["tag"] in BLOCKS:
-                self._put(" ")
+            e[STOP] = self.size
+            if e[TAG] in BLOCKS:
+                self.text.append(" ")
+                self.size += 1
+            elif e[TAG] in SILENT:
+                self.silent -= 1
         del self.open[depth:]
 
-    def _end_by(self, tag: str) -> None:
-        names = ENDS.get(tag, set())
-        if tag in BLOCKS and tag != "br":
-            for depth in range(len(self.open) - 1, -1, -1):  # a paragraph holds no block
-                if self.open[depth]["tag"] == "p":
+    def _end_by(self, tag: str, block: bool) -> None:
+        open_ = self.open
+        if block and tag != "br":
+            for depth in range(len(open_) - 1, -1, -1):  # a paragraph holds no block
+                up = open_[depth][TAG]
+                if up == "p":
                     self._close(depth)
                     break
-                if self.open[depth]["tag"] in BLOCKS:
+                if up in BLOCKS:
                     break
-        first = None
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] in BOUNDS:
-                break
-            if self.open[depth]["tag"] in names:
-                first = depth
-        if first is not None:
-            self._close(first)
-
-    def handle_starttag(self, tag, attrs):
-        self._end_by(tag)
-        if tag in BLOCKS:
-            self._put(" ")
-        parent = self.open[-1]["node"] if self.open else None
-        known = {k: v or "" for k, v in reversed(attrs)}  # the first of repeated attributes counts
-        e = {"node": len(self.elements), "parent": parent, "depth": len(self.open), "tag": tag, "attrs": known, "start": self.size, "stop": self.size}
+        names = ENDS.get(tag)
+        if names:
+            first = None
+            for depth in range(len(open_) - 1, -1, -1):
+                up = open_[depth][TAG]
+                if up in BOUNDS:
+                    break
+                if up in names:
+                    first = depth
+            if first is not None:
+                self._close(first)
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        block = tag in BLOCKS
+        if block or tag in ENDS:
+            self._end_by(tag, block)
+        if block:
+            self.text.append(" ")
+            self.size += 1
+        node, size = len(self.elements), self.size
+        if self.open:
+            over = self.open[-1]
+            e = [node, over[0], len(self.open), tag, attrs, None, over[TAG], over[TABLE], None, None, None, None, None, None, size, size, over[LINE]]
+        else:
+            e = [node, None, 0, tag, attrs, None, None, None, None, None, None, None, None, None, size, size, None]
         self.elements.append(e)
+        if tag == "td" or tag == "th":
+            if e[LINE] is not None:
+                self._cell(e)
+        elif tag == "tr":
+            if e[TABLE] is not None:
+                e[ROW] = self.rows[e[TABLE]] = self.rows.get(e[TABLE], -1) + 1
+            e[LINE] = e
+        elif tag == "table":
+            e[TABLE], e[LINE] = node, None
+        elif tag in NOTED:
+            self.noted = True
         if tag not in VOID:
             self.open.append(e)
-            self.silent += tag in SILENT
+            if tag in SILENT:
+                self.silent += 1
+
+    def _cell(self, e: list) -> None:
+        """Give a cell its row, column and spans in the grid of its table; cells above reach down by their rowspan."""
+        r = e[LINE][ROW]
+        if r is None:
+            return
+        taken = self.busy.get(e[TABLE])
+        if taken is None:
+            taken = self.busy[e[TABLE]] = {}
+        c = 0
+        while taken.get(c, -1) >= r:
+            c += 1
+        wide = high = 1
+        if e[ATTRS]:
+            wide, high = min(max(1, _number(e[ATTRS].get("colspan"))), WIDEST_SPAN), _number(e[ATTRS].get("rowspan"))
+        e[ROW], e[COL], e[COLSPAN], e[ROWSPAN] = r, c, wide, high
+        for k in range(c, c + wide):
+            taken[k] = r + high - 1 if high else float("inf")  # 0: down to the end of the table
+        self.cells.append(e)
+
+    def end(self, tag: str) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            up = self.open[depth][TAG]
+            if up == tag:
+                return self._close(depth)
+            if up == "table":
+                return
+
+    def data(self, data: str) -> None:
+        if not self.silent:
+            self.text.append(data)
+            self.size += len(data)
+
+    def finish(self) -> list[list]:
+        """The elements, with their text, and caption and language where they have one."""
+        self._close(0)
+        text, elements = "".join(self.text), self.elements
+        for e in self.cells:
+            left = self.rows[e[TABLE]] - e[ROW] + 1
+            e[ROWSPAN] = min(e[ROWSPAN] or left, left)
+        for e in elements:
+            if e[TAG] in TEXTS:
+                e[TEXT] = text[e[START] : e[STOP]]
+        for e in elements if self.noted else ():
+            if e[TAG] == "caption":
+                if e[TABLE] is not None and elements[e[TABLE]][CAPTION] is None:
+                    elements[e[TABLE]][CAPTION] = e[TEXT]
+            elif e[TAG] in ("pre", "code"):
+                for word in e[ATTRS].get("class", "").split():
+                    for mark in ("language-", "lang-"):
+                        if e[LANGUAGE] is None and word.startswith(mark) and len(word) > len(mark):
+                            e[LANGUAGE] = word[len(mark) :]
+                up = None if e[PARENT] is None else elements[e[PARENT]]
+                if up and up[TAG] == "pre" and e[LANGUAGE] and up[LANGUAGE] is None:
+                    up[LANGUAGE] = e[LANGUAGE]
+        return elements
+
+
+class _Reader(HTMLParser):
+    """The general way to the tags and texts of a page."""
+
+    def __init__(self, to: _Builder):
+        super().__init__(convert_charrefs=True)
+        self.to, self.handle_endtag, self.handle_data = to, to.end, to.data
+
+    def handle_starttag(self, tag, attrs):
+        self.to.start(tag, {k: v or "" for k, v in reversed(attrs)})  # the first of repeated attributes counts
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+
+class _Tag(HTMLParser):
+    """What the general reader makes of one tag."""
+
+    def __init__(self, markup: str):
+        super().__init__(convert_charrefs=True)
+        self.found = []
+        self.feed(markup)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.found.append((True, tag, {k: v or "" for k, v in reversed(attrs)}))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                return self._close(depth)
-            if self.open[depth]["tag"] == "table" and tag != "table":
-                return
+        self.found.append((False, tag, None))
 
     def handle_data(self, data):
-        if not self.silent:
-            self._put(data)
-
-
-def _grids(elements: list[dict]) -> None:
-    """Give every cell its row, column and spans in the grid of its table; cells above reach down by their rowspan."""
-    table_of, row_of, rows, busy = {}, {}, {}, {}
-    for e in elements:
-        up = e["parent"]
-        tag, own = e["tag"], table_of.get(up)
-        table_of[e["node"]] = e["node"] if tag == "table" else own
-        row_of[e["node"]] = e["node"] if tag == "tr" else None if tag == "table" else row_of.get(up)
-        if tag == "tr" and own is not None:
-            e["row"] = rows[own] = rows.get(own, -1) + 1
-        elif tag in ("td", "th") and row_of[e["node"]] is not None:
-            r, taken = elements[row_of[e["node"]]].get("row"), busy.setdefault(own, {})
-            if r is None:
-                continue
-            c = 0
-            while taken.get(c, -1) >= r:
-                c += 1
-            wide, high = min(max(1, _number(e["attrs"].get("colspan"))), WIDEST_SPAN), _number(e["attrs"].get("rowspan"))
-            e |= {"row": r, "col": c, "colspan": wide, "rowspan": high}
-            for k in range(c, c + wide):
-                taken[k] = r + high - 1 if high else float("inf")  # 0: down to the end of the table
-    for e in elements:
-        if e.get("col") is not None:
-            left = rows[table_of[e["node"]]] - e["row"] + 1
-            e["rowspan"] = min(e["rowspan"] or left, left)
-
-
-def _named(elements: list[dict], text: str) -> None:
-    """Text, name of the parent, caption and language of each element."""
-    for e in elements:
-        up = elements[e["parent"]] if e["parent"] is not None else {"tag": None, "node": None}
-        e["up"] = up["tag"]
-        if e["tag"] in TEXTS:
-            e["text"] = text[e["start"] : e["stop"]]
-        e["table"] = e["node"] if e["tag"] == "table" else up.get("table")
-        if e["tag"] == "caption" and e["table"] is not None:
-            elements[e["table"]].setdefault("caption", e["text"])
-        if e["tag"] in ("pre", "code"):
-            for word in e["attrs"].get("class", "").split():
-                for mark in ("language-", "lang-"):
-                    if word.startswith(mark) and len(word) > len(mark):
-                        e.setdefault("language", word[len(mark) :])
-            if up["tag"] == "pre" and e.get("language"):
-                up.setdefault("language", e["language"])
-
-
-def parse(html: str | None) -> list[dict]:
-    tree = _Tree()
-    if html:
-        tree.feed(html)
-        tree.close()
-        tree._close(0)
-    _grids(tree.elements)
-    _named(tree.elements, "".join(tree.text))
-    return tree.elements
-
-
-def _packed(pages: list[list[dict]]) -> pa.Array:
+        self.found.append((None, None, None))
+
+
+MARKUP = re.compile("(<[^<>]*>)")
+PLAIN = re.compile(r"""<(?:/[a-z][a-z0-9]*[ \t\n]*|[a-z][a-z0-9]*(?:[ \t\n]+[a-z_][a-z0-9_-]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`/]+))?)*[ \t\n]*/?)>""", re.I)
+RAW = frozenset("script style template textarea title xmp iframe noembed noframes noscript plaintext svg math".split())  # what lies inside may be read otherwise
+KNOWN_TAGS, LONGEST_KNOWN = 8192, 200
+_known: dict[str, tuple | None] = {}
+
+
+def _plain_tag(markup: str) -> tuple | None:
+    """(opens, tag, attributes) of a tag that no text around it can change, else None. Tags seen often are read once."""
+    found = _Tag(markup).found if PLAIN.fullmatch(markup) else []
+    tag = found[0] if len(found) == 1 and found[0][0] is not None and found[0][1] not in RAW else None
+    if len(markup) <= LONGEST_KNOWN:
+        if len(_known) >= KNOWN_TAGS:
+            _known.clear()
+        _known[markup] = tag
+    return tag
+
+
+def _read_plain(html: str) -> _Builder | None:
+    """Pages of plain tags and texts are cut at once; None where there is anything else, as a comment, script or stray bracket."""
+    parts = MARKUP.split(html)
+    if html.count("<") != len(parts) // 2:
+        return None
+    to, text = _Builder(), True
+    start, end, data, known = to.start, to.end, to.data, _known
+    for part in parts:
+        if text:
+            if part:
+                data(unescape(part) if "&" in part else part)
+        else:
+            tag = known.get(part) or _plain_tag(part)
+            if tag is None:
+                return None
+            if tag[0]:
+                start(tag[1], tag[2])
+            else:
+                end(tag[1])
+        text = not text
+    return to
+
+
+def parse(html: str | None) -> list[list]:
+    """Elements in page order, each a list that begins with the fields of _ELEMENT."""
+    to = _read_plain(html) if html else _Builder()
+    if to is None:
+        to = _Builder()
+        reader = _Reader(to)
+        reader.feed(html)
+        reader.close()
+    return to.finish()
+
+
+def _packed(pages: list[list[list]]) -> pa.Array:
     """Elements of pages as one Arrow array, field by field."""
-    flat = [e for page in pages for e in page]
-    kinds = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    columns = list(zip(*chain.from_iterable(pages)))
+    kinds = {"int": pa.int32(), "string": pa.string()}
     fields, names = [], []
-    for name, kind in (c.split(" ", 1) for c in _ELEMENT.split(", ")):
-        values = [list(e[name].items()) for e in flat] if name == "attrs" else [e.get(name) for e in flat]
-        fields.append(pa.array(values, kinds[kind]))
+    for at, (name, kind) in enumerate(c.split(" ", 1) for c in _ELEMENT.split(", ")):
+        values = columns[at] if columns else ()
+        if name == "attrs":
+            sizes = np.cumsum([0, *map(len, values)])
+            keys, texts = chain.from_iterable(values), chain.from_iterable(v.values() for v in values if v)
+            fields.append(pa.MapArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(list(keys), pa.string()), pa.array(list(texts), pa.string())))
+        else:
+            fields.append(pa.array(values, kinds[kind]))
         names.append(name)
     ends = pa.array(np.cumsum([0] + [len(page) for page in pages]), pa.int32())
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names))

@@ -69,3 +69,34 @@ def test_pages_are_parsed_once_and_given_out_in_small_batches(spark, monkeypatch
     assert seen.value == 100
     want = {(i, "heading"): 1 for i in range(100) if i != 7} | {(i, "paragraph"): i % 5 for i in range(100) if i != 7 and i % 5}
     assert {(r.page, r.kind): r["count"] for r in got} == want
+
+
+def general(html):
+    to = H._Builder()
+    reader = H._Reader(to)
+    reader.feed(html)
+    reader.close()
+    return [e[:14] for e in to.finish()]
+
+
+def test_plain_pages_are_cut_at_once_as_the_general_reader_would(monkeypatch):
+    import random
+
+    tags = "table tr td th caption p div ul li b a img br h1 pre code".split()
+    odd = ["<!-- <p> -->", "<script>a<b</script>", "< ", '<a title="x>y">', '<a b= "c>', "</ p>", "<p/>", "<b", "<title>t</title>", "<a\rb>", "<td rowspan=2>", "<TD COLSPAN='3'>", "<a href=x b>", "&lt", "1 > 0", "&eacute;"]
+    rng, plain = random.Random(1), 0
+    for k in range(3000):
+        parts = [rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "a b", "|", rng.choice(odd[-6:] if k % 2 else odd)]) for _ in range(rng.randrange(1, 20))]
+        page = "".join(parts)
+        plain += H._read_plain(page) is not None
+        assert [e[:14] for e in H.parse(page)] == general(page)
+    assert plain > 1500
+    page = "<table><caption>Items</caption><tr><th>a<th>b<tr><td colspan='2'>1 &amp; 2</table>"
+    want = general(page)
+    H.parse(page)
+
+    def never(*_):
+        raise AssertionError("a page of known plain tags goes through the general reader")
+
+    monkeypatch.setattr(H.HTMLParser, "goahead", never)
+    assert [e[:14] for e in H.parse(page)] == want
