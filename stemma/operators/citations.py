@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,154 @@ def author_numbers(authors: DataFrame, author: str = "author_id") -> DataFrame:
 
 
 HOT_PAPER = 4096
+HOT_SHARE = 8192  # papers of one author in the share of one task
+ENTRIES_TOGETHER = 1 << 20
+CARRIED_AUTHORS = 1 << 20
+BINS = 8192
 
 
-def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id", hot: int = HOT_PAPER) -> DataFrame:
-    """Number of distinct co-authors per author, without forming the pairs of a paper.
+def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str = "paper_id", hot: int = HOT_PAPER, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Number of distinct co-authors per author, without sending the pairs of a paper.
 
-    Author sets are 64-author words. A paper of more than `hot` authors is never joined to each of them:
-    its authors are grouped by the set of such papers they share, the union of a set is taken once, and
-    every author of the group takes over its size. Smaller papers are OR-ed per author and cleared of
-    what that union already holds.
+    A paper becomes one list of author numbers. Authors are cut into ranges of about as many entries, and a list goes once
+    to each range it has authors in; there the lists of an author are united. What is sent does not depend on how many
+    tasks the papers lie in. Authors of a paper of more than `hot` authors, and those met too often for one range, are counted by words.
     """
-    d = cut_lineage(authors.select(paper, author).distinct())
+    names = cut_lineage(authors.select(author).distinct())
+    numbers = cut_lineage(author_numbers(names, author))
+    n = max(1, numbers.count())
+    carried = F.broadcast(numbers) if n <= CARRIED_AUTHORS else numbers
+    pairs = authors.where(F.col(paper).isNotNull()).join(carried, author).select(F.col(paper).alias("paper"), "num")
+    lists = cut_lineage(_author_lists(pairs, hot))
+    often, edges = _ranges(lists, n, hot_share)
+    found = numbers.join(_united(lists, n, often, edges).withColumnRenamed("n", "x"), "num").select(author, "x")
+    every = names.join(found, author, "left")
+    if often or lists.where("list IS NULL").take(1):
+        large = lists.where("list IS NULL").select("paper")
+        who = pairs.join(large, "paper", "left_semi").select("num").union(pairs.sparkSession.createDataFrame([(x,) for x in often], "num long")).distinct()
+        by_words = _counted_by_words(authors, numbers, cut_lineage(numbers.join(who, "num", "left_semi").select(author)), author, paper, hot)
+        every = every.join(by_words, author, "left").withColumn("x", F.coalesce("c", "x"))
+    return every.select(author, (F.coalesce("x", F.lit(0)) - 1).cast("long").alias("n_coauthors"))
+
+
+def _author_lists(pairs: DataFrame, hot: int) -> DataFrame:
+    """(paper, list): the sorted author numbers of every paper as packed integers, its name left out; of one with more than `hot` the name alone."""
+
+    def run(batches):
+        last, held, size = None, [], 0  # the paper that may go on in the next batch
+
+        def ended():
+            if size > hot:
+                return [last], [None]
+            return ([None], [np.concatenate(held).astype(np.int32).tobytes()]) if size else ([], [])
+
+        for pdf in batches:
+            p, num = pdf["paper"].to_numpy(), pdf["num"].to_numpy()
+            if not len(p):
+                continue
+            at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            names, made = [], []
+            for lo, hi in zip(at, [*at[1:], len(p)]):
+                if not (size and p[lo] == last):
+                    for to, more in zip((names, made), ended()):
+                        to += more
+                    last, held, size = p[lo], [], 0
+                own = num[lo:hi]
+                own = own[np.append(not held or own[0] != held[-1][-1], own[1:] != own[:-1])]
+                size += len(own)
+                if size > hot:
+                    held = [num[hi - 1 : hi]]
+                elif len(own):
+                    held.append(own)
+            yield pd.DataFrame({"paper": pd.Series(names, dtype=object), "list": pd.Series(made, dtype=object)})
+        names, made = ended()
+        yield pd.DataFrame({"paper": pd.Series(names, dtype=object), "list": pd.Series(made, dtype=object)})
+
+    kind = pairs.schema["paper"].dataType.simpleString()
+    return pairs.repartition("paper").sortWithinPartitions("paper", "num").mapInPandas(run, f"paper {kind}, list binary")
+
+
+def _ranges(lists: DataFrame, n: int, hot_share: int) -> tuple[list[int], list[int]]:
+    """Authors that one task meets in at least `hot_share` papers, and where the ranges of about as many entries begin."""
+
+    def run(batches):
+        bins, met = np.zeros(BINS, np.int64), np.zeros(n, np.int64)
+        for pdf in batches:
+            num = np.frombuffer(b"".join(pdf["list"]), np.int32).astype(np.int64)
+            bins += np.bincount(num * BINS // n, minlength=BINS)
+            met += np.bincount(num, minlength=n)
+        yield pd.DataFrame({"bins": [bins], "often": [np.flatnonzero(met >= hot_share)]})
+
+    parts = lists.where("list IS NOT NULL").select("list").mapInPandas(run, "bins array<long>, often array<long>").toPandas()
+    bins = np.sum(np.stack([np.zeros(BINS, np.int64), *parts["bins"]]), axis=0)
+    total, cores = int(bins.sum()), lists.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-total // ENTRIES_TOGETHER), min(cores, -(-total // (ENTRIES_TOGETHER // 16))), 1)
+    first = np.unique(np.searchsorted(np.cumsum(bins), np.arange(1, blocks) * total / blocks, side="right"))
+    starts = sorted({0, *(int(-(-x * n // BINS)) for x in first)})
+    return sorted({int(x) for some in parts["often"] for x in some}), starts
+
+
+def _united(lists: DataFrame, n: int, often: list[int], edges: list[int]) -> DataFrame:
+    """(num, n): how many numbers stand in the lists of each author together, but for those in `often`."""
+    starts, left_out = np.array(edges, np.int64), np.array(often, np.int64)
+
+    def deal(batches):
+        for pdf in batches:
+            packed = pdf["list"].to_numpy()
+            num = np.frombuffer(b"".join(packed), np.int32)
+            of = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+            block = np.searchsorted(starts, num, side="right") - 1
+            keep = np.append(True, (of[1:] != of[:-1]) | (block[1:] != block[:-1]))[: len(num)]
+            yield pd.DataFrame({"block": block[keep], "list": packed[of[keep]]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, size = int(pdf["block"].iloc[0]), np.array([len(x) // 4 for x in pdf["list"]])
+        every = np.frombuffer(b"".join(pdf["list"]), np.int32)
+        at, low = np.cumsum(size) - size, int(every.min())
+        mark = np.zeros(int(every.max()) - low + 1, bool)
+        own = every >= starts[block]
+        if block + 1 < len(starts):
+            own &= every < starts[block + 1]
+        own = np.flatnonzero(own)
+        own = own[~np.isin(every[own], left_out)]
+        who, of = every[own], np.searchsorted(at, own, side="right") - 1
+        by = np.argsort(who, kind="stable")
+        who, of = who[by], of[by]
+        ends = np.flatnonzero(np.append(who[1:] != who[:-1], True)) + 1 if len(who) else np.zeros(0, np.int64)
+        counts, lo = [], 0
+        for hi in ends:
+            met = of[lo:hi]
+            few = 16 * int(size[met].sum()) < len(mark)
+            parts = []
+            for some in np.split(met, np.arange(ENTRIES_TOGETHER // 16, len(met), ENTRIES_TOGETHER // 16)):
+                long = size[some]
+                others = every[np.repeat(at[some] - np.cumsum(long) + long, long) + np.arange(long.sum())] - low
+                parts.append(others)
+                if not few:
+                    mark[others] = True
+                    parts = []
+            if few:
+                counts.append(len(np.unique(np.concatenate(parts))))
+            else:
+                counts.append(int(np.count_nonzero(mark)))
+                mark[:] = False
+            lo = hi
+        return pd.DataFrame({"num": who[ends - 1].astype(np.int64), "n": np.array(counts, np.int64)})
+
+    dealt = lists.where("list IS NOT NULL").select("list").mapInPandas(deal, "block long, list binary")
+    return dealt.groupBy("block").applyInPandas(unite, "num long, n long")
+
+
+def _counted_by_words(authors: DataFrame, numbers: DataFrame, who: DataFrame, author: str, paper: str, hot: int) -> DataFrame:
+    """(author, c): authors met with by the authors of `who`, themselves included, as unions of words of 64 authors.
+
+    A paper of more than `hot` authors is never joined to each of them: its authors are grouped by the set of such
+    papers they share, the union of a set is taken once, and every author of the group takes over its size. Smaller
+    papers are OR-ed per author and cleared of what that union already holds.
+    """
+    d = cut_lineage(authors.join(who, author, "left_semi").select(paper).distinct().join(authors.select(paper, author).distinct(), paper))
     size = d.groupBy(paper).agg(F.count("*").alias("n"))
-    a = d.join(size, paper).join(author_numbers(d, author), author)
+    a = d.join(size, paper).join(numbers, author)
     a = cut_lineage(a.select(paper, author, "n", F.floor(F.col("num") / 64).alias("idx"), F.expr("shiftleft(1L, int(num % 64))").alias("bit")))
     words = a.groupBy(paper, "idx").agg(F.bit_or("bit").alias("word"))
     # the large papers of an author: at most as many as there are large papers
@@ -92,11 +229,11 @@ def coauthor_counts(authors: DataFrame, author: str = "author_id", paper: str =
     sets = large.select("set").distinct()
     union = cut_lineage(sets.select("set", F.explode("set").alias(paper)).join(words, paper).groupBy("set", "idx").agg(F.bit_or("word").alias("own")))
     whole = union.groupBy("set").agg(F.sum(F.bit_count("own")).alias("whole"))
-    seen = a.where(F.col("n") <= hot).select(paper, author).join(words, paper).groupBy(author, "idx").agg(F.bit_or("word").alias("word"))
+    seen = a.where(F.col("n") <= hot).join(who, author, "left_semi").select(paper, author).join(words, paper).groupBy(author, "idx").agg(F.bit_or("word").alias("word"))
     fresh = seen.join(large, author, "left").join(union, ["set", "idx"], "left")
     extra = fresh.groupBy(author).agg(F.sum(F.bit_count(F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0))))).cast("long")).alias("x"))
-    every = d.select(author).distinct().join(large, author, "left").join(whole, "set", "left").join(extra, author, "left")
-    return every.select(author, (F.coalesce("whole", F.lit(0)) + F.coalesce("x", F.lit(0)) - 1).cast("long").alias("n_coauthors"))
+    every = who.join(large, author, "left").join(whole, "set", "left").join(extra, author, "left")
+    return every.select(author, (F.coalesce("whole", F.lit(0)) + F.coalesce("x", F.lit(0))).cast("long").alias("c"))
 
 
 def coauthors_of(authors: DataFrame, who: list, author: str = "author_id", paper: str = "paper_id") -> DataFrame:

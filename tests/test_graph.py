@@ -163,6 +163,27 @@ def test_coauthors_with_a_hot_paper(spark):
     assert {(r.author_id, r.coauthor) for r in O.coauthors_of(df, [3]).collect()} == {(3, c) for c in want[3]}
 
 
+def test_coauthors_by_lists_and_by_words(spark):
+    """Ranges of authors, large papers and authors of many papers give what the pairs give; nothing is sent per co-author."""
+    rng = np.random.default_rng(4)
+    rows = [(int(p), int(a)) for p, a in zip(rng.integers(0, 300, 3000), 7 * rng.integers(0, 400, 3000))] + [(1000, 7 * a) for a in range(60)] + [(1001, 7 * a) for a in range(50, 110)]
+    rows += [(p, 77) for p in range(200)] + [(2000, 5000)] + rows[:50]
+    df = spark.createDataFrame(rows, "paper_id long, author_id long").repartition(5)
+    by, want = {}, {}
+    for p, a in rows:
+        by.setdefault(p, set()).add(a)
+    for members in by.values():
+        for a in members:
+            want.setdefault(a, set()).update(members - {a})
+    want = {a: len(s) for a, s in want.items()}
+    for limits in ({}, {"hot": 40}, {"hot_share": 30}, {"hot": 40, "hot_share": 30}):
+        assert {r.author_id: r.n_coauthors for r in O.coauthor_counts(df, **limits).collect()} == want
+    pairs = df.selectExpr("paper_id AS paper", "author_id DIV 7 AS num")
+    lists = O._author_lists(pairs, 40).collect()
+    assert len([x for x in lists if x.list is not None]) == len(by) - 2 and {x.paper for x in lists} == {None, 1000, 1001}
+    assert O._ranges(O._author_lists(pairs, 40), 800, 30)[0] == [11]
+
+
 def test_coauthors_by_name(spark):
     df = spark.createDataFrame([("p", "Ann"), ("p", "Bo"), ("q", "Ann"), ("q", "Cy")], "paper_id string, author_id string")
     assert {r.author_id: r.n_coauthors for r in O.coauthor_counts(df).collect()} == {"Ann": 2, "Bo": 1, "Cy": 1}
